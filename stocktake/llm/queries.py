@@ -7,6 +7,7 @@ import importlib
 #: Module -> query function in it.
 QUERIES = {
     "token_counts": "op1_token_counts",
+    "quality_rules": "op4_quality_rules",
     "mixing": "op5_mixing",
     "quality_classifier": "op6_quality_classifier",
     "url_filter": "op10_url_filter",
