@@ -7,9 +7,11 @@ import importlib
 #: Module -> query function in it.
 QUERIES = {
     "token_counts": "op1_token_counts",
+    "decontamination": "op2_decontamination",
     "quality_rules": "op4_quality_rules",
     "mixing": "op5_mixing",
     "quality_classifier": "op6_quality_classifier",
+    "license_scan": "op7_license_scan",
     "url_filter": "op10_url_filter",
 }
 
