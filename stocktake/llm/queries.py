@@ -12,6 +12,7 @@ QUERIES = {
     "mixing": "op5_mixing",
     "quality_classifier": "op6_quality_classifier",
     "license_scan": "op7_license_scan",
+    "jaccard_join": "op9_jaccard_join",
     "url_filter": "op10_url_filter",
 }
 
