@@ -13,6 +13,7 @@ QUERIES = {
     "quality_classifier": "op6_quality_classifier",
     "license_scan": "op7_license_scan",
     "jaccard_join": "op9_jaccard_join",
+    "lm_scoring": "op8_lm_scoring",
     "url_filter": "op10_url_filter",
 }
 
