@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "token_counts": "op1_token_counts",
     "decontamination": "op2_decontamination",
+    "pii": "op3_pii",
     "quality_rules": "op4_quality_rules",
     "mixing": "op5_mixing",
     "quality_classifier": "op6_quality_classifier",
