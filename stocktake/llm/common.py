@@ -50,6 +50,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def row_key(df: DataFrame, *cols: str) -> Column:
+    """A hash by which rows that agree in ``cols`` are known again."""
+    return F.xxhash64(*[df[c] for c in cols])
+
+
+def without_repeats(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row of each ``key``; only rows whose key repeats are shuffled, if there are any."""
+    again = materialise(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeats")
+    if again.isEmpty():
+        return df
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import let, materialise, table, words_of
+from stocktake.llm.common import let, materialise, row_key, table, words_of
 
 WINDOW = 8
 #: Placeholders may fill at most this share of a window.
@@ -81,13 +81,13 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
     return made.join(totals, "item_id")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document and item that it leaks: id, item_id, n_found, n_windows (of the item), n_changed (slots filled otherwise)."""
+def leaks_by_text(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per text and item that it leaks: _id, _key (of id and text), item_id, n_found, n_windows (of the item), n_changed (slots filled otherwise)."""
     known = materialise(benchmark_windows(items, item_col, item_text_col), "benchmark-windows")
     counted = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count("*").alias("n")).collect()}
     small = sum(counted.values()) <= broadcast_windows
     text = F.col(text_col)
-    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), let(template(text), lambda t: F.struct(*[windows(t, size).alias(f"w{size}") for size in sorted(counted)] or [F.lit(0).alias("none")])).alias("_w"), plain(text).alias("_p"))
+    read = docs.select(F.col(id_col).alias("_id"), row_key(docs, id_col, text_col).alias("_key"), let(template(text), lambda t: F.struct(*[windows(t, size).alias(f"w{size}") for size in sorted(counted)] or [F.lit(0).alias("none")])).alias("_w"), plain(text).alias("_p"))
     found = None
     for size in sorted(counted):
         rows = read.select("_id", "_key", "_p", F.posexplode(f"_w.w{size}").alias("_pos", "h"))
@@ -100,7 +100,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             hits = rows.join(side, "h").withColumn("_fills", fills(lambda pos, k: F.get(F.col("_here"), k), F.col("_pos")))
         hits = hits.select("_id", "_key", "item_id", "n_windows", "at", (F.col("_pos") - F.col("at")).alias("_shift"), "_fills")
         found = hits if found is None else found.unionByName(hits)
-    kinds = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}"
+    kinds = f"_id {docs.schema[id_col].dataType.simpleString()}, _key bigint, item_id {items.schema[item_col].dataType.simpleString()}"
     if found is None:
         return docs.sparkSession.createDataFrame([], f"{kinds}, n_found bigint, n_windows bigint, n_changed bigint")
     aligned = found.groupBy("_id", "_key", "item_id", "n_windows", "_shift").agg(F.collect_set("at").alias("_at"), F.array_distinct(F.flatten(F.collect_set("_fills"))).alias("_fills"))
@@ -109,9 +109,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     aligned = aligned.where(one_fill).withColumn("_changed", changed)
     per_text = aligned.groupBy("_id", "_key", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_at")))).cast("bigint").alias("n_found"), F.sum("_changed").cast("bigint").alias("n_changed"))
     needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("n_windows") * ENOUGH_SHARE), F.lit(ENOUGH_WINDOWS)))
-    leaks = per_text.where(F.col("n_found") >= needed).groupBy("_id", "item_id").agg(F.max("n_found").alias("n_found"), F.max("n_windows").alias("n_windows"), F.max("n_changed").alias("n_changed"))
+    return per_text.where(F.col("n_found") >= needed)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+    """One row per document and item that it leaks: id, item_id, n_found, n_windows, n_changed."""
+    found = leaks_by_text(docs, items, id_col, **more)
+    leaks = found.groupBy("_id", "item_id").agg(F.max("n_found").alias("n_found"), F.max("n_windows").alias("n_windows"), F.max("n_changed").alias("n_changed"))
     return leaks.select(F.col("_id").alias(id_col), "item_id", "n_found", "n_windows", "n_changed")
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that leak an item."""
+    gone = materialise(leaks_by_text(docs, items, id_col, text_col).select("_key").distinct(), "leaking")
+    return docs.withColumn("_key", row_key(docs, id_col, text_col)).join(gone, "_key", "left_anti").select(*docs.columns)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, table
+from stocktake.llm.common import materialise, row_key, table, without_repeats
 from stocktake.llm.components import connected_components
 
 SHINGLE = 5
@@ -168,9 +168,9 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(id, n, node, text_key, point, common, sets): a row per document, and the common shingles of each task."""
-    names = ["id", "n", "node", "text_key", "point", "common", "sets"]
-    kinds = [_LONG, _LONG, _LONG, _LONG, _BINARY, _LONG, _LONG]
+    """(id, key, n, node, text_key, point, common, sets): a row per document, and the common shingles of each task."""
+    names = ["id", "key", "n", "node", "text_key", "point", "common", "sets"]
+    kinds = [_LONG, _LONG, _LONG, _LONG, _LONG, _BINARY, _LONG, _LONG]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -181,12 +181,12 @@ def set_rows(docs: DataFrame) -> DataFrame:
             held.clear()
             many = counts >= COMMON_IN_TASK
             none = pa.nulls(int(many.sum()))
-            return _batch(names, kinds, [*[none.cast(k) for k in kinds[:5]], pa.array(keys[many].view(np.int64)), pa.array(counts[many])])
+            return _batch(names, kinds, [*[none.cast(k) for k in kinds[:6]], pa.array(keys[many].view(np.int64)), pa.array(counts[many])])
 
         size = 0
         for batch in batches:
             rows = []
-            for text in _texts(batch, 1):
+            for text in _texts(batch, 2):
                 members = shingle_set(text)
                 node = node_of(members)
                 rows.append((len(members), node, text_key(text or b""), point_of(members)))
@@ -200,10 +200,10 @@ def set_rows(docs: DataFrame) -> DataFrame:
                         yield common()
                         size = 0
             none = pa.nulls(batch.num_rows, _LONG)
-            yield _batch(names, kinds, [batch.column(0), *[list(c) for c in zip(*rows, strict=True)], none, none] if rows else [[] for _ in kinds])
+            yield _batch(names, kinds, [batch.column(0), batch.column(1), *[list(c) for c in zip(*rows, strict=True)], none, none] if rows else [[] for _ in kinds])
         yield common()
 
-    return docs.mapInArrow(run, "id bigint, n bigint, node bigint, text_key bigint, point binary, common bigint, sets bigint")
+    return docs.mapInArrow(run, "id bigint, key bigint, n bigint, node bigint, text_key bigint, point binary, common bigint, sets bigint")
 
 
 def postings(docs: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
@@ -381,11 +381,11 @@ def cell_pairs(rest: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, node (equal for equal sets)."""
-    read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    """One row per row of ``docs``: id, n_shingles, component_id, component, key (of id and text)."""
+    read = docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     texts = read.select("text")
     made = materialise(set_rows(read), "sets")
-    rows = made.where("node is not null").select("id", "n", "node", "text_key", "point")
+    rows = made.where("node is not null").select("id", "key", "n", "node", "text_key", "point")
     common = made.where("common is not null").groupBy("common").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "common").limit(COMMON_ENTRIES)
     common = [(r["common"], r["sets"]) for r in common.toLocalIterator()]
     nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.min("point").alias("point")), "nodes")
@@ -408,10 +408,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = verified(more, texts, nodes).toDF("src", "dst")
         parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links))
 
-    member = rows.select("id", "n", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = rows.select("id", "key", "n", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialise(member, "member")
     least = member.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
-    return member.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "node")
+    return member.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "component", "key")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of least id and key; documents without words all stay."""
+    found = materialise(jaccard_components(docs, id_col, text_col).where("n_shingles > 0"), "components-of-rows")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "key"))["key"].alias("best"))
+    gone = materialise(found.join(best, "component").where("key <> best").select(F.col("key").alias("_key")).distinct(), "gone")
+    keyed = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(gone, "_key", "left_anti")
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
+    return without_repeats(keyed.where(words), "_key").unionByName(keyed.where(~words)).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, table, words_of
+from stocktake.llm.common import materialise, row_key, table, without_repeats, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -63,8 +63,8 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken."""
-    sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"))
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, key (of id, source and text)."""
+    sized = docs.select("doc_id", "source", row_key(docs, "doc_id", "source", "text").alias("key"), F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"))
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("_text").cast("string")))))
     sized = materialise(sized, "sizes")
     classes = materialise(sized.groupBy("source", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")), "classes")
@@ -95,7 +95,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     place = F.col("_before") + F.col("_ahead") + F.col("_rank")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
     copies = F.least(copies, F.ceil(rate)).cast("bigint")
-    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with ``copy`` counting from 1."""
+    taken = mix(docs, **how).groupBy("key").agg(F.sum("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("key", "_key")
+    keyed = without_repeats(docs.withColumn("_key", row_key(docs, "doc_id", "source", "text")), "_key")
+    return keyed.join(taken, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("copy"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, table
+from stocktake.llm.common import materialise, row_key, table
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -265,7 +265,7 @@ def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[D
 
 def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind)."""
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     seeded = materialise(seeds(read.select("text")), "seeds")
     enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds).select("pattern"), "patterns")
     rows = materialise(span_rows(read, *bit_filter(enough)), "spans")
@@ -284,6 +284,35 @@ def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float
     return found.select("id", "key", "base").join(added, "key", "left").select(F.col("id").alias(id_col), "key", "base", F.coalesce("added", none).alias("added"))
 
 
+def redacted(text: str, spans: list[Span]) -> str:
+    """The text with each span, or run of overlapping spans, replaced by the kind of its first."""
+    out, last = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start >= last:
+            out += [text[last:start], f"[{kind.upper()}]"]
+        last = max(last, end)
+    return "".join(out) + text[last:]
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with all personal data replaced in the text, and its length in ``size_col`` if there is one."""
+    spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.col("key").alias("_key"), F.concat("base", "added").alias("_spans"))
+    spans = materialise(spans.where(F.size("_spans") > 0).dropDuplicates(["_key"]), "redactions")
+    joined = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *cols, spans = batch.columns
+            pairs = zip(cols[at].to_pylist(), spans.to_pylist(), strict=True)
+            cols[at] = pa.array([redacted(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in pairs], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    done = joined.mapInArrow(run, docs.schema)
+    return done.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in docs.columns else done
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

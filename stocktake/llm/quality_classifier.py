@@ -176,6 +176,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Discriminant:
+    """The discriminant learnt from the labelled rows of ``stats`` that are not held out."""
+    known = labels.select(F.col(id_col), F.col("quality").cast("int").alias("label"))
+    known = known.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    return fit(class_moments(stats.join(known, id_col).select("label", "x")))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted.
 
@@ -184,9 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", th
     """
     spark = docs.sparkSession
     stats = materialise(statistics_table(docs, id_col), "quality-statistics")
-    known = labels.select(F.col(id_col), F.col("quality").cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    model = spark.sparkContext.broadcast(fit(class_moments(stats.join(known, id_col).select("label", "x"))))
+    model = spark.sparkContext.broadcast(fitted(stats, labels, id_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,5 +203,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", th
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns.
+
+    Rows are scored where they are, so that no text is shuffled.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fitted(statistics_table(docs, id_col, text_col), labels, id_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.value.scores(x) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
