@@ -24,7 +24,7 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(left)
     if not m:
         return 0.0
-    swapped = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):
