@@ -8,9 +8,10 @@ difference of its losses per token; low scores are like the target. A target
 document is scored by a target model without its own half of the targets, so
 that no document vouches for itself.
 
-Counts cover every document and grow with the input. The bigram table is
-broadcast while its rows stay under a bound and joined by shuffle beyond it;
-both ways give the same sums. The vocabulary is bounded by a parameter.
+Counts cover every document and grow with the input. The vocabulary is bounded
+by a parameter, and so is the finished table of losses that scoring needs: one
+cell for each pair of its entries, whatever the size of the corpus. That table
+is all that is broadcast, besides the targets' ids while they are few.
 
 Defined results: null texts and texts without words have 0 tokens and null
 losses; several labels of one id make its document a target once if any of them
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from stocktake.llm.common import materialise, table
 
-VOCABULARY = 20_000
+#: The table of losses has (VOCABULARY + 2) squared cells of 16 bytes.
+VOCABULARY = 2_000
 #: Weight of the bigram estimate against the unigram one; added count of each word.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
-#: Bigrams are broadcast up to this many rows of 24 bytes.
-BROADCAST_BIGRAMS = 2_500_000
+#: Target ids are broadcast up to this many, and shuffled beyond.
+BROADCAST_TARGETS = 1_000_000
 #: Documents that are no targets, and the halves of the targets.
 FOLDS = (0, 1, 2)
 HELD_WORDS, HELD_BIGRAMS = 500_000, 2_000_000
@@ -131,57 +133,41 @@ def models(counts: DataFrame, width: int) -> DataFrame:
     return rows.select("key", *[_losses(F.col(f"n{x}"), F.col(f"h{x}"), F.col(f"u{x}"), F.lit(totals[x]), width - 1).cast("float").alias(f"l{x}") for x in names])
 
 
-def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, broadcast_bigrams: int = BROADCAST_BIGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, broadcast_targets: int = BROADCAST_TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, target_loss, background_loss, score (per token).
 
     ``good`` holds the ids of the target documents.
     """
     spark = docs.sparkSession
     chosen = good.select(F.col(id_col).alias("_good")).where("_good is not null").distinct()
-    chosen = chosen.withColumn("_fold", (F.crc32(F.col("_good").cast("string").cast("binary")) % 2 + 1).cast("int"))
+    chosen = materialise(chosen.withColumn("_fold", (F.crc32(F.col("_good").cast("string").cast("binary")) % 2 + 1).cast("int")), "targets")
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     top = word_counts(read.select("text")).orderBy(F.desc("n"), "word").limit(vocabulary)
     words = [bytes(r["word"]) for r in top.select("word").collect()]  # at most ``vocabulary`` rows
     coder = spark.sparkContext.broadcast(Coder(words))
     width = len(words) + 2
 
-    marked = read.join(chosen, F.col("id") == F.col("_good"), "left").select("text", F.coalesce("_fold", F.lit(0)).alias("fold"))
+    few = chosen.count() <= broadcast_targets
+    marked = read.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_good"), "left").select("text", F.coalesce("_fold", F.lit(0)).alias("fold"))
     of = lambda *folds: F.sum(F.when(F.col("fold").isin(*folds), F.col("n")).otherwise(0))
     counts = bigram_counts(marked, coder).groupBy("key").agg(of(1, 2).alias("n0"), of(2).alias("n1"), of(1).alias("n2"), F.sum("n").alias("nb"))
-    counts = materialise(counts, "bigrams")
-    model = materialise(models(counts, width), "losses")
-    kind = docs.schema[id_col].dataType.simpleString()
+    model = models(materialise(counts, "bigrams"), width).toArrow()  # at most width squared rows
     losses = ["l0", "l1", "l2", "lb"]
+    cells = np.zeros((width * width, len(losses)), np.float32)
+    cells[model.column("key").to_numpy()] = np.stack([model.column(c).to_numpy() for c in losses], axis=1)
+    shared = spark.sparkContext.broadcast(cells)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    if model.count() <= broadcast_bigrams:
-        held = model.orderBy("key").toArrow()
-        shared = spark.sparkContext.broadcast(tuple(held.column(c).to_numpy() for c in ["key", *losses]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, *tables = shared.value
-            for batch in batches:
-                rows: list[tuple] = []
-                for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                    keys = coder.value.keys(text or b"")
-                    at = np.searchsorted(known, keys)
-                    rows.append((len(keys), *[float(x[at].sum(dtype=np.float64)) for x in tables]))
-                cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], _LONG), *[pa.array(c, pa.float64()) for c in cols[1:]]], names=["id", "n_tokens", *losses])
-
-        sums = read.mapInArrow(run, f"id {kind}, n_tokens bigint, l0 double, l1 double, l2 double, lb double")
-    else:
-
-        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, text in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
-                    keys, n = np.unique(coder.value.keys(text or b""), return_counts=True)
-                    if len(keys):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), batch.column(0)[k].as_py())), pa.array(keys), pa.array(n.astype(np.int64))], names=["row", "key", "n"])
-
-        numbered = materialise(read.select("id", "text", F.xxhash64("id", "text").alias("row")), "texts")
-        each = numbered.dropDuplicates(["row"]).select("row", "text").mapInArrow(rows_of, "row bigint, key bigint, n bigint").join(model, "key")
-        each = each.groupBy("row").agg(F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(c).cast("double")).alias(c) for c in losses])
-        sums = numbered.select("id", "row").join(each, "row", "left").select("id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), *losses)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
+                keys = coder.value.keys(text or b"")
+                rows.append((len(keys), *shared.value[keys].sum(axis=0, dtype=np.float64).tolist()))
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], _LONG), *[pa.array(c, pa.float64()) for c in cols[1:]]], names=["id", "n_tokens", *losses])
+
+    sums = read.mapInArrow(run, f"id {kind}, n_tokens bigint, l0 double, l1 double, l2 double, lb double")
     sums = sums.join(chosen, F.col("id") == F.col("_good"), "left").withColumn("lt", F.when(F.col("_fold") == 1, F.col("l1")).when(F.col("_fold") == 2, F.col("l2")).otherwise(F.col("l0")))
     per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     return sums.select(F.col("id").alias(id_col), "n_tokens", per("lt").alias("target_loss"), per("lb").alias("background_loss"), (per("lt") - per("lb")).alias("score"))
