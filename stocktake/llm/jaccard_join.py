@@ -4,7 +4,9 @@ A document is the set of its distinct 5-word shingles. Shingles are hashed into
 GROUPS groups and a set becomes the point of its group counts. The sum of the
 coordinate minima of two points bounds the overlap of their sets from above, and
 the same sum over the upper corners of two boxes bounds it for all points in
-them. Surviving pairs are verified on the sets.
+them. The parities of finer group counts, PARITIES of them, bound the difference
+of two sets from below, which prunes what the minima let through. Surviving
+pairs are verified on the sets.
 
 A tree over all points can't be held by one task, and its upper boxes can't tell
 unrelated texts of one length apart. So points meet in cells: a cell holds the
@@ -39,15 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, row_key, table, without_repeats
+from stocktake.llm.common import free_name, materialise, row_key, table, without_repeats
 from stocktake.llm.components import connected_components
 
 SHINGLE = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 80
 GROUPS = 64
-#: Common shingles: seen in this many sets of one task; the table of them is broadcast and bounded.
-COMMON_IN_TASK, COMMON_ENTRIES = 4, 200_000
+PARITIES = 1024
+#: Common shingles: seen in this many sets of one task, and of all tasks; the table of them is broadcast and bounded.
+COMMON_IN_TASK, COMMON_IN_ALL, COMMON_ENTRIES = 2, 6, 500_000
 #: Members of a block of a cell, and of a leaf of its tree.
 BLOCK, LEAF = 1024, 32
 #: Bits of the filter that picks the texts whose sets are verified, at most.
@@ -106,12 +109,28 @@ def point_of(members: np.ndarray) -> bytes:
     """Group counts of a set, in as many bytes a group as the largest needs."""
     counts = np.bincount((members & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
     top = counts.max(initial=0)
-    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    finer = np.bincount((members & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(finer.astype(np.uint8)).tobytes() + counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
 
 
-def points(cells: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    return np.array([np.frombuffer(c, kinds[len(c)]) for c in cells], np.int64).reshape(-1, GROUPS)
+def points(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Group counts and packed parities, a row per cell."""
+    at = PARITIES // 8
+    kinds = {at + GROUPS: np.uint8, at + 2 * GROUPS: np.uint16, at + 4 * GROUPS: np.uint32}
+    if all(len(c) == at + GROUPS for c in cells):
+        both = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, at + GROUPS)
+        return both[:, at:].astype(np.uint16), np.ascontiguousarray(both[:, :at]).view(np.uint64)
+    counts = np.array([np.frombuffer(c, kinds[len(c)], offset=at) for c in cells], np.uint32).reshape(-1, GROUPS)
+    return counts, np.frombuffer(b"".join(c[:at] for c in cells), np.uint64).reshape(len(cells), -1)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row: whether sets of sizes a and b can link, by minima of x and y and by parities p and q."""
+    least = needed(a, b)
+    good = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= a + b - 2 * least
+    at = np.nonzero(good)[0]
+    good[at] = np.minimum(x[at], y[at]).sum(axis=1, dtype=np.int64) >= least[at]
+    return good
 
 
 def needed(a, b):
@@ -124,7 +143,7 @@ def prefix_lengths(n: int) -> tuple[int, int]:
     return n - (-(-2 * PERCENT * n // (100 + PERCENT))) + 1, n - (-(-PERCENT * n // 100)) + 1
 
 
-def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of points whose summed coordinate minima reach the needed overlap.
 
     ``xs`` is packed into leaves of LEAF points in order of size, and leaves into
@@ -138,7 +157,7 @@ def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray,
         top, low = levels[-1]
         starts = np.arange(0, len(top), LEAF)
         levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(low, starts)))
-    found: list[tuple[int, int]] = []
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     stack = [(len(levels) - 1, 0, 0)]
     while stack:
         level, a, b = stack.pop()
@@ -146,14 +165,17 @@ def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray,
             continue
         top, low = levels[level - 1]
         ra, rb = np.arange(a * LEAF, min((a + 1) * LEAF, len(top))), np.arange(b * LEAF, min((b + 1) * LEAF, len(top)))
-        bound = np.minimum(top[ra][:, None, :], top[rb][None, :, :]).sum(axis=2)
+        bound = np.minimum(top[ra][:, None, :], top[rb][None, :, :]).sum(axis=2, dtype=np.int64)
         good = bound >= needed(low[ra][:, None], low[rb][None, :])
         if level > 1:
             stack += [(level - 1, ra[i], rb[j]) for i, j in zip(*np.nonzero(good), strict=True) if ra[i] <= rb[j]]
         else:
-            good &= allowed(order[ra], order[rb]) & (ra[:, None] < rb[None, :])
-            found += [(order[ra[i]], order[rb[j]]) for i, j in zip(*np.nonzero(good), strict=True)]
-    return found
+            good &= ra[:, None] < rb[None, :]
+            if good.any():
+                i, j = np.nonzero(good & allowed(order[ra], order[rb]))
+                us.append(order[ra[i]])
+                vs.append(order[rb[j]])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.RecordBatch:
@@ -206,11 +228,11 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, key bigint, n bigint, node bigint, text_key bigint, point binary, common bigint, sets bigint")
 
 
-def postings(docs: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
+def postings(docs: DataFrame, common: pa.Table) -> DataFrame:
     """(shingle, node, n, lead): the first shingles of each set, once per task for equal sets."""
-    keys = np.array([k for k, _ in common], np.int64).view(np.uint64)
+    keys = common.column("common").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.array([int(n).bit_length() for _, n in common], np.int64)[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.log2(common.column("sets").to_numpy()).astype(np.int8)[order] + np.int8(1)))
     names, kinds = ["shingle", "node", "n", "lead"], [_LONG, _LONG, _LONG, pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,44 +261,64 @@ def postings(docs: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """The postings whose shingle has two nodes or more, without repeats.
+    """(cell, node, n, lead): the postings of shingles that two nodes or more share.
 
-    Rows come sorted, so one row is held back at a time, however large a cell is.
+    Rows come sorted by shingle. Copies share many shingles, so cells of up to
+    LEAF members are told apart by their members and kept once. Larger ones go on
+    row by row, so that no task holds more than a leaf of them.
     """
-    names, kinds = ["shingle", "node", "n", "lead"], [_LONG, _LONG, _LONG, pa.bool_()]
+    names = ["a", "b", "nodes", "ns", "leads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[np.ndarray] | None = None
-        before: int | None = None  # the shingle of the row before the one held back
+        held: list[np.ndarray] | None = None
+        big: int | None = None  # a shingle that has grown beyond a leaf
+        last: int | None = None  # and its last node
 
-        def settle(cols: list[np.ndarray], final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal last, before
+        def cells(cols: list[np.ndarray], final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, big, last
             key, node = cols[0], cols[1]
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            cols = [c[fresh] for c in cols]
-            key = cols[0]
-            good = np.zeros(len(key), bool)
-            same = key[1:] == key[:-1]
-            good[1:] |= same
-            good[:-1] |= same
-            if before is not None and len(key):
-                good[0] |= key[0] == before
+            if big is not None and len(key) and key[0] == big:
+                fresh[0] &= node[0] != last
+            key, node, n, lead = (c[fresh] for c in cols)
+            if not len(key):
+                held = None
+                return
+            starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            lengths = np.diff(np.append(starts, len(key)))
+            flat = (lengths > LEAF) | (key[starts] == big if big is not None else False)
+            whole = np.ones(len(starts), bool)
             if not final:
-                last, before = [c[-1:] for c in cols], (int(key[-2]) if len(key) > 1 else before)
-                good = good[:-1]
-                cols = [c[:-1] for c in cols]
-            if good.any():
-                yield _batch(names, kinds, [pa.array(c[good]) for c in cols])
+                if flat[-1]:
+                    big, last, held = int(key[-1]), int(node[-1]), None
+                else:
+                    whole[-1] = False
+                    held, big = [c[starts[-1] :] for c in (key, node, n, lead)], None
+            few = whole & ~flat & (lengths > 1)
+            row = np.repeat(few, lengths)
+            if row.any():
+                marks = _mixed((node[row].view(np.uint64) << np.uint64(1)) | lead[row].astype(np.uint64))
+                offsets = np.concatenate([[0], np.cumsum(lengths[few])])
+                first, second = np.add.reduceat(marks, offsets[:-1]), np.bitwise_xor.reduceat(_mixed(marks), offsets[:-1])
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c[row])) for c in (node, n, lead)]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), *lists], names=names)
+            row = np.repeat(flat, lengths)
+            if row.any():  # a row each, told apart by shingle and node
+                offsets = pa.array(np.arange(row.sum() + 1), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c[row])) for c in (node, n, lead)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(node[row]), *lists], names=names)
 
         for batch in batches:
             if batch.num_rows:
                 cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                yield from settle([np.concatenate(x) for x in zip(last, cols, strict=True)] if last else cols, False)
-        if last:
-            yield from settle(last, True)
+                yield from cells([np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols, False)
+        if held:
+            yield from cells(held, True)
 
-    return rows.mapInArrow(run, "shingle bigint, node bigint, n bigint, lead boolean")
+    made = rows.mapInArrow(run, "a bigint, b bigint, nodes array<bigint>, ns array<bigint>, leads array<boolean>")
+    once = made.groupBy("a", "b").agg(F.first("nodes").alias("nodes"), F.first("ns").alias("ns"), F.first("leads").alias("leads"))
+    return once.select("a", F.explode(F.arrays_zip("nodes", "ns", "leads")).alias("m")).select(F.col("a").alias("cell"), F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"), F.col("m.leads").alias("lead"))
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,8 +330,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b, pu, pv = (batch.column(k) for k in range(4))
-                x, y = points(pu.to_pylist()), points(pv.to_pylist())
-                good = np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1))
+                (x, p), (y, q) = points(pu.to_pylist()), points(pv.to_pylist())
+                good = may_link(x, y, p, q, x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
                 yield _batch(["u", "v"], [_LONG, _LONG], [a, b]).filter(pa.array(good))
 
     joined = pairs.join(u, "u").join(v, "v").where(f"100 * nu >= {PERCENT} * nv and 100 * nv >= {PERCENT} * nu")
@@ -332,8 +374,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(["node", "members"], [_LONG, _BINARY], [list(c) for c in zip(*rows, strict=True)])
 
-    found = docs.mapInArrow(sets, "node bigint, members binary").join(wanted.select("node"), "node", "left_semi")
-    found = materialise(found.groupBy("node").agg(F.first("members").alias("members")), "members")
+    found = docs.mapInArrow(sets, "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))  # both joins read this one exchange
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,35 +390,96 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(pairs.join(v, "v").join(u, "u").select("u", "v", "mu", "mv").mapInArrow(check, "u bigint, v bigint"), "links")
 
 
+def small_cells(cell: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of equal ``cell`` that are allowed; rows come sorted by cell, and cells have LEAF rows at most."""
+    us, vs = [], []
+    for step in range(1, LEAF):
+        at = np.nonzero(cell[:-step] == cell[step:])[0]
+        if not len(at):
+            break
+        at = at[allowed(at, at + step)]
+        us.append(at)
+        vs.append(at + step)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
 def cell_pairs(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one cell and different components that the trees let through.
+    """Pairs (u, v) of one cell and different components that can link.
 
-    Members are dealt to size bands, as sets of far sizes can't link, and within
-    a band to blocks; the tiles of two blocks are what a task sees at a time.
+    Large cells are dealt to size bands, as sets of far sizes can't link, and a
+    band to blocks; the tiles of two blocks are what a task sees at a time. The
+    rows of a cell or tile of LEAF rows are one leaf, others make a tree.
     """
     ratio = 100 / PERCENT
-    banded = rest.join(nodes.select("node", "point"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int"))
-    banded = banded.withColumn("band", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own"))))).select("*", "band.own", F.col("band.band").alias("of")).drop("band").withColumnRenamed("of", "band")
-    sizes = banded.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tiled = banded.join(sizes, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("shingle", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "node", "component", "n", "lead", "point")
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
-        node, comp, size, lead, block, own = (rows.column(c).to_numpy() for c in ("node", "component", "n", "lead", "block", "own"))
+    rest = rest.withColumnRenamed("cell", "group")
+    sizes = rest.groupBy("group").agg(F.count("*").alias("members"))
+    band = F.when(F.col("members") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int"))
+    own, below = F.struct(F.coalesce(band, F.lit(0)).alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))
+    banded = rest.join(sizes, "group").withColumn("place", F.explode(F.when(F.col("members") > BLOCK, F.array(own, below)).otherwise(F.array(own))))
+    banded = banded.select("group", "node", "component", "n", "lead", "members", "place.band", "place.own")
+    tiles = banded.where(F.col("members") > BLOCK).groupBy("group", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    tiled = banded.join(tiles, ["group", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    tiled = tiled.withColumn("cell", F.xxhash64("group", "band", F.least("block", "other"), F.greatest("block", "other")))
+    tiled = tiled.join(nodes.select("node", "point"), "node").select("cell", "block", "other", "own", "node", "component", "n", "lead", "point")
+    names = ["u", "v"]
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        cell, block, other, own, node, comp, size, lead = (rows.column(c).to_numpy() for c in ("cell", "block", "other", "own", "node", "component", "n", "lead"))
+        counts, parities = points(rows.column("point").to_pylist())
+        alone = block == other  # in a tile of two blocks only pairs between them count
 
         def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            small = size[a][:, None] <= size[b][None, :]
-            led = np.where(small, lead[a][:, None], lead[b][None, :]) | ((size[a][:, None] == size[b][None, :]) & (lead[a][:, None] | lead[b][None, :]))
-            return led & (own[a][:, None] | own[b][None, :]) & (comp[a][:, None] != comp[b][None, :]) & ((i == j) | (block[a][:, None] != block[b][None, :]))
-
-        found = tree_pairs(points(rows.column("point").to_pylist()), size, allowed)
-        u = np.array([node[a] for a, _ in found], np.int64)
-        v = np.array([node[b] for _, b in found], np.int64)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            led = np.where(size[a] < size[b], lead[a], np.where(size[a] > size[b], lead[b], lead[a] | lead[b]))
+            near = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+            return led & near & (own[a] | own[b]) & (comp[a] != comp[b]) & (alone[a] | alone[b] | (block[a] != block[b]))
+
+        starts = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
+        lengths = np.diff(np.append(starts, len(cell)))
+        small = np.repeat(lengths <= LEAF, lengths)
+        at = np.nonzero(small)[0]
+        a, b = small_cells(cell[at], lambda i, j: allowed(at[i], at[j]))
+        us, vs = [at[a]], [at[b]]
+        for start, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF], strict=True):
+
+            def in_leaf(i: np.ndarray, j: np.ndarray, start: int = start) -> np.ndarray:
+                i, j = start + i[:, None], start + j[None, :]
+                apart = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=2, dtype=np.int64)
+                return allowed(i, j) & (apart <= size[i] + size[j] - 2 * needed(size[i], size[j]))
+
+            a, b = tree_pairs(counts[start : start + length], size[start : start + length], in_leaf)
+            us.append(start + a)
+            vs.append(start + b)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        low, high = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+        order = np.lexsort((high, low))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        order = order[fresh]
+        u, v = u[order], v[order]
+        good = np.concatenate([np.empty(0, bool), *[may_link(counts[u[k]], counts[v[k]], parities[u[k]], parities[v[k]], size[u[k]], size[v[k]]) for k in np.array_split(np.arange(len(u)), len(u) // 50_000 + 1)]])
+        return _batch(names, [_LONG, _LONG], [pa.array(low[order][good]), pa.array(high[order][good])])
 
-    return tiled.groupBy("shingle", "band", "i", "j").applyInArrow(run, "u bigint, v bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 40_000:  # all whole cells; the last goes on
+                made = pa.Table.from_batches(held).combine_chunks()
+                cell = made.column("cell").to_numpy()
+                cut = int(np.searchsorted(cell, cell[-1]))
+                if cut:
+                    yield pairs_of(made.slice(0, cut))
+                held, rows = made.slice(cut).to_batches(), made.num_rows - cut
+        if rows:
+            yield pairs_of(pa.Table.from_batches(held).combine_chunks())
+
+    return tiled.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,22 +488,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = read.select("text")
     made = materialise(set_rows(read), "sets")
     rows = made.where("node is not null").select("id", "key", "n", "node", "text_key", "point")
-    common = made.where("common is not null").groupBy("common").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "common").limit(COMMON_ENTRIES)
-    common = [(r["common"], r["sets"]) for r in common.toLocalIterator()]
+    common = made.where("common is not null").groupBy("common").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= COMMON_IN_ALL).orderBy(F.desc("sets"), "common").limit(COMMON_ENTRIES).toArrow()
     nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.min("point").alias("point")), "nodes")
 
     cells = postings(texts, common)
     cells = materialise(shared_postings(cells.repartition("shingle").sortWithinPartitions("shingle", "node")), "cells")
     company = cells.groupBy("node").agg((F.count("*") / F.first("n")).alias("company"))
-    heads = cells.join(company, "node").groupBy("shingle").agg(F.max(F.struct("company", "node"))["node"].alias("head"))
-    stars = cells.select("shingle", "node").join(heads, "shingle").where("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+    heads = cells.join(company, "node").groupBy("cell").agg(F.max(F.struct("company", "node", "n", "lead")).alias("head"))
+    meets = "node <> head.node and 100 * least(n, head.n) >= {0} * greatest(n, head.n) and (if(n <= head.n, lead, false) or if(head.n <= n, head.lead, false))".format(PERCENT)
+    stars = cells.join(heads, "cell").where(meets).select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
     stars = materialise(bounded(stars, nodes), "stars")
     links = verified(stars, texts, nodes)
     parts = connected_components(links.toDF("src", "dst"))
 
     placed = materialise(cells.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b and led").select("shingle")
-    rest = placed.join(mixed, "shingle", "left_semi")
+    mixed = placed.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b and led").select("cell")
+    rest = placed.join(mixed, "cell", "left_semi")
     more = cell_pairs(rest, nodes).join(stars, ["u", "v"], "left_anti")
     more = materialise(more, "pairs")
     if not more.isEmpty():
@@ -418,10 +520,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each component, that of least id and key; documents without words all stay."""
     found = materialise(jaccard_components(docs, id_col, text_col).where("n_shingles > 0"), "components-of-rows")
     best = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "key"))["key"].alias("best"))
-    gone = materialise(found.join(best, "component").where("key <> best").select(F.col("key").alias("_key")).distinct(), "gone")
-    keyed = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(gone, "_key", "left_anti")
+    mark = free_name(docs, "_key")
+    gone = materialise(found.join(best, "component").where("key <> best").select(F.col("key").alias(mark)).distinct(), "gone")
+    keyed = docs.withColumn(mark, row_key(docs, id_col, text_col)).join(gone, mark, "left_anti")
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
-    return without_repeats(keyed.where(words), "_key").unionByName(keyed.where(~words)).select(*docs.columns)
+    return without_repeats(keyed.where(words), mark).unionByName(keyed.where(~words)).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
