@@ -23,7 +23,7 @@ from stocktake.llm.common import let, materialise, table
 from stocktake.llm.license_texts import EQUIVALENT, FAMILIES, FORMS, NAMES, SPDX, TEXTS
 
 #: Every known text holds one of these, which spares other units the normalisation.
-ANCHOR = r"licen[cs]|permission|redistribut|software"
+ANCHOR = r"licen[cs]|permission|redistribut|software|released under|distributed under"
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[^0-9a-z\x{80}-\x{10ffff}]+"
 
