@@ -55,6 +55,14 @@ def row_key(df: DataFrame, *cols: str) -> Column:
     return F.xxhash64(*[df[c] for c in cols])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_repeats(df: DataFrame, key: str) -> DataFrame:
     """``df`` with one row of each ``key``; only rows whose key repeats are shuffled, if there are any."""
     again = materialise(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeats")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import let, materialise, row_key, table, words_of
+from stocktake.llm.common import free_name, let, materialise, row_key, table, words_of
 
 WINDOW = 8
 #: Placeholders may fill at most this share of a window.
@@ -121,8 +121,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak an item."""
-    gone = materialise(leaks_by_text(docs, items, id_col, text_col).select("_key").distinct(), "leaking")
-    return docs.withColumn("_key", row_key(docs, id_col, text_col)).join(gone, "_key", "left_anti").select(*docs.columns)
+    mark = free_name(docs, "_key")
+    gone = materialise(leaks_by_text(docs, items, id_col, text_col).select(F.col("_key").alias(mark)).distinct(), "leaking")
+    return docs.withColumn(mark, row_key(docs, id_col, text_col)).join(gone, mark, "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, row_key, table, without_repeats, words_of
+from stocktake.llm.common import free_name, materialise, row_key, table, without_repeats, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -100,9 +100,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with ``copy`` counting from 1."""
-    taken = mix(docs, **how).groupBy("key").agg(F.sum("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("key", "_key")
-    keyed = without_repeats(docs.withColumn("_key", row_key(docs, "doc_id", "source", "text")), "_key")
-    return keyed.join(taken, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("copy"))
+    mark, times = free_name(docs, "_key"), free_name(docs, "_copies")
+    taken = mix(docs, **how).groupBy(F.col("key").alias(mark)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    keyed = without_repeats(docs.withColumn(mark, row_key(docs, "doc_id", "source", "text")), mark)
+    return keyed.join(taken, mark).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias(free_name(docs, "copy")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
