@@ -1,0 +1,57 @@
+import re
+
+from stocktake.llm import pii as p
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and p.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], p.KINDS.index(s[2])))
+
+
+def test_base_spans_against_the_patterns():
+    import random
+
+    rnd = random.Random(3)
+    texts = ["a@b.c", "@@a@b.c@d.e", "x.y+z@-.-a b@c", "1.2.3.4.5.6.7.8", "0001.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "+1 (743) 555-3824.", "+12345678", None, ""]
+    texts += ["".join(rnd.choice("ab1.@+ -()49") for _ in range(60)) for _ in range(3000)]
+    for text in texts:
+        assert p.base_spans(text) == brute(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a" * 300_000 + "@", "1." * 100_000):
+        p.base_spans(text)
+
+
+def test_contexts_find_unseen_identifiers(spark, prose):
+    seeds = [f"{prose(k, 20)} my card number {16 * '0'}{k % 10} please" for k in range(3)]
+    seeds += [f"{prose(100 + k, 20)} reach account holder user{k}@mail.example.com now {prose(200 + k, 5)}" for k in range(12)]
+    docs = spark.createDataFrame([*enumerate(seeds), (99, prose(5, 20) + " reach account holder AB-123456 now " + prose(6, 10)), (98, prose(7, 40) + " code AB-999999 here")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in p.find_pii(docs).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert [text[99][s.start : s.end] for s in got[99].added] == ["AB-123456"]
+    assert not got[98].added
+    assert all(len(got[k].base) == 1 for k in range(3, 15))
+
+
+def test_odd_and_empty_tables(odd_docs, no_docs):
+    rows = p.find_pii(odd_docs).collect()
+    texts = {r.doc_id: r.text for r in odd_docs.select("doc_id", "text").collect()}
+    assert len(rows) == odd_docs.count()
+    for r in rows:
+        assert [tuple(s) for s in r.base] == brute(texts[r.doc_id])
+    assert p.find_pii(no_docs).collect() == []
+    done = {r.doc_id: r.text for r in p.redact(odd_docs).collect()}
+    assert done[11] == "é 日本語 😀 [EMAIL]\n[PHONE]" and done[2] is None and done[3] == ""
