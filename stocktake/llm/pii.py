@@ -8,7 +8,8 @@ of its fillers that are believed, and a filler is believed as its patterns are,
 which is repeated ROUNDS times. Fillers of confident patterns become further
 spans of kind ``context``; base spans always stay.
 
-Patterns are as many as the corpus supports. Only a bit filter over them, of
+A pattern must have a fixed share of all seeds, so that there are no more of
+them for a large corpus than for a small one. Only a bit filter over them, of
 bounded size, travels to the texts; what it lets through is joined exactly.
 
 Offsets count code points, ends are exclusive. Defined results: null and empty
@@ -19,6 +20,7 @@ an empty table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, row_key, table
+from stocktake.llm.common import free_name, materialise, row_key, table
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-#: Distinct seeds that a pattern needs, what it must be worth, and the score a filler needs.
-MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.5
+#: Distinct seeds that a pattern needs, as a number and as a share of all (seed, pattern) pairs; what it must be worth; the score a filler needs.
+MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE, MIN_SCORE = 3, 0.0005, 0.5, 0.5
 #: Added to a pattern's fillers, so that few of them prove little.
 SMOOTHING = 1.0
 ROUNDS = 3
@@ -163,7 +165,8 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tup
     """Places of a text whose pattern is in the filter.
 
     Gives (pattern, instance, start, end) for identifier-shaped fillers that
-    touch no base span, and the patterns around all other words.
+    touch no base span, and the patterns around all other words, but those of
+    base spans.
     """
     words = WORD.findall(text)
     h = _hashes(words)
@@ -174,19 +177,26 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tup
     found: list[tuple[int, int, int, int]] = []
     others: list[np.ndarray] = []
     starts: list[int] | None = None
+    inside: set[int] = set()
+    if spans:
+        starts = [m.start() for m in WORD.finditer(text)]
+        for start, end, _ in spans:
+            inside.update(range(bisect_right(starts, start) - 1, bisect_left(starts, end)))
     for pattern in patterns(before2, before, after):
         slot = np.mod(pattern, bits)
         at = np.nonzero(mask[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1))[0]
         shaped = np.zeros(len(at), bool)
         for k, i in enumerate(at.tolist()):
+            if i in inside:
+                shaped[k] = True
+                continue
             core = EDGES.sub("", words[i])
             if len(core) >= 6 and SHAPE.match(core):
                 starts = starts or [m.start() for m in WORD.finditer(text)]
                 start = starts[i] + words[i].index(core)
                 end = start + len(core)
                 shaped[k] = True
-                if all(e <= start or end <= s for s, e, _ in spans):
-                    found.append((int(pattern[i]), instance_of(core), start, end))
+                found.append((int(pattern[i]), instance_of(core), start, end))
         others.append(pattern[at[~shaped]])
     return found, np.concatenate(others)
 
@@ -263,11 +273,11 @@ def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[D
     return confident, believed.select("instance", "score")
 
 
-def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind)."""
     read = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     seeded = materialise(seeds(read.select("text")), "seeds")
-    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds).select("pattern"), "patterns")
+    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= max(min_seeds, min_share * seeded.count())).select("pattern"), "patterns")
     rows = materialise(span_rows(read, *bit_filter(enough)), "spans")
 
     found = rows.where("pattern is null")
@@ -296,9 +306,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with all personal data replaced in the text, and its length in ``size_col`` if there is one."""
-    spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.col("key").alias("_key"), F.concat("base", "added").alias("_spans"))
-    spans = materialise(spans.where(F.size("_spans") > 0).dropDuplicates(["_key"]), "redactions")
-    joined = docs.withColumn("_key", row_key(docs, id_col, text_col)).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    mark, held = free_name(docs, "_key"), free_name(docs, "_spans")
+    spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.col("key").alias(mark), F.concat("base", "added").alias(held))
+    spans = materialise(spans.where(F.size(held) > 0).dropDuplicates([mark]), "redactions")
+    joined = docs.withColumn(mark, row_key(docs, id_col, text_col)).join(spans, mark, "left").select(*docs.columns, held)
     names = docs.columns
     at = names.index(text_col)
 
