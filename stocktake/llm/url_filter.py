@@ -98,3 +98,38 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_co
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _oracle() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def parts(rest: str) -> str:
+        host = f"translate(regexp_extract({rest}, '^[^/?#]*', 0), {quote(_UPPER)}, {quote(_LOWER)})"
+        path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+        asked = rf"regexp_replace(regexp_replace(regexp_extract({rest}, '^[^?#]*\?([^#]*)', 1), {quote(TRACKING)}, '', 'g'), '^&', '')"
+        node = f"CASE WHEN {host} <> '' THEN {host} || regexp_replace({path}, '/$', '') || CASE WHEN {asked} <> '' THEN '?' || {asked} ELSE '' END END"
+        return f"{host} AS host, {path} AS path, {node} AS node"
+
+    rest = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
+    values = ", ".join(f"({quote(v)}, {quote(r)}, {quote(r[: r.index('/')])}, {quote(r[r.index('/') :])})" for v, r in RULES)
+    link = r"""CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END"""
+    return rf"""
+WITH RECURSIVE
+ p AS (SELECT k, page_id, html, {parts('rest')} FROM (SELECT row_number() OVER () AS k, page_id, html, {rest.format('url')} AS rest FROM pages)),
+ rules(verdict, rule, rhost, rpath) AS (VALUES {values}),
+ hit AS (SELECT k, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM p JOIN rules ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) GROUP BY k),
+ tags AS (SELECT node, host, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE node IS NOT NULL),
+ hrefs AS (SELECT node AS src, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || host || href ELSE '' END AS url FROM (SELECT node, host, {link} AS href FROM tags) WHERE href <> ''),
+ one AS (SELECT src, node AS dst FROM (SELECT src, {parts(rest.format('url'))} FROM hrefs) WHERE node IS NOT NULL),
+ edge AS (SELECT src, dst FROM one UNION SELECT dst, src FROM one),
+ reach(a, b) AS (SELECT src, dst FROM edge UNION SELECT reach.a, edge.dst FROM reach JOIN edge ON reach.b = edge.src),
+ comp AS (SELECT a AS node, least(a, min(b)) AS grp FROM reach GROUP BY a),
+ every AS (SELECT p.*, coalesce(comp.grp, p.node) AS grp, hit.rule, hit.verdict AS own FROM p LEFT JOIN comp ON comp.node = p.node LEFT JOIN hit ON hit.k = p.k),
+ bad AS (SELECT grp FROM every WHERE own IS NOT NULL AND grp IS NOT NULL GROUP BY grp HAVING bool_or(own = 'block') AND NOT bool_or(own = 'allow'))
+SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN grp IN (SELECT grp FROM bad) THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN own IS NOT NULL THEN 'rule' WHEN grp IN (SELECT grp FROM bad) THEN 'alias' ELSE 'none' END AS reason FROM every
+"""
+
+
+ORACLE_SQL = _oracle()
