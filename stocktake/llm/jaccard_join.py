@@ -55,7 +55,7 @@ COMMON_IN_TASK, COMMON_IN_ALL, COMMON_ENTRIES = 2, 6, 500_000
 BLOCK, LEAF = 1024, 32
 #: Bits of the filter that picks the texts whose sets are verified, at most.
 FILTER_BITS = 1 << 27
-MEMO_WORDS, SEEN_SETS, CHUNK = 300_000, 1_000_000, 4_000_000
+MEMO_WORDS, SEEN_SETS, CHUNK = 200_000, 500_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
