@@ -2,16 +2,16 @@
 
 The target model is counted on the documents that labels mark as good, the
 background model on all documents. Both are interpolated bigram models of the
-same order and smoothing over one shared vocabulary: the most frequent words of
-all documents, and one entry for the rest. A document's score is the mean
-difference of its losses per token; low scores are like the target. A target
-document is scored by a target model without its own half of the targets, so
-that no document vouches for itself.
+same order and smoothing over one shared vocabulary: every word of all
+documents. A document's score is the mean difference of its losses per token;
+low scores are like the target. A target document is scored by a target model
+without its own half of the targets, so that no document vouches for itself.
 
-Counts cover every document and grow with the input. The vocabulary is bounded
-by a parameter, and so is the finished table of losses that scoring needs: one
-cell for each pair of its entries, whatever the size of the corpus. That table
-is all that is broadcast, besides the targets' ids while they are few.
+Counts cover every document, and words and bigrams grow with the input. Bigrams
+of two common words are scored from a broadcast table of bounded size; all
+others go by 64-bit hashes of their words to the counts of these, by shuffle.
+Both ways give the same losses. Besides, the targets' ids are broadcast while
+they are few.
 
 Defined results: null texts and texts without words have 0 tokens and null
 losses; several labels of one id make its document a target once if any of them
@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stocktake.llm.common import materialise, table
 
-#: The table of losses has (VOCABULARY + 2) squared cells of 16 bytes.
-VOCABULARY = 2_000
+#: Words whose bigrams are scored from a broadcast table of (COMMON + 2) squared cells of 16 bytes.
+COMMON = 2_000
+#: What stands for the words outside a closed vocabulary, and before a text; neither can be a word.
+OTHER, START = b"", b"\n"
 #: Weight of the bigram estimate against the unigram one; added count of each word.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
 #: Target ids are broadcast up to this many, and shuffled beyond.
@@ -66,111 +68,223 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Word ids; 0 stands for every word outside the vocabulary."""
+def tokens(text: bytes | None, kept) -> list[bytes]:
+    """The words of a text; with a closed vocabulary ``kept``, all others are one empty word."""
+    words = (text or b"").lower().split()
+    return words if kept is None else [w if w in kept.value else OTHER for w in words]
 
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: k for k, w in enumerate(words, 1)}
-        self.width = len(words) + 2  # the last id opens a text
 
-    def keys(self, text: bytes) -> np.ndarray:
-        """history * width + word for each token of a text."""
-        words = text.lower().split()
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        before = np.empty_like(ids)
-        if len(ids):
-            before[0], before[1:] = self.width - 1, ids[:-1]
-        return before * self.width + ids
+def word_table(docs: DataFrame, kept) -> DataFrame:
+    """(word, k, u1, u2, ub, h1, h2, hb): counts of every word as itself and as a history.
 
+    1 and 2 are the halves of the targets, b is all. The row of START counts the
+    texts as histories. ``docs``: text, fold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[Counter[bytes]] = [Counter() for _ in FOLDS]
+        last: list[Counter[bytes]] = [Counter() for _ in FOLDS]
+
+        def out(fold: int) -> pa.RecordBatch:
+            seen, ends = words[fold], last[fold]
+            cols = [[START, *seen.keys()], [fold] * (len(seen) + 1), [0, *seen.values()], [sum(ends.values()), *[n - ends.get(w, 0) for w, n in seen.items()]]]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), _LONG, _LONG), strict=True)], names=["word", "fold", "u", "h"])
+            seen.clear()
+            ends.clear()
+            return batch
+
+        for batch in batches:
+            for text, fold in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = tokens(text, kept)
+                if found:
+                    words[fold].update(found)
+                    last[fold][found[-1]] += 1
+                    if len(words[fold]) > HELD_WORDS:
+                        yield out(fold)
+        for fold in FOLDS:
+            yield out(fold)
+
+    rows = docs.select("text", "fold").mapInArrow(run, "word binary, fold int, u bigint, h bigint")
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for x in "uh" for f in (1, 2)]
+    return rows.groupBy("word").agg(*sums, F.sum("u").alias("ub"), F.sum("h").alias("hb")).withColumn("k", F.xxhash64("word"))
+
+
+class Codes(dict):
+    """Codes of words: 1 to the number of common words, or a 64-bit hash as xxhash64 in Spark."""
+
+    def __init__(self, common: dict[bytes, int]):
+        super().__init__(common)
+        self.common, self.start = common, len(common) + 1  # the last code opens a text
+
+    def __reduce__(self):
+        return Codes, (self.common,)
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def bigram_counts(docs: DataFrame, coder) -> DataFrame:
-    """(key, fold, n): bigram counts by fold. ``docs``: text, fold (0: no target, else its half)."""
+        if len(self) > HELD_WORDS:
+            self.clear()
+            self.update(self.common)
+        value = xxhash.xxh64_intdigest(word, 42)
+        self[word] = value = value - (value >> 63 << 64)
+        return value
+
+    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Histories and words of a text by code, and which of either are common."""
+        w = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        h = np.empty_like(w)
+        if len(w):
+            h[0], h[1:] = self.start, w[:-1]
+        return h, w, (h > 0) & (h <= self.start), (w > 0) & (w < self.start)
+
+
+def common_bigrams(docs: DataFrame, codes, kept) -> DataFrame:
+    """(key, n1, n2, nb) of the bigrams of two common words; key is history * (start + 1) + word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {fold: [] for fold in FOLDS}
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held[kind]) if held[kind] else np.empty(0, np.int64), return_counts=True)
-            held[kind].clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), kind), pa.int32()), pa.array(n.astype(np.int64))], names=["key", "fold", "n"])
+        def out(fold: int) -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held[fold]) if held[fold] else np.empty(0, np.int64), return_counts=True)
+            held[fold].clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), fold), pa.int32()), pa.array(n.astype(np.int64))], names=["key", "fold", "n"])
 
         sizes = dict.fromkeys(FOLDS, 0)
         for batch in batches:
-            for text, kind in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    keys = coder.value.keys(text)
-                    held[kind].append(keys)
-                    sizes[kind] += len(keys)
-                    if sizes[kind] > HELD_BIGRAMS:
-                        yield out(kind)
-                        sizes[kind] = 0
-        for kind in FOLDS:
-            yield out(kind)
-
-    return docs.select("text", "fold").mapInArrow(run, "key bigint, fold int, n bigint").groupBy("key", "fold").agg(F.sum("n").alias("n"))
+            for text, fold in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
+                both = hc & wc
+                held[fold].append(h[both] * (codes.value.start + 1) + w[both])
+                sizes[fold] += len(held[fold][-1])
+                if sizes[fold] > HELD_BIGRAMS:
+                    yield out(fold)
+                    sizes[fold] = 0
+        for fold in FOLDS:
+            yield out(fold)
+
+    rows = docs.select("text", "fold").mapInArrow(run, "key bigint, fold int, n bigint")
+    return rows.groupBy("key").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (1, 2)], F.sum("n").alias("nb"))
+
+
+def rare_bigrams(docs: DataFrame, codes, kept, both: bool) -> DataFrame:
+    """(k, o, side, fold, row): a row for each bigram of a text with a rare word.
+
+    k is the rare word and o the common one; side 0 if k is the word, 1 if it is
+    the history. With ``both``, only bigrams of two rare words: side 2, k the history.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for text, fold, row in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
+                taken = ~hc & ~wc if both else hc ^ wc
+                h, w, hc = h[taken], w[taken], hc[taken]
+                side = np.full(len(h), 2, np.int8) if both else (~hc).astype(np.int8)
+                for col, x in zip(cols, (np.where(hc, w, h), np.where(hc, h, w), side, np.full(len(h), fold, np.int8), np.full(len(h), row)), strict=True):
+                    col.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (_LONG, _LONG, pa.int8(), pa.int8(), _LONG), strict=True)], names=["k", "o", "side", "fold", "row"])
 
-def _losses(n: Column, history: Column, unigram: Column, total: Column, entries: int) -> Column:
-    """-ln of the interpolated estimate; all of the weight is the unigram's where the history was not seen."""
-    flat = (unigram + ADDED) / (total + ADDED * entries)
-    return -F.log(F.when(history > 0, BIGRAM_WEIGHT * n / history + (1 - BIGRAM_WEIGHT) * flat).otherwise(flat))
+    return docs.select("text", "fold", "row").mapInArrow(run, "k bigint, o bigint, side tinyint, fold tinyint, row bigint")
 
 
-def models(counts: DataFrame, width: int) -> DataFrame:
-    """(key, l0, l1, l2, lb): losses of every bigram that any document has.
+def of_fold(x: str) -> Column:
+    """The count that a text's own target model has: without its half if it is a target."""
+    return F.when(F.col("fold") == 0, F.col(f"{x}1") + F.col(f"{x}2")).when(F.col("fold") == 1, F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
 
-    l0 is the target model's, l1 and l2 those of the target models without
-    either half, lb the background's. ``counts``: key, n0, n1, n2, nb. Histories
-    and words number no more than the vocabulary.
-    """
-    names = ("0", "1", "2", "b")
-    pairs = counts.withColumn("h", F.expr(f"key div {width}")).withColumn("w", F.col("key") % width)
-    histories = pairs.groupBy("h").agg(*[F.sum(f"n{x}").alias(f"h{x}") for x in names])
-    words = pairs.groupBy("w").agg(*[F.sum(f"n{x}").alias(f"u{x}") for x in names])
-    totals = pairs.agg(*[F.coalesce(F.sum(f"n{x}"), F.lit(0)).alias(x) for x in names]).first()
-    rows = pairs.join(F.broadcast(histories), "h").join(F.broadcast(words), "w")  # both are bounded by the vocabulary
-    return rows.select("key", *[_losses(F.col(f"n{x}"), F.col(f"h{x}"), F.col(f"u{x}"), F.lit(totals[x]), width - 1).cast("float").alias(f"l{x}") for x in names])
 
+def rare_losses(docs: DataFrame, words: DataFrame, common: DataFrame, codes, kept, totals: dict[str, int], entries: int) -> DataFrame:
+    """(row, lt, lb, n): summed losses of the bigrams with a rare word.
 
-def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, broadcast_targets: int = BROADCAST_TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Each meets the counts of its rare words by shuffle. No such word has more
+    than a fixed share of the tokens, so that no key is heavy.
+    """
+    total = F.when(F.col("fold") == 0, totals["1"] + totals["2"]).when(F.col("fold") == 1, totals["2"]).otherwise(totals["1"])
+    counted = Window.partitionBy("k", "o", "side")
+    seen = lambda fold: F.sum((F.col("fold") == fold).cast("int")).over(counted)
+
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.join(words.hint("merge"), "k").withColumns({"n1": seen(1), "n2": seen(2), "nb": F.count("*").over(counted)})
+
+    def share(n: Column, h: Column) -> Column:
+        return F.when(h > 0, BIGRAM_WEIGHT * n / h)
+
+    def loss(part: Column, unigram: Column, of: Column) -> Column:
+        flat = (unigram + ADDED) / (of + ADDED * entries)
+        return -F.log(F.coalesce(part + (1 - BIGRAM_WEIGHT) * flat, flat))
+
+    one = counts(rare_bigrams(docs, codes, kept, False)).join(F.broadcast(common), "o")
+    for x in (*"12", "b"):
+        one = one.withColumns({f"hh{x}": F.when(F.col("side") == 0, F.col(f"ch{x}")).otherwise(F.col(f"h{x}")), f"uu{x}": F.when(F.col("side") == 0, F.col(f"u{x}")).otherwise(F.col(f"cu{x}"))})
+    one = one.select("row", loss(share(of_fold("n"), of_fold("hh")), of_fold("uu"), total).alias("lt"), loss(share(F.col("nb"), F.col("hhb")), F.col("uub"), F.lit(totals["b"])).alias("lb"))
+    two = counts(rare_bigrams(docs, codes, kept, True)).select(F.col("o").alias("k"), "row", "fold", share(of_fold("n"), of_fold("h")).alias("st"), share(F.col("nb"), F.col("hb")).alias("sb"))
+    two = two.join(words.select("k", "u1", "u2", "ub").hint("merge"), "k").select("row", loss(F.col("st"), of_fold("u"), total).alias("lt"), loss(F.col("sb"), F.col("ub"), F.lit(totals["b"])).alias("lb"))
+    return one.unionByName(two).groupBy("row").agg(F.sum("lt").alias("rt"), F.sum("lb").alias("rb"), F.count("*").alias("n"))
+
+
+def common_losses(counts: pa.Table, common: list, totals: dict[str, int], entries: int) -> np.ndarray:
+    """Losses of each bigram of common words: those of the target models for folds 0, 1, 2, and the background's."""
+    width = len(common) + 1  # code 0 is no word
+    cells = np.zeros((width * width, 4), np.float32)
+    keys = counts.column("key").to_numpy()
+    n = {x: counts.column(f"n{x}").to_numpy() for x in totals}
+    u, h = ({x: np.array([0, *[r[f"{c}{x}"] for r in common]], np.int64) for x in totals} for c in "uh")
+    for k, take in enumerate((lambda a: a["1"] + a["2"], lambda a: a["2"], lambda a: a["1"], lambda a: a["b"])):
+        history = take(h)[keys // width]
+        flat = (take(u)[keys % width] + ADDED) / (take(totals) + ADDED * entries)
+        cells[keys, k] = -np.log(np.where(history > 0, BIGRAM_WEIGHT * take(n) / np.maximum(history, 1) + (1 - BIGRAM_WEIGHT) * flat, flat))
+    return cells
+
+
+def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int | None = None, broadcast_targets: int = BROADCAST_TARGETS, id_col: str = "doc_id", text_col: str = "text", common_words: int = COMMON) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, target_loss, background_loss, score (per token).
 
-    ``good`` holds the ids of the target documents.
+    ``good`` holds the ids of the target documents. ``vocabulary`` closes the
+    vocabulary to that many words and an entry for the rest; without it every
+    word has its own. ``common_words`` changes no result.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     chosen = good.select(F.col(id_col).alias("_good")).where("_good is not null").distinct()
     chosen = materialise(chosen.withColumn("_fold", (F.crc32(F.col("_good").cast("string").cast("binary")) % 2 + 1).cast("int")), "targets")
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    top = word_counts(read.select("text")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    words = [bytes(r["word"]) for r in top.select("word").collect()]  # at most ``vocabulary`` rows
-    coder = spark.sparkContext.broadcast(Coder(words))
-    width = len(words) + 2
-
     few = chosen.count() <= broadcast_targets
-    marked = read.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_good"), "left").select("text", F.coalesce("_fold", F.lit(0)).alias("fold"))
-    of = lambda *folds: F.sum(F.when(F.col("fold").isin(*folds), F.col("n")).otherwise(0))
-    counts = bigram_counts(marked, coder).groupBy("key").agg(of(1, 2).alias("n0"), of(2).alias("n1"), of(1).alias("n2"), F.sum("n").alias("nb"))
-    model = models(materialise(counts, "bigrams"), width).toArrow()  # at most width squared rows
-    losses = ["l0", "l1", "l2", "lb"]
-    cells = np.zeros((width * width, len(losses)), np.float32)
-    cells[model.column("key").to_numpy()] = np.stack([model.column(c).to_numpy() for c in losses], axis=1)
-    shared = spark.sparkContext.broadcast(cells)
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
+    marked = read.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_good"), "left").select("id", "text", "row", F.coalesce("_fold", F.lit(0)).alias("fold"))
+    kept = None
+    if vocabulary is not None:
+        top = word_counts(read.select("text")).orderBy(F.desc("n"), "word").limit(vocabulary)
+        kept = share(frozenset(bytes(r["word"]) for r in top.select("word").collect()))  # at most ``vocabulary`` rows
+
+    words = materialise(word_table(marked, kept), "words")
+    sums = words.where(F.col("word") != START).agg(F.count("*").alias("words"), *[F.coalesce(F.sum(f"u{x}"), F.lit(0)).alias(x) for x in (*"12", "b")]).first()
+    totals, entries = {x: sums[x] for x in (*"12", "b")}, (sums["words"] if kept is None else len(kept.value)) + 1
+    common = words.where(F.col("word") != START).orderBy(F.desc("ub"), "word").limit(common_words).collect()  # at most ``common_words`` rows
+    codes = share(Codes({bytes(r["word"]): k for k, r in enumerate(common, 1)}))
+    common += words.where(F.col("word") == START).collect() or [dict.fromkeys([f"{c}{x}" for c in "uh" for x in totals], 0)]
+    model = common_bigrams(marked, codes, kept).toArrow()  # at most the square of ``common_words`` + 1 rows
+    shared = share(common_losses(model, common, totals, entries))
+    names = [f"{c}{x}" for c in "uh" for x in totals]
+    listed = spark.createDataFrame([(k, *[r[x] for x in names]) for k, r in enumerate(common, 1)], "o bigint, " + ", ".join(f"c{x} bigint" for x in names))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                keys = coder.value.keys(text or b"")
-                rows.append((len(keys), *shared.value[keys].sum(axis=0, dtype=np.float64).tolist()))
-            cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], _LONG), *[pa.array(c, pa.float64()) for c in cols[1:]]], names=["id", "n_tokens", *losses])
-
-    sums = read.mapInArrow(run, f"id {kind}, n_tokens bigint, l0 double, l1 double, l2 double, lb double")
-    sums = sums.join(chosen, F.col("id") == F.col("_good"), "left").withColumn("lt", F.when(F.col("_fold") == 1, F.col("l1")).when(F.col("_fold") == 2, F.col("l2")).otherwise(F.col("l0")))
-    per = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return sums.select(F.col("id").alias(id_col), "n_tokens", per("lt").alias("target_loss"), per("lb").alias("background_loss"), (per("lt") - per("lb")).alias("score"))
+            for text, fold in zip(batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
+                both = hc & wc
+                cells = shared.value[h[both] * (codes.value.start + 1) + w[both]]
+                rows.append((len(w), len(w) - len(cells), *cells[:, [fold, 3]].sum(axis=0, dtype=np.float64).tolist()))
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], _LONG), pa.array(cols[1], _LONG), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["id", "row", "n_tokens", "rare", "lt", "lb"])
+
+    each = marked.select("id", "row", "text", "fold").mapInArrow(run, f"id {kind}, row bigint, n_tokens bigint, rare bigint, lt double, lb double")
+    each = each.join(rare_losses(marked, words.drop("word"), listed, codes, kept, totals, entries), "row", "left")
+    # Repeated rows share one sum of their rare bigrams, of which each has its part.
+    per = lambda c, r: F.when(F.col("n_tokens") > 0, (F.col(c) + F.when(F.col("rare") > 0, F.col(r) * F.col("rare") / F.col("n")).otherwise(0.0)) / F.col("n_tokens"))
+    lt, lb = per("lt", "rt"), per("lb", "rb")
+    return each.select(F.col("id").alias(id_col), "n_tokens", lt.alias("target_loss"), lb.alias("background_loss"), (lt - lb).alias("score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

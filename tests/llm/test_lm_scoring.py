@@ -55,3 +55,17 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all((r.score is None) == (r.n_tokens == 0) for r in got)
     assert m.score_documents(no_docs, good).collect() == []
     assert m.score_documents(odd_docs, good.limit(0)).count() == odd_docs.count()
+
+
+def test_every_word_has_its_own_entry(spark, prose):
+    docs = {k: prose(k, 120) + f" rare{k} rare{k % 7} word{k} rare{k}" for k in range(60)} | {70: None, 71: "", 72: "Unseen words ONLY"}
+    docs |= {200 + k: " ".join(f"w{k}x{i}" for i in range(60)) for k in range(40)}  # 2,400 words that occur once
+    good = [0, 1, 2, 5, 9, 11, 70, 205, 206]
+    df = spark.createDataFrame([*docs.items(), (3, docs[3])], "doc_id bigint, text string")
+    want = brute(docs | {3.5: docs[3]}, good, 10**9)
+    for options in ({}, {"common_words": 0}, {"common_words": 7}):
+        got = m.score_documents(df, spark.createDataFrame([(g,) for g in good], "doc_id bigint"), **options).collect()
+        assert len(got) == len(docs) + 1
+        for r in got:
+            n, t, b = want[r.doc_id]
+            assert r.n_tokens == n and (t is None or (r.target_loss == pytest.approx(t, rel=1e-5) and r.background_loss == pytest.approx(b, rel=1e-5))), (options, r)
