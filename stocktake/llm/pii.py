@@ -8,8 +8,8 @@ of its fillers that are believed, and a filler is believed as its patterns are,
 which is repeated ROUNDS times. Fillers of confident patterns become further
 spans of kind ``context``; base spans always stay.
 
-A pattern must have a fixed share of all seeds, so that there are no more of
-them for a large corpus than for a small one. Only a bit filter over them, of
+A pattern must have a fixed number of distinct seeds, whatever the size of the
+corpus, so that the patterns grow with it. Only a bit filter over them, of
 bounded size, travels to the texts; what it lets through is joined exactly.
 
 Offsets count code points, ends are exclusive. Defined results: null and empty
@@ -33,8 +33,8 @@ from stocktake.llm.common import free_name, materialise, row_key, table
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-#: Distinct seeds that a pattern needs, as a number and as a share of all (seed, pattern) pairs; what it must be worth; the score a filler needs.
-MIN_SEEDS, MIN_SHARE, MIN_CONFIDENCE, MIN_SCORE = 3, 0.0005, 0.5, 0.5
+#: Distinct seeds that a pattern needs; what it must be worth; the score a filler needs.
+MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.5
 #: Added to a pattern's fillers, so that few of them prove little.
 SMOOTHING = 1.0
 ROUNDS = 3
@@ -273,11 +273,11 @@ def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[D
     return confident, believed.select("instance", "score")
 
 
-def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind)."""
     read = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     seeded = materialise(seeds(read.select("text")), "seeds")
-    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= max(min_seeds, min_share * seeded.count())).select("pattern"), "patterns")
+    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds).select("pattern"), "patterns")
     rows = materialise(span_rows(read, *bit_filter(enough)), "spans")
 
     found = rows.where("pattern is null")

@@ -55,3 +55,12 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert p.find_pii(no_docs).collect() == []
     done = {r.doc_id: r.text for r in p.redact(odd_docs).collect()}
     assert done[11] == "é 日本語 😀 [EMAIL]\n[PHONE]" and done[2] is None and done[3] == ""
+
+
+def test_unrelated_seeds_hide_no_context(spark):
+    known = [f"reach account holder user{k}@mail.example.com now" for k in range(4)]
+    unrelated = [" ".join(f"a{k} b{k} u{k}@x.com c{k}" for k in range(500 * i, 500 * i + 500)) for i in range(10)]
+    docs = spark.createDataFrame([*enumerate(known + unrelated), (99, "reach account holder AB-123456 now")], "doc_id bigint, text string")
+    assert p.seeds(docs.select("text")).count() > 5 / 0.0005 - 10
+    got = {r.doc_id: r for r in p.find_pii(docs).collect()}
+    assert [tuple(s) for s in got[99].added] == [(21, 30, p.CONTEXT)]
