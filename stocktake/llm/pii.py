@@ -4,7 +4,7 @@ Base spans are emails, IPv4 addresses, payment cards and phone numbers. They are
 the seeds: the words around them induce lexical patterns, two words to the left,
 or one on either side. Spark scores the graph of patterns and of the
 identifier-shaped words they stand around: a pattern's confidence is the share
-of its fillers that are believed, and a filler is believed as its patterns are,
+of its distinct fillers that are believed, and a filler is believed as its patterns are,
 which is repeated ROUNDS times. Fillers of confident patterns become further
 spans of kind ``context``; base spans always stay.
 
@@ -161,12 +161,18 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "pattern bigint, instance bigint").distinct()
 
 
+def distinct_rows(pairs: np.ndarray) -> np.ndarray:
+    """The distinct rows of a table of two columns."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
+
+
 def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """Places of a text whose pattern is in the filter.
 
     Gives (pattern, instance, start, end) for identifier-shaped fillers that
-    touch no base span, and the patterns around all other words, but those of
-    base spans.
+    touch no base span, and (pattern, hash) of all other words but those of base
+    spans.
     """
     words = WORD.findall(text)
     h = _hashes(words)
@@ -197,8 +203,9 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tup
                 end = start + len(core)
                 shaped[k] = True
                 found.append((int(pattern[i]), instance_of(core), start, end))
-        others.append(pattern[at[~shaped]])
-    return found, np.concatenate(others)
+        plain = at[~shaped]
+        others.append(np.stack([pattern[plain], h[plain].view(np.int64)], axis=1))
+    return found, distinct_rows(np.concatenate(others))
 
 
 def bit_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
@@ -217,21 +224,21 @@ _CANDIDATE = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("sta
 
 
 def span_rows(docs: DataFrame, mask: np.ndarray, bits: int) -> DataFrame:
-    """A row per document (id, key, base, candidates), and (pattern, others) counts of each task."""
+    """A row per document (id, key, base, candidates), and the distinct (pattern, other) of each task; other is a word's hash."""
     kind = docs.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(mask)
-    names = ["id", "key", "base", "candidates", "pattern", "others"]
+    names = ["id", "key", "base", "candidates", "pattern", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         id_type = None
 
-        def counts() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+        def pairs() -> pa.RecordBatch:
+            rows = distinct_rows(np.concatenate(held))
             held.clear()
-            none = pa.nulls(len(keys))
-            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_CANDIDATE)), pa.array(keys), pa.array(n.astype(np.int64))], names=names)
+            none = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_CANDIDATE)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -239,20 +246,20 @@ def span_rows(docs: DataFrame, mask: np.ndarray, bits: int) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text)
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                places, others = candidates(text, spans, shared.value, bits) if text and shared.value.any() else ([], np.empty(0, np.int64))
+                places, others = candidates(text, spans, shared.value, bits) if text and shared.value.any() else ([], np.empty((0, 2), np.int64))
                 found.append([dict(zip(("pattern", "instance", "start", "end"), x, strict=True)) for x in places])
                 held.append(others)
                 size += len(others)
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_CANDIDATE)), none, none], names=names)
             if size > HELD:
-                yield counts()
+                yield pairs()
                 size = 0
         if held:
-            yield counts()
+            yield pairs()
 
     span, place = "array<struct<start:int,end:int,kind:string>>", "array<struct<pattern:bigint,instance:bigint,start:int,end:int>>"
-    return docs.mapInArrow(run, f"id {kind}, key bigint, base {span}, candidates {place}, pattern bigint, others bigint")
+    return docs.mapInArrow(run, f"id {kind}, key bigint, base {span}, candidates {place}, pattern bigint, other bigint")
 
 
 def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +292,7 @@ def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float
     places = materialise(places.distinct(), "places")
     edges = places.select("pattern", "instance").withColumn("seed", F.lit(0)).unionByName(seeded.join(enough, "pattern", "left_semi").withColumn("seed", F.lit(1)))
     edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    others = materialise(rows.where("pattern is not null").groupBy("pattern").agg(F.sum("others").alias("others")).join(enough, "pattern", "left_semi"), "others")
+    others = materialise(rows.where("pattern is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others")).join(enough, "pattern", "left_semi"), "others")
     confident, believed = scored(edges, others, rounds)
 
     taken = places.join(confident.where(F.col("confidence") >= min_confidence).select("pattern"), "pattern", "left_semi").join(believed.where(F.col("score") >= min_score).select("instance"), "instance", "left_semi")

@@ -64,3 +64,12 @@ def test_unrelated_seeds_hide_no_context(spark):
     assert p.seeds(docs.select("text")).count() > 5 / 0.0005 - 10
     got = {r.doc_id: r for r in p.find_pii(docs).collect()}
     assert [tuple(s) for s in got[99].added] == [(21, 30, p.CONTEXT)]
+
+
+def test_copies_do_not_change_the_confidence(spark):
+    known = [f"reach account holder user{k}@mail.example.com now" for k in range(12)]
+    rows = [*enumerate(known), (99, "reach account holder AB-123456 now")]
+    rows += [(1000 + k, "reach account holder someone now") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in p.find_pii(docs).collect()}
+    assert [tuple(s) for s in got[99].added] == [(21, 30, p.CONTEXT)]
