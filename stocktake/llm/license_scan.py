@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocktake.llm.common import let, materialise, table
-from stocktake.llm.license_texts import EQUIVALENT, FAMILIES, FORMS, NAMES, SPDX, TEXTS
+from stocktake.llm.license_texts import EQUIVALENT, FAMILIES, FORMS, HEADERS, NAMES, SPDX, TEXTS
 
 #: Every known text holds one of these, which spares other units the normalisation.
 ANCHOR = r"licen[cs]|permission|redistribut|software|released under|distributed under"
@@ -30,7 +30,7 @@ PUNCTUATION = r"[^0-9a-z\x{80}-\x{10ffff}]+"
 
 def known_texts() -> list[tuple[str, str]]:
     """(licence id, whole text) of everything that is looked for."""
-    found = [(name, text) for name, texts in TEXTS.items() for text in texts]
+    found = [(name, text) for known in (TEXTS, HEADERS) for name, texts in known.items() for text in texts]
     found += [(name, form.format(called)) for name, names in NAMES.items() for called in names for form in FORMS]
     return found + [(name, SPDX.format(name)) for name in {**NAMES, **TEXTS}]
 

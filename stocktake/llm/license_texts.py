@@ -1,9 +1,12 @@
 """Canonical licence texts and notices, as published. Fixed values.
 
-TEXTS: id -> whole texts. NAMES and FORMS make the one-line notices by which
-works usually state a licence.
+TEXTS: id -> whole texts, the long ones from files in ``licenses``, and standard
+header notices. NAMES and FORMS make the one-line notices by which works usually
+state a licence.
 """
 
+from importlib.resources import files
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -36,6 +39,48 @@ TEXTS = {
     "Zlib": [_ZLIB, "zlib License\n\n" + _ZLIB],
 }
 
+#: Ids whose published text is a file.
+PUBLISHED = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _published(name: str) -> list[str]:
+    """The text of a file, and without the appendix that follows its terms."""
+    text = files(__package__).joinpath("licenses", f"{name}.txt").read_text("utf-8")
+    terms = text.partition(_END)[0]
+    return [text, terms, terms + _END] if _END in text else [text]
+
+
+TEXTS |= {name: _published(name) for name in PUBLISHED}
+
+_APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+_GNU = {"GPL-2.0": ("General", 2), "GPL-3.0": ("General", 3), "LGPL-3.0": ("Lesser General", 3), "AGPL-3.0": ("Affero General", 3)}
+
+
+def _gnu_headers(kind: str, version: int) -> list[str]:
+    """The header, and its first paragraph alone, which names the licence."""
+    out = []
+    for work in ("program", "library", "software"):
+        first = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, "
+        warranty = f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+        copy = f"You should have received a copy of the GNU {kind} Public License along with this {work}"
+        tails = [f"{copy}. If not, see <https://www.gnu.org/licenses/>.", f"{copy}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."]
+        for which in (f"either version {version} of the License, or (at your option) any later version.", f"version {version} of the License.", f"version {version}."):
+            out += [first + which, *[f"{first}{which}\n\n{warranty}\n\n{tail}" for tail in tails]]
+    return out
+
+
+#: id -> standard header notices of several sentences, and the paragraph of each that names the licence.
+HEADERS = {
+    "Apache-2.0": ["\n\n".join(_APACHE), " ".join(_APACHE[:2]), _APACHE[0]],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    **{name: _gnu_headers(*of) for name, of in _GNU.items()},
+}
+
 #: id -> the names by which notices call the licence.
 NAMES = {
     "MIT": ["MIT License"],

@@ -21,3 +21,23 @@ def test_known_digests_are_unique_and_anchored(spark):
     assert all(re.search(s.ANCHOR, text.lower()) for _, text in known)
     digests = s.known_digests(spark).collect()
     assert len({r.digest for r in digests}) == len(digests)
+
+
+def test_long_texts_and_headers(spark):
+    from pathlib import Path
+
+    common = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    whole = {name: (common / file).read_text() for name, file in files.items()}
+    appendix = whole["Apache-2.0"].split('   Licensed under the Apache', 1)[1]
+    apache = "Some prose before.\n\n   Licensed under the Apache" + appendix + "\nSome code after."
+    start = whole["GPL-3.0"].index("    This program is free software: you can redistribute it")
+    gpl = "Some prose before.\n\n" + whole["GPL-3.0"][start : whole["GPL-3.0"].index("Also add information")] + "Some code after."
+    start = whole["GPL-2.0"].index("    This program is free software; you can redistribute it")
+    gpl2 = whole["GPL-2.0"][start : whole["GPL-2.0"].index("Also add information")]
+    rows = [*whole.items(), ("apache", apache), ("gpl", gpl), ("gpl2", gpl2)]
+    got = {r.doc_id: r for r in s.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name in files:
+        assert got[name].whole_license == name, name
+    assert (got["apache"].licenses, got["gpl"].licenses, got["gpl2"].licenses) == ("Apache-2.0", "GPL-3.0", "GPL-2.0")
+    assert got["gpl2"].whole_license == "GPL-2.0" and got["apache"].whole_license is None
