@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside space and \\t..\\r.
 SPACES = r"[ \t-\r]+"
+#: Rows that travel to a Python worker at once, unless the session sets another number.
+BATCH_ROWS = 500
+#: Bits of a filter over 64-bit keys, at most.
+FILTER_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +59,54 @@ def words_of(text: Column) -> Column:
 
 
 def row_key(df: DataFrame, *cols: str) -> Column:
-    """A hash by which rows that agree in ``cols`` are known again."""
-    return F.xxhash64(*[df[c] for c in cols])
+    """A hash by which rows that agree in ``cols`` are known again; nulls count by their place."""
+    return F.xxhash64(*[df[c] for c in cols], *[df[c].isNull() for c in cols])
+
+
+def row_mark(df: DataFrame, id_col: str, *cols: str) -> Column:
+    """The id and the row_key of a row: rows are mixed up only if they have one id and one hash."""
+    return F.struct(df[id_col].alias("id"), row_key(df, id_col, *cols).alias("key"))
+
+
+def _trim() -> None:
+    """Gives back to the system what a task has freed, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` by batches of few rows, so that long texts don't fill a worker."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(whole, schema)
+
+
+def bit_filter(keys: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
+    """A filter over a column of distinct 64-bit keys as 32-bit cells, 16 bits a key and ``most`` in all."""
+    bits = min(most, max(1 << 16, 1 << (16 * max(1, keys.count())).bit_length()))
+    at = F.pmod(column, F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(32)).cast("int"))
+    cells = keys.select(F.floor(at / 32).cast("int").alias("cell"), one.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(bits // 32, np.uint32)
+    mask[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    return mask
+
+
+def in_filter(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``keys`` the filter lets through."""
+    slot = np.mod(keys, len(mask) * 32)
+    return (mask[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
 def free_name(df: DataFrame, name: str) -> str:

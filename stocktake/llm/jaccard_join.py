@@ -1,34 +1,38 @@
 """N-gram Jaccard join by count vectors in packed R-trees, with exact results.
 
 A document is the set of its distinct 5-word shingles. Shingles are hashed into
-GROUPS groups and a set becomes the point of its group counts. The sum of the
-coordinate minima of two points bounds the overlap of their sets from above, and
-the same sum over the upper corners of two boxes bounds it for all points in
-them. The parities of finer group counts, PARITIES of them, bound the difference
-of two sets from below, which prunes what the minima let through. Surviving
-pairs are verified on the sets.
+groups, about one for GROUP_SIZE shingles, and a set becomes the point of its
+group counts. The sum of the coordinate minima of two points bounds the overlap
+of their sets from above, and the same sum over the upper corners of two boxes
+bounds it for all points in them. Points of unlike resolution are compared at
+the coarser one, as groups halve by adding. Surviving pairs are verified on the
+sets.
 
 A tree over all points can't be held by one task, and its upper boxes can't tell
 unrelated texts of one length apart. So points meet in cells: a cell holds the
 documents that have one shingle among the first of their set, in an order that
 puts shingles known to be common last. Sets that are similar enough share such a
-shingle whatever the order, so cells lose no pair. The trees are built within
-cells, over size bands and blocks of bounded size.
-
-Equal sets are one node. A first round tries, for every cell, each member with
-the member that has the most company; that joins groups of copies with few pairs.
-The trees then look for the rest: pairs of a cell that are in different
-components so far. No task holds a whole cell, and no pairs are listed within a
-group that is connected already.
+shingle whatever the order, so cells lose no pair. Every candidate comes from
+the trees, which are built over cells; a cell of up to LEAF points is a leaf.
+
+Equal sets are one node. The trees are searched three times, so that groups of
+copies are joined by few pairs and no pairs are listed within a group that is
+connected already: first for the nearest smaller point of each point, in a few
+cells of each node; then, in cells that hold several components, for the nearest
+points of each two components; last for all pairs that are in different
+components still. Cells beyond BLOCK points are dealt to blocks by size band and
+component; blocks of one component don't meet, and a task sees two blocks at a
+time.
 
 Sets and nodes are told apart by 64-bit hashes.
 
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing; a text of fewer than five words has its whole sequence as
-one shingle; equal texts are linked; rows with a null id take part, but
+one shingle; very long texts are read whole, and their points have at most
+2**MAX_LEVEL groups; equal texts are linked; rows with a null id take part, but
 component_id is the least id that is not null (null if there is none); rows that
 share an id keep their own texts. An empty table gives no rows. Only the named
-columns are read.
+columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -38,24 +42,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import free_name, materialise, row_key, table, without_repeats
+from stocktake.llm.common import bit_filter, free_name, in_arrow, in_filter, materialise, row_key, row_mark, table, without_repeats
 from stocktake.llm.components import connected_components
 
 SHINGLE = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 80
-GROUPS = 64
-PARITIES = 1024
+#: Shingles of a group, about; groups are two to a power between these.
+GROUP_SIZE, MIN_LEVEL, MAX_LEVEL = 8, 4, 12
 #: Common shingles: seen in this many sets of one task, and of all tasks; the table of them is broadcast and bounded.
 COMMON_IN_TASK, COMMON_IN_ALL, COMMON_ENTRIES = 2, 6, 500_000
+#: A shingle of two to this power sets is hot: its cell is made row by row, and never gathered.
+HOT_LEVEL = 10
 #: Members of a block of a cell, and of a leaf of its tree.
-BLOCK, LEAF = 1024, 32
-#: Bits of the filter that picks the texts whose sets are verified, at most.
-FILTER_BITS = 1 << 27
-MEMO_WORDS, SEEN_SETS, CHUNK = 200_000, 500_000, 1_000_000
+BLOCK, LEAF = 1024, 16
+#: Partners of one set that a task verifies together.
+PARTNERS = 256
+#: Largest and smallest cells of a node that the first search looks into.
+FIRST_CELLS = 2
+MEMO_WORDS, SEEN_SETS, CHUNK, HELD_BYTES, HELD_PAIRS = 200_000, 100_000, 1_000_000, 4_000_000, 200_000
+NEAREST, BETWEEN, ALL = "nearest", "between", "all"
+ANCHOR = 9
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,38 +109,17 @@ def node_of(members: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).view(np.int64).item()
 
 
-def text_key(text: bytes) -> int:
-    import xxhash
-
-    return np.uint64(xxhash.xxh3_64_intdigest(text, 1)).view(np.int64).item()
+def level_of(n):
+    """Groups of a set of n shingles, as a power of two."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / GROUP_SIZE)), MIN_LEVEL, MAX_LEVEL).astype(np.int64)
 
 
 def point_of(members: np.ndarray) -> bytes:
     """Group counts of a set, in as many bytes a group as the largest needs."""
-    counts = np.bincount((members & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    groups = 1 << int(level_of(len(members)))
+    counts = np.bincount((members & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     top = counts.max(initial=0)
-    finer = np.bincount((members & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(finer.astype(np.uint8)).tobytes() + counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
-
-
-def points(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Group counts and packed parities, a row per cell."""
-    at = PARITIES // 8
-    kinds = {at + GROUPS: np.uint8, at + 2 * GROUPS: np.uint16, at + 4 * GROUPS: np.uint32}
-    if all(len(c) == at + GROUPS for c in cells):
-        both = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, at + GROUPS)
-        return both[:, at:].astype(np.uint16), np.ascontiguousarray(both[:, :at]).view(np.uint64)
-    counts = np.array([np.frombuffer(c, kinds[len(c)], offset=at) for c in cells], np.uint32).reshape(-1, GROUPS)
-    return counts, np.frombuffer(b"".join(c[:at] for c in cells), np.uint64).reshape(len(cells), -1)
-
-
-def may_link(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row: whether sets of sizes a and b can link, by minima of x and y and by parities p and q."""
-    least = needed(a, b)
-    good = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= a + b - 2 * least
-    at = np.nonzero(good)[0]
-    good[at] = np.minimum(x[at], y[at]).sum(axis=1, dtype=np.int64) >= least[at]
-    return good
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
 
 
 def needed(a, b):
@@ -143,15 +132,53 @@ def prefix_lengths(n: int) -> tuple[int, int]:
     return n - (-(-2 * PERCENT * n // (100 + PERCENT))) + 1, n - (-(-PERCENT * n // 100)) + 1
 
 
-def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of points whose summed coordinate minima reach the needed overlap.
-
-    ``xs`` is packed into leaves of LEAF points in order of size, and leaves into
+class Points:
+    """Points by level, for sums of coordinate minima at the coarser level of two."""
+
+    def __init__(self, cells: list[bytes], n: np.ndarray):
+        self.n, self.level = n, level_of(n)
+        self.place = np.zeros(len(n), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for level in np.unique(self.level).tolist():
+            at = np.nonzero(self.level == level)[0]
+            self.place[at] = np.arange(len(at))
+            found = [cells[k] for k in at.tolist()]
+            width = max(map(len, found)) >> level
+            if all(len(c) >> level == 1 for c in found):
+                self.rows[level] = np.frombuffer(b"".join(found), np.uint8).reshape(len(at), -1)
+            else:
+                kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+                self.rows[level] = np.array([np.frombuffer(c, kinds[len(c) >> level]) for c in found], kinds[width])
+
+    def at_level(self, at: np.ndarray, level: int) -> np.ndarray:
+        """The points ``at`` with 2**level groups; none may have fewer."""
+        out = np.empty((len(at), 1 << level), np.uint32)
+        for own in np.unique(self.level[at]).tolist():
+            some = self.level[at] == own
+            x = self.rows[own][self.place[at[some]]].astype(np.uint32)
+            out[some] = x.reshape(len(x), -1, 1 << level).sum(axis=1)
+        return out
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of the coordinate minima of the points ``a`` and ``b``, row by row."""
+        out = np.empty(len(a), np.int64)
+        both = np.minimum(self.level[a], self.level[b])
+        for level in np.unique(both).tolist():
+            at = np.nonzero(both == level)[0]
+            for part in np.array_split(at, (len(at) << level) // CHUNK + 1):
+                out[part] = np.minimum(self.at_level(a[part], level), self.at_level(b[part], level)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def tree_pairs(x: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points whose summed coordinate minima reach the needed overlap, the smaller or former first.
+
+    ``x`` is packed into leaves of LEAF points in order of size, and leaves into
     nodes of LEAF, up to a root; pairs of boxes are followed down while the bound
     over their upper corners holds. ``allowed(i, j)`` says which pairs matter.
     """
     order = np.argsort(sizes, kind="stable")
-    x, n = xs[order], sizes[order]
+    x, n = x[order], sizes[order]
     levels = [(x, n)]  # upper corners, least sizes
     while len(levels[-1][0]) > 1:
         top, low = levels[-1]
@@ -172,9 +199,23 @@ def tree_pairs(xs: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray,
         else:
             good &= ra[:, None] < rb[None, :]
             if good.any():
-                i, j = np.nonzero(good & allowed(order[ra], order[rb]))
-                us.append(order[ra[i]])
-                vs.append(order[rb[j]])
+                i, j = np.nonzero(good)
+                i, j = order[ra[i]], order[rb[j]]
+                fine = allowed(i, j)
+                us.append(i[fine])
+                vs.append(j[fine])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def leaf_pairs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of equal ``cell``; rows come sorted by cell, and cells have LEAF rows at most."""
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, LEAF):
+        at = np.nonzero(cell[:-step] == cell[step:])[0]
+        if not len(at):
+            break
+        us.append(at)
+        vs.append(at + step)
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -185,14 +226,15 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
 _LONG, _BINARY = pa.int64(), pa.binary()
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
-    return batch.column(at).cast(pa.large_binary() if pa.types.is_large_string(batch.column(at).type) else _BINARY).to_pylist()
+def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes | None]:
+    """The texts of a batch, one at a time."""
+    return (x.as_py() for x in batch.column(at).cast(pa.large_binary() if pa.types.is_large_string(batch.column(at).type) else _BINARY))
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(id, key, n, node, text_key, point, common, sets): a row per document, and the common shingles of each task."""
-    names = ["id", "key", "n", "node", "text_key", "point", "common", "sets"]
-    kinds = [_LONG, _LONG, _LONG, _LONG, _LONG, _BINARY, _LONG, _LONG]
+    """(id, key, n, node, point, common, sets): a row per document, and the common shingles of each task."""
+    names = ["id", "key", "n", "node", "point", "common", "sets"]
+    kinds = [_LONG, _LONG, _LONG, _LONG, _BINARY, _LONG, _LONG]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -203,7 +245,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
             held.clear()
             many = counts >= COMMON_IN_TASK
             none = pa.nulls(int(many.sum()))
-            return _batch(names, kinds, [*[none.cast(k) for k in kinds[:6]], pa.array(keys[many].view(np.int64)), pa.array(counts[many])])
+            return _batch(names, kinds, [*[none.cast(k) for k in kinds[:5]], pa.array(keys[many].view(np.int64)), pa.array(counts[many])])
 
         size = 0
         for batch in batches:
@@ -211,7 +253,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
             for text in _texts(batch, 2):
                 members = shingle_set(text)
                 node = node_of(members)
-                rows.append((len(members), node, text_key(text or b""), point_of(members)))
+                rows.append((len(members), node, point_of(members)))
                 if node not in seen:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
@@ -225,15 +267,15 @@ def set_rows(docs: DataFrame) -> DataFrame:
             yield _batch(names, kinds, [batch.column(0), batch.column(1), *[list(c) for c in zip(*rows, strict=True)], none, none] if rows else [[] for _ in kinds])
         yield common()
 
-    return docs.mapInArrow(run, "id bigint, key bigint, n bigint, node bigint, text_key bigint, point binary, common bigint, sets bigint")
+    return in_arrow(docs, run, "id bigint, key bigint, n bigint, node bigint, point binary, common bigint, sets bigint")
 
 
 def postings(docs: DataFrame, common: pa.Table) -> DataFrame:
-    """(shingle, node, n, lead): the first shingles of each set, once per task for equal sets."""
+    """(shingle, node, n, lead, hot): the first shingles of each set, once per task for equal sets."""
     keys = common.column("common").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.log2(common.column("sets").to_numpy()).astype(np.int8)[order] + np.int8(1)))
-    names, kinds = ["shingle", "node", "n", "lead"], [_LONG, _LONG, _LONG, pa.bool_()]
+    names = ["shingle", "node", "n", "lead", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = shared.value
@@ -250,14 +292,17 @@ def postings(docs: DataFrame, common: pa.Table) -> DataFrame:
                     seen.clear()
                 seen.add(node)
                 lead, whole = prefix_lengths(n)
+                rank = np.zeros(n, np.int8)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, members), len(known) - 1)
-                    members = members[np.argsort(np.where(known[at] == members, level[at], 0), kind="stable")]
-                parts.append((members[:whole].view(np.int64), np.full(whole, node), np.full(whole, n), np.arange(whole) < lead))
+                    rank = np.where(known[at] == members, level[at], np.int8(0))
+                    first = np.argsort(rank, kind="stable")[:whole]
+                    members, rank = members[first], rank[first]
+                parts.append((members[:whole].view(np.int64), np.full(whole, node), np.full(whole, n), np.arange(whole) < lead, rank[:whole] > HOT_LEVEL))
             if parts:
-                yield _batch(names, kinds, [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "shingle bigint, node bigint, n bigint, lead boolean")
+    return in_arrow(docs, run, "shingle bigint, node bigint, n bigint, lead boolean, hot boolean")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -316,201 +361,229 @@ def shared_postings(rows: DataFrame) -> DataFrame:
         if held:
             yield from cells(held, True)
 
-    made = rows.mapInArrow(run, "a bigint, b bigint, nodes array<bigint>, ns array<bigint>, leads array<boolean>")
+    made = in_arrow(rows, run, "a bigint, b bigint, nodes array<bigint>, ns array<bigint>, leads array<boolean>")
     once = made.groupBy("a", "b").agg(F.first("nodes").alias("nodes"), F.first("ns").alias("ns"), F.first("leads").alias("leads"))
     return once.select("a", F.explode(F.arrays_zip("nodes", "ns", "leads")).alias("m")).select(F.col("a").alias("cell"), F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"), F.col("m.leads").alias("lead"))
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) that the sum of their points' minima lets through."""
-    u = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("point").alias("pu"))
-    v = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("point").alias("pv"))
+def placed_in_cells(found: DataFrame) -> DataFrame:
+    """The cells of ``postings``: hot ones row by row, others gathered so that equal ones are kept once."""
+    cold = found.where("not hot").select("shingle", "node", "n", "lead")
+    cold = shared_postings(cold.repartition("shingle").sortWithinPartitions("shingle", "node"))
+    hot = found.where("hot").select(F.col("shingle").alias("cell"), "node", "n", "lead").distinct()
+    return cold.unionByName(hot)
+
+
+def tiled(rows: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """(tile, side, node, component, n, lead, point): what each task of a search compares.
+
+    ``rows``: cell, node, component, n, lead, members. A cell of up to BLOCK
+    members is a tile, with side 0. Larger ones are dealt to blocks by size band
+    and, where a component fills blocks, by component; each two blocks of one
+    band or of neighbours are a tile, with sides 1 and 2, unless they are of one
+    component. For NEAREST, blocks are tiles of their own, each with the least
+    node of the band at side ANCHOR.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+    small = rows.where(F.col("members") <= BLOCK).select(F.xxhash64("cell").alias("tile"), F.lit(0).alias("side"), "node", "component", "n", "lead")
+    large = rows.where(F.col("members") > BLOCK).withColumn("band", band)
+    counts = large.groupBy("cell", "band", "component").agg(F.count("*").alias("c")).withColumn("whole", F.when(F.col("c") > BLOCK, F.col("component")))
+    parts = counts.groupBy("cell", "band", "whole").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).withColumn("part", F.xxhash64("cell", "band", F.col("whole").isNull(), "whole"))
+    listed = parts.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = materialise(listed.select("cell", "band", "whole", F.xxhash64("part", "number").alias("block")), "blocks")
+    a = listed.select("cell", F.col("band").alias("band_a"), F.col("whole").alias("whole_a"), F.col("block").alias("a"))
+    b = listed.select("cell", F.col("band").alias("band_b"), F.col("whole").alias("whole_b"), F.col("block").alias("b"))
+    meet = a.join(b, "cell").where("((band_a = band_b and a <= b) or band_a + 1 = band_b) and coalesce(whole_a <> whole_b, true)")
+    meet = meet.where("a = b" if what == NEAREST else "true").select("cell", "band_a", "a", "b", F.xxhash64("a", "b").alias("tile"))
+    sides = meet.where("a <> b").select("tile", F.col("a").alias("block"), F.lit(1).alias("side")).unionByName(meet.where("a <> b").select("tile", F.col("b").alias("block"), F.lit(2).alias("side")))
+    sides = sides.unionByName(meet.where("a = b").select("tile", F.col("a").alias("block"), F.lit(0).alias("side")))
+    wholes = counts.where("whole is not null").select("cell", "band", "component", "whole")
+    dealt = large.join(wholes, ["cell", "band", "component"], "left").withColumn("part", F.xxhash64("cell", "band", F.col("whole").isNull(), "whole")).join(parts.select("part", "blocks"), "part")
+    dealt = dealt.withColumn("block", F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    dealt = dealt.join(sides, "block").select("tile", "side", "node", "component", "n", "lead")
+    if what == NEAREST:
+        least = large.groupBy("cell", F.col("band").alias("band_a")).agg(F.min(F.struct("node", "component", "n", "lead")).alias("least"))
+        dealt = dealt.unionByName(meet.join(least, ["cell", "band_a"]).select("tile", F.lit(ANCHOR).alias("side"), "least.*"))
+    return small.unionByName(dealt).join(nodes.select("node", "point"), "node")
+
+
+def searched(rows: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+    """Distinct pairs (u, v) of nodes of one cell and different components that can link, found in the trees.
+
+    NEAREST gives each point its nearest smaller one in a tile, and the anchor of
+    the tile its nearest one, BETWEEN the nearest points of each two components
+    in a tile, ALL all pairs.
+    """
+
+    def pairs_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        tile, side, node, comp, size, lead = (part.column(c).to_numpy() for c in ("tile", "side", "node", "component", "n", "lead"))
+        points = Points(part.column("point").to_pylist(), size)
+
+        def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            led = np.where(size[a] < size[b], lead[a], np.where(size[a] > size[b], lead[b], lead[a] | lead[b]))
+            near = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+            return led & near & (comp[a] != comp[b]) & ((side[a] == 0) | (side[a] != side[b]))
+
+        def best(u: np.ndarray, v: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((node[u], -points.overlap(u, v), *keys))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+            return u[order[fresh]], v[order[fresh]]
+
+        def chosen(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            if what == NEAREST and len(u):
+                held = (side[u] == ANCHOR) | (side[v] == ANCHOR)
+                u, v = (np.concatenate(x) for x in zip(best(u, v, v), best(u[held], v[held], tile[u[held]]), strict=True))
+            elif what == BETWEEN and len(u):
+                u, v = best(u, v, np.maximum(comp[u], comp[v]), np.minimum(comp[u], comp[v]), tile[u])
+            return _batch(["u", "v"], [_LONG, _LONG], [pa.array(np.minimum(node[u], node[v])), pa.array(np.maximum(node[u], node[v]))])
+
+        starts = np.nonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))[0]
+        lengths = np.diff(np.append(starts, len(tile)))
+        at = np.nonzero(np.repeat(lengths <= LEAF, lengths))[0]
+        u, v = leaf_pairs(tile[at])
+        u, v = at[u], at[v]
+        fine = allowed(u, v)
+        u, v = u[fine], v[fine]
+        fine = points.overlap(u, v) >= needed(size[u], size[v])
+        u, v = u[fine], v[fine]
+        later = (size[u] > size[v]) | ((size[u] == size[v]) & (node[u] > node[v]))
+        yield chosen(np.where(later, v, u), np.where(later, u, v))
+        for start, length in zip(starts[lengths > LEAF].tolist(), lengths[lengths > LEAF].tolist(), strict=True):
+            rows = start + np.lexsort((node[start : start + length], size[start : start + length]))
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            first = 0
+            while first < length:  # the sizes of a band, with all that they can link with
+                low = size[rows[first]]
+                own = int(np.searchsorted(size[rows], low * 100 // PERCENT, "right"))
+                reach = int(np.searchsorted(size[rows], size[rows[own - 1]] * 100 // PERCENT, "right"))
+                some = rows[first:reach]
+                a, b = tree_pairs(points.at_level(some, int(points.level[some[0]])), size[some], lambda i, j, some=some, width=own - first: (i < width) & allowed(some[i], some[j]))
+                us.append(some[a])
+                vs.append(some[b])
+                first = own
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield chosen(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[pa.RecordBatch] = []
+        count = 0
+
+        def out() -> pa.RecordBatch:
+            found = pa.Table.from_batches(pairs).group_by(["u", "v"]).aggregate([]).combine_chunks().to_batches()
+            pairs.clear()
+            return found[0] if found else _batch(["u", "v"], [_LONG, _LONG], [[], []])
+
+        def found(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            for made in pairs_of(part):
+                pairs.append(made)
+                count += made.num_rows
+                if count > HELD_PAIRS:
+                    yield out()
+                    count = 0
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            if batch.num_rows:
-                a, b, pu, pv = (batch.column(k) for k in range(4))
-                (x, p), (y, q) = points(pu.to_pylist()), points(pv.to_pylist())
-                good = may_link(x, y, p, q, x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
-                yield _batch(["u", "v"], [_LONG, _LONG], [a, b]).filter(pa.array(good))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:  # all whole tiles; the last goes on
+                made = pa.Table.from_batches(held).combine_chunks()
+                tile = made.column("tile").to_numpy()
+                cut = int(np.searchsorted(tile, tile[-1]))
+                if cut:
+                    yield from found(made.slice(0, cut))
+                held = made.slice(cut).to_batches()
+                size = sum(b.nbytes for b in held)
+        if held:
+            yield from found(pa.Table.from_batches(held).combine_chunks())
+        if pairs:
+            yield out()
 
-    joined = pairs.join(u, "u").join(v, "v").where(f"100 * nu >= {PERCENT} * nv and 100 * nv >= {PERCENT} * nu")
-    return joined.select("u", "v", "pu", "pv").mapInArrow(run, "u bigint, v bigint")
+    return in_arrow(tiled(rows, nodes, what).repartition("tile").sortWithinPartitions("tile"), run, "u bigint, v bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets link.
+    """The pairs (u, v) whose sets link. ``docs``: key, text; ``nodes``: node, key (of one of its rows).
 
     Only texts of nodes in a pair are needed. A bit filter of bounded size over
     their keys picks them while the texts are read; what it lets through by
-    chance finds no partner in the join.
+    chance finds no partner in the join. A pair's second text travels to its
+    first, which is sent once to each PARTNERS of its partners.
     """
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    wanted = materialise(wanted, "wanted")
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * max(1, wanted.count())).bit_length()))
-    at = F.pmod("text_key", F.lit(bits))
-    cells = wanted.select(F.floor(at / 32).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(32)).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    mask = np.zeros(bits // 32, np.uint32)
-    mask[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(mask)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    buckets = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).alias("buckets"))
+    dealt = pairs.join(buckets, "u").select(F.col("u").alias("head"), F.pmod(F.xxhash64("v"), "buckets").alias("bucket"), F.col("v").alias("node"), F.lit(1).alias("part"))
+    roles = dealt.unionByName(dealt.select("head", "bucket", F.col("head").alias("node"), F.lit(0).alias("part")).distinct())
+    roles = materialise(roles.join(nodes.select("node", "key"), "node"), "roles")
+    shared = spark.sparkContext.broadcast(bit_filter(roles.select("key").distinct(), "key"))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in _texts(batch, 0):
-                if not text:
-                    continue
-                key = text_key(text)
-                slot = key % bits
-                if key in seen or not shared.value[slot // 32] >> np.uint32(slot % 32) & np.uint32(1):
-                    continue
-                if len(seen) >= SEEN_SETS:
-                    seen.clear()
-                seen.add(key)
-                members = shingle_set(text)
-                rows.append((node_of(members), members.tobytes()))
-            if rows:
-                yield _batch(["node", "members"], [_LONG, _BINARY], [list(c) for c in zip(*rows, strict=True)])
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column(0).to_numpy())))
 
-    found = docs.mapInArrow(sets, "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))  # both joins read this one exchange
+    found = in_arrow(docs.select("key", "text"), picked, "key bigint, text string").join(roles.hint("merge"), "key").select("head", "bucket", "part", "node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, np.empty(0, np.uint64)
         for batch in batches:
             good = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield _batch(["u", "v"], [_LONG, _LONG], [batch.column(0), batch.column(1)]).filter(pa.array(good, pa.bool_()))
-
-    u = found.select(F.col("node").alias("u"), F.col("members").alias("mu"))
-    v = found.select(F.col("node").alias("v"), F.col("members").alias("mv"))
-    return materialise(pairs.join(v, "v").join(u, "u").select("u", "v", "mu", "mv").mapInArrow(check, "u bigint, v bigint"), "links")
-
-
-def small_cells(cell: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equal ``cell`` that are allowed; rows come sorted by cell, and cells have LEAF rows at most."""
-    us, vs = [], []
-    for step in range(1, LEAF):
-        at = np.nonzero(cell[:-step] == cell[step:])[0]
-        if not len(at):
-            break
-        at = at[allowed(at, at + step)]
-        us.append(at)
-        vs.append(at + step)
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
-
-
-def cell_pairs(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one cell and different components that can link.
+            for h, part, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _texts(batch, 4), strict=True):
+                if part == 1:
+                    other = shingle_set(text)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    good.append(100 * both >= PERCENT * (len(own) + len(other) - both))
+                else:
+                    if h != head:
+                        head, own = h, shingle_set(text)
+                    good.append(False)
+            yield _batch(["u", "v"], [_LONG, _LONG], [batch.column(0), batch.column(3)]).filter(pa.array(good, pa.bool_()))
 
-    Large cells are dealt to size bands, as sets of far sizes can't link, and a
-    band to blocks; the tiles of two blocks are what a task sees at a time. The
-    rows of a cell or tile of LEAF rows are one leaf, others make a tree.
-    """
-    ratio = 100 / PERCENT
-    rest = rest.withColumnRenamed("cell", "group")
-    sizes = rest.groupBy("group").agg(F.count("*").alias("members"))
-    band = F.when(F.col("members") > BLOCK, F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int"))
-    own, below = F.struct(F.coalesce(band, F.lit(0)).alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))
-    banded = rest.join(sizes, "group").withColumn("place", F.explode(F.when(F.col("members") > BLOCK, F.array(own, below)).otherwise(F.array(own))))
-    banded = banded.select("group", "node", "component", "n", "lead", "members", "place.band", "place.own")
-    tiles = banded.where(F.col("members") > BLOCK).groupBy("group", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    tiled = banded.join(tiles, ["group", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    tiled = tiled.withColumn("cell", F.xxhash64("group", "band", F.least("block", "other"), F.greatest("block", "other")))
-    tiled = tiled.join(nodes.select("node", "point"), "node").select("cell", "block", "other", "own", "node", "component", "n", "lead", "point")
-    names = ["u", "v"]
-
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        cell, block, other, own, node, comp, size, lead = (rows.column(c).to_numpy() for c in ("cell", "block", "other", "own", "node", "component", "n", "lead"))
-        counts, parities = points(rows.column("point").to_pylist())
-        alone = block == other  # in a tile of two blocks only pairs between them count
+    dealt = found.repartition("head", "bucket").sortWithinPartitions("head", "bucket", "part")
+    return materialise(in_arrow(dealt, check, "u bigint, v bigint").distinct(), "links")
 
-        def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            led = np.where(size[a] < size[b], lead[a], np.where(size[a] > size[b], lead[b], lead[a] | lead[b]))
-            near = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
-            return led & near & (own[a] | own[b]) & (comp[a] != comp[b]) & (alone[a] | alone[b] | (block[a] != block[b]))
-
-        starts = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
-        lengths = np.diff(np.append(starts, len(cell)))
-        small = np.repeat(lengths <= LEAF, lengths)
-        at = np.nonzero(small)[0]
-        a, b = small_cells(cell[at], lambda i, j: allowed(at[i], at[j]))
-        us, vs = [at[a]], [at[b]]
-        for start, length in zip(starts[lengths > LEAF], lengths[lengths > LEAF], strict=True):
-
-            def in_leaf(i: np.ndarray, j: np.ndarray, start: int = start) -> np.ndarray:
-                i, j = start + i[:, None], start + j[None, :]
-                apart = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=2, dtype=np.int64)
-                return allowed(i, j) & (apart <= size[i] + size[j] - 2 * needed(size[i], size[j]))
-
-            a, b = tree_pairs(counts[start : start + length], size[start : start + length], in_leaf)
-            us.append(start + a)
-            vs.append(start + b)
-        u, v = np.concatenate(us), np.concatenate(vs)
-        low, high = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
-        order = np.lexsort((high, low))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-        order = order[fresh]
-        u, v = u[order], v[order]
-        good = np.concatenate([np.empty(0, bool), *[may_link(counts[u[k]], counts[v[k]], parities[u[k]], parities[v[k]], size[u[k]], size[v[k]]) for k in np.array_split(np.arange(len(u)), len(u) // 50_000 + 1)]])
-        return _batch(names, [_LONG, _LONG], [pa.array(low[order][good]), pa.array(high[order][good])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 40_000:  # all whole cells; the last goes on
-                made = pa.Table.from_batches(held).combine_chunks()
-                cell = made.column("cell").to_numpy()
-                cut = int(np.searchsorted(cell, cell[-1]))
-                if cut:
-                    yield pairs_of(made.slice(0, cut))
-                held, rows = made.slice(cut).to_batches(), made.num_rows - cut
-        if rows:
-            yield pairs_of(pa.Table.from_batches(held).combine_chunks())
-
-    return tiled.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint").distinct()
+def mixed_cells(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of cells that hold several components, with their component."""
+    placed = cells.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b and led").select("cell")
+    return materialise(placed.join(mixed, "cell", "left_semi"), "mixed")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, component, key (of id and text)."""
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = read.select("text")
     made = materialise(set_rows(read), "sets")
-    rows = made.where("node is not null").select("id", "key", "n", "node", "text_key", "point")
+    rows = made.where("node is not null").select("id", "key", "n", "node")
     common = made.where("common is not null").groupBy("common").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= COMMON_IN_ALL).orderBy(F.desc("sets"), "common").limit(COMMON_ENTRIES).toArrow()
-    nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.min("point").alias("point")), "nodes")
-
-    cells = postings(texts, common)
-    cells = materialise(shared_postings(cells.repartition("shingle").sortWithinPartitions("shingle", "node")), "cells")
-    company = cells.groupBy("node").agg((F.count("*") / F.first("n")).alias("company"))
-    heads = cells.join(company, "node").groupBy("cell").agg(F.max(F.struct("company", "node", "n", "lead")).alias("head"))
-    meets = "node <> head.node and 100 * least(n, head.n) >= {0} * greatest(n, head.n) and (if(n <= head.n, lead, false) or if(head.n <= n, head.lead, false))".format(PERCENT)
-    stars = cells.join(heads, "cell").where(meets).select(F.least("node", "head.node").alias("u"), F.greatest("node", "head.node").alias("v")).distinct()
-    stars = materialise(bounded(stars, nodes), "stars")
-    links = verified(stars, texts, nodes)
-    parts = connected_components(links.toDF("src", "dst"))
 
-    placed = materialise(cells.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    mixed = placed.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("lead").alias("led")).where("a <> b and led").select("cell")
-    rest = placed.join(mixed, "cell", "left_semi")
-    more = cell_pairs(rest, nodes).join(stars, ["u", "v"], "left_anti")
-    more = materialise(more, "pairs")
-    if not more.isEmpty():
-        links = verified(more, texts, nodes).toDF("src", "dst")
+    cells = materialise(placed_in_cells(postings(read.select("text"), common)), "cells")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("members"))
+    cells = materialise(cells.join(sizes.where("members > 1"), "cell"), "sized-cells")
+    meeting = cells.select("node").distinct()
+    nodes = made.where("n > 0").select("node", "key", "point").join(meeting, "node", "left_semi")
+    nodes = materialise(nodes.groupBy("node").agg(F.min("key").alias("key"), F.min("point").alias("point")), "nodes")
+
+    # Rows of equal members and size make the same choice in every task, so that the members of a group choose alike.
+    order = [Window.partitionBy("node").orderBy(F.col("members").desc(), "cell"), Window.partitionBy("node").orderBy("members", "cell")]
+    first = cells.withColumns({"large": F.row_number().over(order[0]), "least": F.row_number().over(order[1])}).where(f"large <= {FIRST_CELLS} or least = 1")
+    first = first.select("cell", "node", F.col("node").alias("component"), "n", F.lit(True).alias("lead"), "members")
+    tried = materialise(searched(first, nodes, NEAREST), "pairs")
+    links = verified(tried, read, nodes)
+    parts = connected_components(links.toDF("src", "dst"))
+    for what in (BETWEEN, ALL):
+        found = materialise(searched(mixed_cells(cells, parts), nodes, what), "pairs")
+        if found.isEmpty():
+            break  # nothing can link, tried or not
+        more = materialise(found.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
+        links = verified(more, read, nodes).toDF("src", "dst")
         parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links))
 
-    member = rows.select("id", "key", "n", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialise(member, "member")
     least = member.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     return member.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "component", "key")
@@ -518,11 +591,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of least id and key; documents without words all stay."""
-    found = materialise(jaccard_components(docs, id_col, text_col).where("n_shingles > 0"), "components-of-rows")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), "key"))["key"].alias("best"))
-    mark = free_name(docs, "_key")
-    gone = materialise(found.join(best, "component").where("key <> best").select(F.col("key").alias(mark)).distinct(), "gone")
-    keyed = docs.withColumn(mark, row_key(docs, id_col, text_col)).join(gone, mark, "left_anti")
+    mark = free_name(docs, "_mark")
+    found = jaccard_components(docs, id_col, text_col).where("n_shingles > 0").select("component", F.struct(F.col(id_col).alias("id"), "key").alias(mark))
+    found = materialise(found, "components-of-rows")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col(mark)["id"].isNull().alias("unknown"), F.col(mark).alias("mark")))["mark"].alias("best"))
+    gone = materialise(found.join(best, "component").where(F.col(mark) != F.col("best")).select(mark).distinct(), "gone")
+    keyed = docs.withColumn(mark, row_mark(docs, id_col, text_col)).join(gone, mark, "left_anti")
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
     return without_repeats(keyed.where(words), mark).unionByName(keyed.where(~words)).select(*docs.columns)
 

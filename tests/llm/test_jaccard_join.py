@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from stocktake.llm import jaccard_join as j
 
@@ -53,40 +54,56 @@ def test_components_against_brute_force(spark, prose):
     assert got == sorted(brute(rows), key=str)
 
 
-def test_large_cells_are_tiled(spark, prose, monkeypatch):
-    monkeypatch.setattr(j, "BLOCK", 8)
+@pytest.mark.parametrize("block", [8, 32])
+def test_large_cells_are_tiled(spark, prose, monkeypatch, block):
+    monkeypatch.setattr(j, "BLOCK", block)
     monkeypatch.setattr(j, "LEAF", 4)
-    monkeypatch.setattr(j, "COMMON_IN_TASK", 10**9)
+    monkeypatch.setattr(j, "PARTNERS", 8)
+    monkeypatch.setattr(j, "HOT_LEVEL", 2)
+    monkeypatch.setattr(j, "COMMON_IN_TASK", 2 if block == 32 else 10**9)
     passage = prose(2000, 60)
     rows = [(k, passage + " " + prose(3000 + k, 5 + k % 12)) for k in range(80)]
+    base = prose(1000, 300)
+    rows += [(100 + k, edited(base, 1 + k % 7, k)) for k in range(90)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(map(tuple, j.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == sorted(brute(rows))
 
 
-def test_tree_finds_every_pair_within_the_bound():
-    rng = np.random.default_rng(5)
-    x = rng.poisson(2, (150, j.GROUPS)).astype(np.uint16)
-    x[75:] = x[:75]
-    x[75:, :6] += 1
-    n = x.sum(axis=1).astype(np.int64)
-    u, v = j.tree_pairs(x, n, lambda a, b: np.ones((len(a), len(b)), bool))
-    want = {(a, b) for a in range(150) for b in range(a) if np.minimum(x[a], x[b]).sum() >= j.needed(n[a], n[b])}
-    assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist(), strict=True)} == want and len(want) >= 75
+def sets_of_a_group(seed, n, size):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, size).astype(np.uint64)
+    return [np.unique(np.concatenate([rng.permutation(base)[: int(size * rng.uniform(0.6, 1))], rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 4))).astype(np.uint64)])) for _ in range(n)]
+
+
+def test_tree_finds_every_pair_within_the_bound(monkeypatch):
+    monkeypatch.setattr(j, "LEAF", 8)
+    sets = sets_of_a_group(5, 90, 120) + sets_of_a_group(6, 60, 130)
+    n = np.array([len(x) for x in sets])
+    points = j.Points([j.point_of(x) for x in sets], n)
+    low = int(points.level.min())
+    x = points.at_level(np.arange(len(n)), low)
+    u, v = j.tree_pairs(x, n, lambda a, b: np.ones(len(a), bool))
+    want = {(a, b) for a in range(len(n)) for b in range(a) if np.minimum(x[a], x[b]).sum() >= j.needed(n[a], n[b])}
+    assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist(), strict=True)} == want and len(want) >= 100 and len(want) < len(n) * (len(n) - 1) // 2
 
 
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(2)
+    sets = []
     for _ in range(300):
-        n = int(rng.integers(1, 400))
+        n = int(rng.integers(1, 4000))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: max(1, int(len(a) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        (x, p), (y, q) = j.points([j.point_of(a)]), j.points([j.point_of(b)])
-        if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert j.may_link(x, y, p, q, np.array([len(a)]), np.array([len(b)]))[0]
-            small, large = sorted((len(a), len(b)))
-            assert both >= j.needed(small, large)
+        sets += [a, np.unique(np.concatenate([a[: max(1, int(len(a) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))]
+    sets += [np.arange(200_000, dtype=np.uint64) * np.uint64(4096), np.arange(190_000, dtype=np.uint64) * np.uint64(4096)]  # counts beyond two bytes
+    n = np.array([len(x) for x in sets])
+    points = j.Points([j.point_of(x) for x in sets], n)
+    u, v = np.arange(0, len(n), 2), np.arange(1, len(n), 2)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(u, v, strict=True)])
+    bound = points.overlap(u, v)
+    assert (bound >= both).all()
+    linked = 100 * both >= 80 * (n[u] + n[v] - both)
+    assert (both >= j.needed(n[u], n[v]))[linked].all() and linked.sum() > 100
 
 
 def test_odd_and_empty_tables(odd_docs, no_docs):
