@@ -52,11 +52,11 @@ SHINGLE = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 80
 #: Shingles of a group, about; groups are two to a power between these.
-GROUP_SIZE, MIN_LEVEL, MAX_LEVEL = 8, 4, 12
+GROUP_SIZE, MIN_LEVEL, MAX_LEVEL = 1, 4, 14
 #: Common shingles: seen in this many sets of one task, and of all tasks; the table of them is broadcast and bounded.
 COMMON_IN_TASK, COMMON_IN_ALL, COMMON_ENTRIES = 2, 6, 500_000
 #: A shingle of two to this power sets is hot: its cell is made row by row, and never gathered.
-HOT_LEVEL = 10
+HOT_LEVEL, SALTS = 10, 64
 #: Members of a block of a cell, and of a leaf of its tree.
 BLOCK, LEAF = 1024, 16
 #: Partners of one set that a task verifies together.
@@ -151,13 +151,17 @@ class Points:
                 self.rows[level] = np.array([np.frombuffer(c, kinds[len(c) >> level]) for c in found], kinds[width])
 
     def at_level(self, at: np.ndarray, level: int) -> np.ndarray:
-        """The points ``at`` with 2**level groups; none may have fewer."""
+        """The points ``at`` with 2**level groups, in as few bytes as they need; none may have fewer groups."""
+        levels = np.unique(self.level[at]).tolist()
+        if levels == [level]:
+            return self.rows[level][self.place[at]]
         out = np.empty((len(at), 1 << level), np.uint32)
-        for own in np.unique(self.level[at]).tolist():
+        for own in levels:
             some = self.level[at] == own
-            x = self.rows[own][self.place[at[some]]].astype(np.uint32)
-            out[some] = x.reshape(len(x), -1, 1 << level).sum(axis=1)
-        return out
+            x = self.rows[own][self.place[at[some]]]
+            out[some] = x.reshape(len(x), -1, 1 << level).sum(axis=1, dtype=np.uint32)
+        top = out.max(initial=0)
+        return out.astype(np.uint8) if top < 1 << 8 else out.astype(np.uint16) if top < 1 << 16 else out
 
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sums of the coordinate minima of the points ``a`` and ``b``, row by row."""
@@ -166,7 +170,7 @@ class Points:
         for level in np.unique(both).tolist():
             at = np.nonzero(both == level)[0]
             for part in np.array_split(at, (len(at) << level) // CHUNK + 1):
-                out[part] = np.minimum(self.at_level(a[part], level), self.at_level(b[part], level)).sum(axis=1, dtype=np.int64)
+                out[part] = np.minimum(self.at_level(a[part], level), self.at_level(b[part], level)).sum(axis=1, dtype=np.uint32)
         return out
 
 
@@ -192,7 +196,7 @@ def tree_pairs(x: np.ndarray, sizes: np.ndarray, allowed: Callable[[np.ndarray,
             continue
         top, low = levels[level - 1]
         ra, rb = np.arange(a * LEAF, min((a + 1) * LEAF, len(top))), np.arange(b * LEAF, min((b + 1) * LEAF, len(top)))
-        bound = np.minimum(top[ra][:, None, :], top[rb][None, :, :]).sum(axis=2, dtype=np.int64)
+        bound = np.minimum(top[ra][:, None, :], top[rb][None, :, :]).sum(axis=2, dtype=np.uint32)
         good = bound >= needed(low[ra][:, None], low[rb][None, :])
         if level > 1:
             stack += [(level - 1, ra[i], rb[j]) for i, j in zip(*np.nonzero(good), strict=True) if ra[i] <= rb[j]]
@@ -308,9 +312,9 @@ def postings(docs: DataFrame, common: pa.Table) -> DataFrame:
 def shared_postings(rows: DataFrame) -> DataFrame:
     """(cell, node, n, lead): the postings of shingles that two nodes or more share.
 
-    Rows come sorted by shingle. Copies share many shingles, so cells of up to
-    LEAF members are told apart by their members and kept once. Larger ones go on
-    row by row, so that no task holds more than a leaf of them.
+    Copies share many shingles, so cells of up to LEAF members are told apart by
+    their members and kept once. Larger ones go on row by row, so that no task
+    holds more than a leaf of them; hot ones too, which are salted.
     """
     names = ["a", "b", "nodes", "ns", "leads"]
 
@@ -326,20 +330,20 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
             if big is not None and len(key) and key[0] == big:
                 fresh[0] &= node[0] != last
-            key, node, n, lead = (c[fresh] for c in cols)
+            key, node, n, lead, hot = (c[fresh] for c in cols)
             if not len(key):
                 held = None
                 return
             starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             lengths = np.diff(np.append(starts, len(key)))
-            flat = (lengths > LEAF) | (key[starts] == big if big is not None else False)
+            flat = (lengths > LEAF) | hot[starts] | (key[starts] == big if big is not None else False)
             whole = np.ones(len(starts), bool)
             if not final:
                 if flat[-1]:
                     big, last, held = int(key[-1]), int(node[-1]), None
                 else:
                     whole[-1] = False
-                    held, big = [c[starts[-1] :] for c in (key, node, n, lead)], None
+                    held, big = [c[starts[-1] :] for c in (key, node, n, lead, hot)], None
             few = whole & ~flat & (lengths > 1)
             row = np.repeat(few, lengths)
             if row.any():
@@ -361,19 +365,13 @@ def shared_postings(rows: DataFrame) -> DataFrame:
         if held:
             yield from cells(held, True)
 
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
+    rows = rows.repartition("shingle", salt).sortWithinPartitions("shingle", "node").select("shingle", "node", "n", "lead", "hot")
     made = in_arrow(rows, run, "a bigint, b bigint, nodes array<bigint>, ns array<bigint>, leads array<boolean>")
     once = made.groupBy("a", "b").agg(F.first("nodes").alias("nodes"), F.first("ns").alias("ns"), F.first("leads").alias("leads"))
     return once.select("a", F.explode(F.arrays_zip("nodes", "ns", "leads")).alias("m")).select(F.col("a").alias("cell"), F.col("m.nodes").alias("node"), F.col("m.ns").alias("n"), F.col("m.leads").alias("lead"))
 
 
-def placed_in_cells(found: DataFrame) -> DataFrame:
-    """The cells of ``postings``: hot ones row by row, others gathered so that equal ones are kept once."""
-    cold = found.where("not hot").select("shingle", "node", "n", "lead")
-    cold = shared_postings(cold.repartition("shingle").sortWithinPartitions("shingle", "node"))
-    hot = found.where("hot").select(F.col("shingle").alias("cell"), "node", "n", "lead").distinct()
-    return cold.unionByName(hot)
-
-
 def tiled(rows: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
     """(tile, side, node, component, n, lead, point): what each task of a search compares.
 
@@ -560,7 +558,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = made.where("node is not null").select("id", "key", "n", "node")
     common = made.where("common is not null").groupBy("common").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= COMMON_IN_ALL).orderBy(F.desc("sets"), "common").limit(COMMON_ENTRIES).toArrow()
 
-    cells = materialise(placed_in_cells(postings(read.select("text"), common)), "cells")
+    cells = materialise(shared_postings(postings(read.select("text"), common)), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("members"))
     cells = materialise(cells.join(sizes.where("members > 1"), "cell"), "sized-cells")
     meeting = cells.select("node").distinct()

@@ -1,290 +1,247 @@
 """Scores by cross-entropy difference of two matched n-gram models.
 
 The target model is counted on the documents that labels mark as good, the
-background model on all documents. Both are interpolated bigram models of the
-same order and smoothing over one shared vocabulary: every word of all
-documents. A document's score is the mean difference of its losses per token;
-low scores are like the target. A target document is scored by a target model
-without its own half of the targets, so that no document vouches for itself.
-
-Counts cover every document, and words and bigrams grow with the input. Bigrams
-of two common words are scored from a broadcast table of bounded size; all
-others go by 64-bit hashes of their words to the counts of these, by shuffle.
-Both ways give the same losses. Besides, the targets' ids are broadcast while
-they are few.
+background model on all documents. Both are bigram models, interpolated with
+unigrams and a uniform floor in the same way, over one shared vocabulary: every
+word of all documents, however rare. A document's score is the mean difference
+of its losses per token; low scores are like the target. No text vouches for
+itself: a target document is scored by a target model without its own half of
+the targets, and each token by a background model without that occurrence.
+
+What is counted grows with the input and never passes through the driver or a
+broadcast. Documents are dealt to segments, and n-grams, known by hashes, to
+buckets, both of a set size, so that their numbers grow with the input. Each
+segment sends the distinct n-grams it holds, with counts, to their buckets, as
+packed blocks; a bucket adds up and sends back to each segment the counts of
+those that occur twice or more in all documents. An n-gram that isn't sent back
+occurs where it stands and nowhere else, so that nothing is cut off. Texts are
+shuffled once and stay in their segment.
+
+Hashes of n-grams have 40 bits within a bucket, so that of BUCKET_GRAMS n-grams
+about one in 2**40 / BUCKET_GRAMS is mistaken for another, at every size.
 
 Defined results: null texts and texts without words have 0 tokens and null
 losses; several labels of one id make its document a target once if any of them
 is good; null ids never are targets; without any target the target model is
-uniform; equal texts get equal losses; an empty table gives no rows. Only the
-named columns are read.
+uniform; equal texts get equal losses unless only one is a target; very long
+texts are read whole, in one segment; an empty table gives no rows. Only the
+named columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, table
+from stocktake.llm.common import few_rows_a_batch, in_arrow, materialise, table
 
-#: Words whose bigrams are scored from a broadcast table of (COMMON + 2) squared cells of 16 bytes.
-COMMON = 2_000
-#: What stands for the words outside a closed vocabulary, and before a text; neither can be a word.
-OTHER, START = b"", b"\n"
-#: Weight of the bigram estimate against the unigram one; added count of each word.
-BIGRAM_WEIGHT, ADDED = 0.7, 0.5
+#: Bytes of text of a segment, and distinct n-grams of a segment's share of a bucket, about.
+SEGMENT_BYTES, BUCKET_GRAMS = 8_000_000, 2_000_000
+#: Weights of the bigram and unigram estimates and of the uniform floor, one over the number of all tokens.
+BIGRAM, UNIGRAM, FLOOR = 0.7, 0.25, 0.05
 #: Target ids are broadcast up to this many, and shuffled beyond.
 BROADCAST_TARGETS = 1_000_000
 #: Documents that are no targets, and the halves of the targets.
 FOLDS = (0, 1, 2)
-HELD_WORDS, HELD_BIGRAMS = 500_000, 2_000_000
-_LONG = pa.int64()
+MEMO_WORDS = 200_000
+SHORT = 40
+_MASK = np.int64((1 << SHORT) - 1)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: What opens a text as the history of its first word.
+START = np.uint64(0x51ED270B35AE9D1F)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of all texts; words are lower-cased in A-Z."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), _LONG)], names=["word", "n"])
-            held.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-                if text:
-                    held.update(text.lower().split())
-                    if len(held) > HELD_WORDS:
-                        yield out()
-        yield out()
-
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def tokens(text: bytes | None, kept) -> list[bytes]:
-    """The words of a text; with a closed vocabulary ``kept``, all others are one empty word."""
-    words = (text or b"").lower().split()
-    return words if kept is None else [w if w in kept.value else OTHER for w in words]
-
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def word_table(docs: DataFrame, kept) -> DataFrame:
-    """(word, k, u1, u2, ub, h1, h2, hb): counts of every word as itself and as a history.
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word, 8)
+        return value
 
-    1 and 2 are the halves of the targets, b is all. The row of START counts the
-    texts as histories. ``docs``: text, fold.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[Counter[bytes]] = [Counter() for _ in FOLDS]
-        last: list[Counter[bytes]] = [Counter() for _ in FOLDS]
+@lru_cache(maxsize=1)
+def _memo() -> _Memo:
+    return _Memo()
 
-        def out(fold: int) -> pa.RecordBatch:
-            seen, ends = words[fold], last[fold]
-            cols = [[START, *seen.keys()], [fold] * (len(seen) + 1), [0, *seen.values()], [sum(ends.values()), *[n - ends.get(w, 0) for w, n in seen.items()]]]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), _LONG, _LONG), strict=True)], names=["word", "fold", "u", "h"])
-            seen.clear()
-            ends.clear()
-            return batch
 
-        for batch in batches:
-            for text, fold in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = tokens(text, kept)
-                if found:
-                    words[fold].update(found)
-                    last[fold][found[-1]] += 1
-                    if len(words[fold]) > HELD_WORDS:
-                        yield out(fold)
-        for fold in FOLDS:
-            yield out(fold)
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
-    rows = docs.select("text", "fold").mapInArrow(run, "word binary, fold int, u bigint, h bigint")
-    sums = [F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for x in "uh" for f in (1, 2)]
-    return rows.groupBy("word").agg(*sums, F.sum("u").alias("ub"), F.sum("h").alias("hb")).withColumn("k", F.xxhash64("word"))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _Q
+    return x ^ (x >> np.uint64(29))
 
-class Codes(dict):
-    """Codes of words: 1 to the number of common words, or a 64-bit hash as xxhash64 in Spark."""
 
-    def __init__(self, common: dict[bytes, int]):
-        super().__init__(common)
-        self.common, self.start = common, len(common) + 1  # the last code opens a text
+def grams(texts: Iterator[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, unigrams, histories, bigrams): hashes by token, in order.
 
-    def __reduce__(self):
-        return Codes, (self.common,)
+    A hash has its bucket in the upper ``bits`` of ``bits`` + SHORT.
+    """
+    sizes, parts = [], []
+    for text in texts:
+        words = words_of(text)
+        sizes.append(len(words))
+        if words:
+            parts.append(np.fromiter(map(_memo().__getitem__, words), np.uint64, len(words)))
+    n = np.array(sizes, np.int64)
+    word = np.concatenate([np.empty(0, np.uint64), *parts])
+    history = np.empty_like(word)
+    if len(word):
+        history[1:] = word[:-1]
+        history[(np.cumsum(n) - n)[n > 0]] = START
+    short = lambda x: (_mixed(x) >> np.uint64(64 - SHORT - bits)).view(np.int64)
+    return n, short(word * _P), short(history * _P), short((history * _P + word) * _Q + np.uint64(1))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > HELD_WORDS:
-            self.clear()
-            self.update(self.common)
-        value = xxhash.xxh64_intdigest(word, 42)
-        self[word] = value = value - (value >> 63 << 64)
-        return value
+def packed(keys: np.ndarray) -> bytes:
+    """The lower SHORT bits of each key."""
+    return np.ascontiguousarray((keys & _MASK).view(np.uint8).reshape(-1, 8)[:, : SHORT // 8]).tobytes()
 
-    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Histories and words of a text by code, and which of either are common."""
-        w = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        h = np.empty_like(w)
-        if len(w):
-            h[0], h[1:] = self.start, w[:-1]
-        return h, w, (h > 0) & (h <= self.start), (w > 0) & (w < self.start)
 
+def unpacked(block: bytes) -> np.ndarray:
+    out = np.zeros((len(block) // (SHORT // 8), 8), np.uint8)
+    out[:, : SHORT // 8] = np.frombuffer(block, np.uint8).reshape(len(out), -1)
+    return out.reshape(-1).view(np.int64)
 
-def common_bigrams(docs: DataFrame, codes, kept) -> DataFrame:
-    """(key, n1, n2, nb) of the bigrams of two common words; key is history * (start + 1) + word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {fold: [] for fold in FOLDS}
+def _raw(column: pa.ChunkedArray) -> Iterator[bytes | None]:
+    return (x.as_py() for x in column.cast(pa.large_binary()))
 
-        def out(fold: int) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held[fold]) if held[fold] else np.empty(0, np.int64), return_counts=True)
-            held[fold].clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), fold), pa.int32()), pa.array(n.astype(np.int64))], names=["key", "fold", "n"])
 
-        sizes = dict.fromkeys(FOLDS, 0)
-        for batch in batches:
-            for text, fold in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
-                both = hc & wc
-                held[fold].append(h[both] * (codes.value.start + 1) + w[both])
-                sizes[fold] += len(held[fold][-1])
-                if sizes[fold] > HELD_BIGRAMS:
-                    yield out(fold)
-                    sizes[fold] = 0
-        for fold in FOLDS:
-            yield out(fold)
-
-    rows = docs.select("text", "fold").mapInArrow(run, "key bigint, fold int, n bigint")
-    return rows.groupBy("key").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (1, 2)], F.sum("n").alias("nb"))
-
-
-def rare_bigrams(docs: DataFrame, codes, kept, both: bool) -> DataFrame:
-    """(k, o, side, fold, row): a row for each bigram of a text with a rare word.
-
-    k is the rare word and o the common one; side 0 if k is the word, 1 if it is
-    the history. With ``both``, only bigrams of two rare words: side 2, k the history.
-    """
+def token_totals(docs: DataFrame) -> DataFrame:
+    """(fold, tokens, bytes) of all texts. ``docs``: text, fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {fold: [0, 0] for fold in FOLDS}
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for text, fold, row in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
-                taken = ~hc & ~wc if both else hc ^ wc
-                h, w, hc = h[taken], w[taken], hc[taken]
-                side = np.full(len(h), 2, np.int8) if both else (~hc).astype(np.int8)
-                for col, x in zip(cols, (np.where(hc, w, h), np.where(hc, h, w), side, np.full(len(h), fold, np.int8), np.full(len(h), row)), strict=True):
-                    col.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (_LONG, _LONG, pa.int8(), pa.int8(), _LONG), strict=True)], names=["k", "o", "side", "fold", "row"])
-
-    return docs.select("text", "fold", "row").mapInArrow(run, "k bigint, o bigint, side tinyint, fold tinyint, row bigint")
-
-
-def of_fold(x: str) -> Column:
-    """The count that a text's own target model has: without its half if it is a target."""
-    return F.when(F.col("fold") == 0, F.col(f"{x}1") + F.col(f"{x}2")).when(F.col("fold") == 1, F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
-
-
-def rare_losses(docs: DataFrame, words: DataFrame, common: DataFrame, codes, kept, totals: dict[str, int], entries: int) -> DataFrame:
-    """(row, lt, lb, n): summed losses of the bigrams with a rare word.
-
-    Each meets the counts of its rare words by shuffle. No such word has more
-    than a fixed share of the tokens, so that no key is heavy.
-    """
-    total = F.when(F.col("fold") == 0, totals["1"] + totals["2"]).when(F.col("fold") == 1, totals["2"]).otherwise(totals["1"])
-    counted = Window.partitionBy("k", "o", "side")
-    seen = lambda fold: F.sum((F.col("fold") == fold).cast("int")).over(counted)
-
-    def counts(rows: DataFrame) -> DataFrame:
-        return rows.join(words.hint("merge"), "k").withColumns({"n1": seen(1), "n2": seen(2), "nb": F.count("*").over(counted)})
-
-    def share(n: Column, h: Column) -> Column:
-        return F.when(h > 0, BIGRAM_WEIGHT * n / h)
-
-    def loss(part: Column, unigram: Column, of: Column) -> Column:
-        flat = (unigram + ADDED) / (of + ADDED * entries)
-        return -F.log(F.coalesce(part + (1 - BIGRAM_WEIGHT) * flat, flat))
-
-    one = counts(rare_bigrams(docs, codes, kept, False)).join(F.broadcast(common), "o")
-    for x in (*"12", "b"):
-        one = one.withColumns({f"hh{x}": F.when(F.col("side") == 0, F.col(f"ch{x}")).otherwise(F.col(f"h{x}")), f"uu{x}": F.when(F.col("side") == 0, F.col(f"u{x}")).otherwise(F.col(f"cu{x}"))})
-    one = one.select("row", loss(share(of_fold("n"), of_fold("hh")), of_fold("uu"), total).alias("lt"), loss(share(F.col("nb"), F.col("hhb")), F.col("uub"), F.lit(totals["b"])).alias("lb"))
-    two = counts(rare_bigrams(docs, codes, kept, True)).select(F.col("o").alias("k"), "row", "fold", share(of_fold("n"), of_fold("h")).alias("st"), share(F.col("nb"), F.col("hb")).alias("sb"))
-    two = two.join(words.select("k", "u1", "u2", "ub").hint("merge"), "k").select("row", loss(F.col("st"), of_fold("u"), total).alias("lt"), loss(F.col("sb"), F.col("ub"), F.lit(totals["b"])).alias("lb"))
-    return one.unionByName(two).groupBy("row").agg(F.sum("lt").alias("rt"), F.sum("lb").alias("rb"), F.count("*").alias("n"))
-
-
-def common_losses(counts: pa.Table, common: list, totals: dict[str, int], entries: int) -> np.ndarray:
-    """Losses of each bigram of common words: those of the target models for folds 0, 1, 2, and the background's."""
-    width = len(common) + 1  # code 0 is no word
-    cells = np.zeros((width * width, 4), np.float32)
-    keys = counts.column("key").to_numpy()
-    n = {x: counts.column(f"n{x}").to_numpy() for x in totals}
-    u, h = ({x: np.array([0, *[r[f"{c}{x}"] for r in common]], np.int64) for x in totals} for c in "uh")
-    for k, take in enumerate((lambda a: a["1"] + a["2"], lambda a: a["2"], lambda a: a["1"], lambda a: a["b"])):
-        history = take(h)[keys // width]
-        flat = (take(u)[keys % width] + ADDED) / (take(totals) + ADDED * entries)
-        cells[keys, k] = -np.log(np.where(history > 0, BIGRAM_WEIGHT * take(n) / np.maximum(history, 1) + (1 - BIGRAM_WEIGHT) * flat, flat))
-    return cells
-
-
-def score_documents(docs: DataFrame, good: DataFrame, vocabulary: int | None = None, broadcast_targets: int = BROADCAST_TARGETS, id_col: str = "doc_id", text_col: str = "text", common_words: int = COMMON) -> DataFrame:
+            for text, fold in zip(_raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                found[fold][0] += len(words_of(text))
+                found[fold][1] += len(text or b"")
+        rows = [(fold, *sums) for fold, sums in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["fold", "tokens", "bytes"])
+
+    rows = in_arrow(docs.select("text", "fold"), run, "fold int, tokens bigint, bytes bigint")
+    return rows.groupBy("fold").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+
+
+def sent(segment: pa.Table, bits: int) -> pa.Table:
+    """What a segment sends: (bucket, segment, fold, grams, counts), blocks of its distinct n-grams by fold and bucket."""
+    number = segment.column("segment")[0].as_py()
+    folds = segment.column("fold").to_numpy()
+    n, word, history, pair = grams(_raw(segment.column("text")), bits)
+    fold = np.repeat(folds, n)
+    opened = history[(np.cumsum(n) - n)[n > 0]]  # a text counts as one occurrence of what opens it
+    rows: list[tuple] = []
+    for f in FOLDS:
+        at = fold == f
+        keys, counts = np.unique(np.concatenate([word[at], pair[at], opened[folds[n > 0] == f]]), return_counts=True)
+        if len(keys):
+            counts = counts.astype(np.uint32)
+            buckets = keys >> SHORT
+            starts = np.nonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))[0]
+            rows += [(int(buckets[a]), number, f, packed(keys[a:b]), counts[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
+    kinds = [("bucket", pa.int64()), ("segment", pa.int64()), ("fold", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]
+    cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in kinds]
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
+
+
+def answered(bucket: pa.Table) -> pa.Table:
+    """What a bucket sends back: (segment, bucket, grams, counts), with the counts in each half and in all of what occurs twice or more."""
+    number = bucket.column("bucket")[0].as_py()
+    blocks = [unpacked(x.as_py()) for x in bucket.column("grams")]
+    sizes = [*map(len, blocks)]
+    keys = np.concatenate(blocks)
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in bucket.column("counts")])
+    segment, fold = np.repeat(bucket.column("segment").to_numpy(), sizes), np.repeat(bucket.column("fold").to_numpy(), sizes)
+    order = np.lexsort((segment, keys))
+    keys, counts, segment, fold = keys[order], counts[order].astype(np.int64), segment[order], fold[order]
+    starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    sums = np.stack([np.add.reduceat(np.where(fold == f, counts, 0) if f else counts, starts) for f in (1, 2, 0)], axis=1)
+    place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])
+    fresh &= sums[place, 2] > 1
+    order = np.argsort(segment[fresh], kind="stable")
+    keys, segment, place = keys[fresh][order], segment[fresh][order], place[fresh][order]
+    starts = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+    rows = [(int(segment[a]), number, packed(keys[a:b]), sums[place[a:b]].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)] if len(keys) else []
+    cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(4)]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "bucket", "grams", "counts"])
+
+
+def losses(n: np.ndarray, h: np.ndarray, u: np.ndarray, total: np.ndarray, tokens: int) -> np.ndarray:
+    """Losses of tokens whose bigram, history and word occur n, h and u times among ``total`` tokens."""
+    seen = np.where(h > 0, BIGRAM * n / np.maximum(h, 1) + UNIGRAM * u / np.maximum(total, 1), (BIGRAM + UNIGRAM) * u / np.maximum(total, 1))
+    return -np.log(np.where(total > 0, seen + FLOOR / tokens, 1 / tokens))
+
+
+def scored(segment: pa.Table, answers: pa.Table, bits: int, totals: dict[int, int]) -> pa.Table:
+    """id, n_tokens, target_loss, background_loss of a segment's texts, from the answers of the buckets."""
+    folds = segment.column("fold").to_numpy()
+    n, word, history, pair = grams(_raw(segment.column("text")), bits)
+    known = [(b.as_py() << SHORT) + unpacked(x.as_py()) for b, x in zip(answers.column("bucket"), answers.column("grams"), strict=True)]
+    keys = np.concatenate([np.empty(0, np.int64), *known])
+    sums = np.concatenate([np.empty((0, 3), np.int64), *[np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in answers.column("counts")]])
+    order = np.argsort(keys)
+    keys, sums = keys[order], sums[order]
+    fold = np.repeat(folds, n)
+    alone = np.stack([fold == 1, fold == 2, np.ones(len(fold), bool)], axis=1).astype(np.int64)
+
+    def counts(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences in the text's own targets, and in all."""
+        found = alone
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+            found = np.where((keys[at] == of)[:, None], sums[at], alone)
+        return np.where(fold == 0, found[:, 0] + found[:, 1], np.where(fold == 1, found[:, 1], found[:, 0])), found[:, 2]
+
+    (nt, nb), (ht, hb), (ut, ub) = counts(pair), counts(history), counts(word)
+    tokens = max(1, sum(totals.values()))
+    own = np.array([totals[1] + totals[2], totals[2], totals[1]])[fold]
+    both = losses(nt, ht, ut, own, tokens), losses(nb - 1, hb - 1, ub - 1, np.full(len(fold), tokens - 1), tokens)
+    starts = (np.cumsum(n) - n)[n > 0]
+    means = []
+    for loss in both:
+        mean = np.full(len(n), np.nan)
+        if len(starts):
+            mean[n > 0] = np.add.reduceat(loss, starts) / n[n > 0]
+        means.append(pa.array(mean, mask=n == 0))
+    return pa.table([segment.column("id"), pa.array(n), *means], names=["id", "n_tokens", "target_loss", "background_loss"])
+
+
+def score_documents(docs: DataFrame, good: DataFrame, broadcast_targets: int = BROADCAST_TARGETS, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, target_loss, background_loss, score (per token).
 
-    ``good`` holds the ids of the target documents. ``vocabulary`` closes the
-    vocabulary to that many words and an entry for the rest; without it every
-    word has its own. ``common_words`` changes no result.
+    ``good`` holds the ids of the target documents. Sizes of segments and buckets
+    bound what a task holds and change no result.
     """
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    few_rows_a_batch(spark)
     chosen = good.select(F.col(id_col).alias("_good")).where("_good is not null").distinct()
     chosen = materialise(chosen.withColumn("_fold", (F.crc32(F.col("_good").cast("string").cast("binary")) % 2 + 1).cast("int")), "targets")
     few = chosen.count() <= broadcast_targets
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     marked = read.join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_good"), "left").select("id", "text", "row", F.coalesce("_fold", F.lit(0)).alias("fold"))
-    kept = None
-    if vocabulary is not None:
-        top = word_counts(read.select("text")).orderBy(F.desc("n"), "word").limit(vocabulary)
-        kept = share(frozenset(bytes(r["word"]) for r in top.select("word").collect()))  # at most ``vocabulary`` rows
-
-    words = materialise(word_table(marked, kept), "words")
-    sums = words.where(F.col("word") != START).agg(F.count("*").alias("words"), *[F.coalesce(F.sum(f"u{x}"), F.lit(0)).alias(x) for x in (*"12", "b")]).first()
-    totals, entries = {x: sums[x] for x in (*"12", "b")}, (sums["words"] if kept is None else len(kept.value)) + 1
-    common = words.where(F.col("word") != START).orderBy(F.desc("ub"), "word").limit(common_words).collect()  # at most ``common_words`` rows
-    codes = share(Codes({bytes(r["word"]): k for k, r in enumerate(common, 1)}))
-    common += words.where(F.col("word") == START).collect() or [dict.fromkeys([f"{c}{x}" for c in "uh" for x in totals], 0)]
-    model = common_bigrams(marked, codes, kept).toArrow()  # at most the square of ``common_words`` + 1 rows
-    shared = share(common_losses(model, common, totals, entries))
-    names = [f"{c}{x}" for c in "uh" for x in totals]
-    listed = spark.createDataFrame([(k, *[r[x] for x in names]) for k, r in enumerate(common, 1)], "o bigint, " + ", ".join(f"c{x} bigint" for x in names))
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for text, fold in zip(batch.column(2).cast(pa.large_binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h, w, hc, wc = codes.value.pairs(tokens(text, kept))
-                both = hc & wc
-                cells = shared.value[h[both] * (codes.value.start + 1) + w[both]]
-                rows.append((len(w), len(w) - len(cells), *cells[:, [fold, 3]].sum(axis=0, dtype=np.float64).tolist()))
-            cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], _LONG), pa.array(cols[1], _LONG), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["id", "row", "n_tokens", "rare", "lt", "lb"])
-
-    each = marked.select("id", "row", "text", "fold").mapInArrow(run, f"id {kind}, row bigint, n_tokens bigint, rare bigint, lt double, lb double")
-    each = each.join(rare_losses(marked, words.drop("word"), listed, codes, kept, totals, entries), "row", "left")
-    # Repeated rows share one sum of their rare bigrams, of which each has its part.
-    per = lambda c, r: F.when(F.col("n_tokens") > 0, (F.col(c) + F.when(F.col("rare") > 0, F.col(r) * F.col("rare") / F.col("n")).otherwise(0.0)) / F.col("n_tokens"))
-    lt, lb = per("lt", "rt"), per("lb", "rb")
-    return each.select(F.col("id").alias(id_col), "n_tokens", lt.alias("target_loss"), lb.alias("background_loss"), (lt - lb).alias("score"))
+    sums = {r["fold"]: r for r in token_totals(marked).collect()}  # one row per fold
+    totals = {fold: sums[fold]["tokens"] if fold in sums else 0 for fold in FOLDS}
+    segments = 1 + sum(r["bytes"] for r in sums.values()) // segment_bytes
+    bits = min(64 - SHORT, (2 * sum(totals.values()) // bucket_grams).bit_length())
+    dealt = marked.select("id", "text", "fold", F.pmod("row", F.lit(segments)).alias("segment"))
+
+    asked = dealt.groupBy("segment").applyInArrow(lambda t: sent(t, bits), "bucket bigint, segment bigint, fold int, grams binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answered, "segment bigint, bucket bigint, grams binary, counts binary")
+    kind = docs.schema[id_col].dataType.simpleString()
+    both = dealt.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(lambda a, b: scored(a, b, bits, totals), f"id {kind}, n_tokens bigint, target_loss double, background_loss double")
+    return both.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
