@@ -1,7 +1,7 @@
 """N-gram Jaccard join by count vectors in packed R-trees, with exact results.
 
 A document is the set of its distinct 5-word shingles. Shingles are hashed into
-groups, about one for GROUP_SIZE shingles, and a set becomes the point of its
+groups, about one for every GROUP_SIZE shingles, and a set becomes the point of its
 group counts. The sum of the coordinate minima of two points bounds the overlap
 of their sets from above, and the same sum over the upper corners of two boxes
 bounds it for all points in them. Points of unlike resolution are compared at
@@ -52,7 +52,7 @@ SHINGLE = 5
 #: Two sets link when PERCENT of their union is shared.
 PERCENT = 80
 #: Shingles of a group, about; groups are two to a power between these.
-GROUP_SIZE, MIN_LEVEL, MAX_LEVEL = 1, 4, 14
+GROUP_SIZE, MIN_LEVEL, MAX_LEVEL = 2, 4, 13
 #: Common shingles: seen in this many sets of one task, and of all tasks; the table of them is broadcast and bounded.
 COMMON_IN_TASK, COMMON_IN_ALL, COMMON_ENTRIES = 2, 6, 500_000
 #: A shingle of two to this power sets is hot: its cell is made row by row, and never gathered.

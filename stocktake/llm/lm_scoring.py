@@ -13,9 +13,8 @@ broadcast. Documents are dealt to segments, and n-grams, known by hashes, to
 buckets, both of a set size, so that their numbers grow with the input. Each
 segment sends the distinct n-grams it holds, with counts, to their buckets, as
 packed blocks; a bucket adds up and sends back to each segment the counts of
-those that occur twice or more in all documents. An n-gram that isn't sent back
-occurs where it stands and nowhere else, so that nothing is cut off. Texts are
-shuffled once and stay in their segment.
+what it sent, in the same order. Texts are shuffled once and stay in their
+segment.
 
 Hashes of n-grams have 40 bits within a bucket, so that of BUCKET_GRAMS n-grams
 about one in 2**40 / BUCKET_GRAMS is mistaken for another, at every size.
@@ -102,14 +101,28 @@ def grams(texts: Iterator[bytes | None], bits: int) -> tuple[np.ndarray, np.ndar
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """The lower SHORT bits of each key."""
-    return np.ascontiguousarray((keys & _MASK).view(np.uint8).reshape(-1, 8)[:, : SHORT // 8]).tobytes()
+    """The lower SHORT bits of sorted distinct keys of one bucket: bytes a step, then the steps."""
+    steps = np.diff(keys & _MASK, prepend=0)
+    width = (int(steps.max()).bit_length() + 7) // 8
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpacked(block: bytes) -> np.ndarray:
-    out = np.zeros((len(block) // (SHORT // 8), 8), np.uint8)
-    out[:, : SHORT // 8] = np.frombuffer(block, np.uint8).reshape(len(out), -1)
-    return out.reshape(-1).view(np.int64)
+    width = block[0]
+    out = np.zeros(((len(block) - 1) // width if width else 1, 8), np.uint8)
+    out[:, :width] = np.frombuffer(block, np.uint8, offset=1).reshape(len(out), width)
+    return np.cumsum(out.reshape(-1).view(np.int64))
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, and eight more for each that needs them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked_counts(block: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(block, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(block[n:], np.int64)
+    return out
 
 
 def _raw(column: pa.ChunkedArray) -> Iterator[bytes | None]:
@@ -144,37 +157,35 @@ def sent(segment: pa.Table, bits: int) -> pa.Table:
         at = fold == f
         keys, counts = np.unique(np.concatenate([word[at], pair[at], opened[folds[n > 0] == f]]), return_counts=True)
         if len(keys):
-            counts = counts.astype(np.uint32)
             buckets = keys >> SHORT
             starts = np.nonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))[0]
-            rows += [(int(buckets[a]), number, f, packed(keys[a:b]), counts[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
+            rows += [(int(buckets[a]), number, f, packed(keys[a:b]), packed_counts(counts[a:b])) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
     kinds = [("bucket", pa.int64()), ("segment", pa.int64()), ("fold", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]
     cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in kinds]
     return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[k for k, _ in kinds])
 
 
 def answered(bucket: pa.Table) -> pa.Table:
-    """What a bucket sends back: (segment, bucket, grams, counts), with the counts in each half and in all of what occurs twice or more."""
+    """What a bucket sends back: (segment, bucket, first, second, all), the counts in either half and in all of the n-grams a segment sent, in order."""
     number = bucket.column("bucket")[0].as_py()
     blocks = [unpacked(x.as_py()) for x in bucket.column("grams")]
     sizes = [*map(len, blocks)]
     keys = np.concatenate(blocks)
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in bucket.column("counts")])
+    counts = np.concatenate([unpacked_counts(x.as_py(), n) for x, n in zip(bucket.column("counts"), sizes, strict=True)])
     segment, fold = np.repeat(bucket.column("segment").to_numpy(), sizes), np.repeat(bucket.column("fold").to_numpy(), sizes)
     order = np.lexsort((segment, keys))
-    keys, counts, segment, fold = keys[order], counts[order].astype(np.int64), segment[order], fold[order]
+    keys, counts, segment, fold = keys[order], counts[order], segment[order], fold[order]
     starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    sums = np.stack([np.add.reduceat(np.where(fold == f, counts, 0) if f else counts, starts) for f in (1, 2, 0)], axis=1)
-    place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    sums = [np.add.reduceat(np.where(fold == f, counts, 0) if f else counts, starts) for f in (1, 2, 0)]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])
-    fresh &= sums[place, 2] > 1
-    order = np.argsort(segment[fresh], kind="stable")
-    keys, segment, place = keys[fresh][order], segment[fresh][order], place[fresh][order]
-    starts = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
-    rows = [(int(segment[a]), number, packed(keys[a:b]), sums[place[a:b]].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)] if len(keys) else []
-    cols = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(4)]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "bucket", "grams", "counts"])
+    place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))[fresh]
+    segment = segment[fresh]
+    order = np.argsort(segment, kind="stable")
+    segment, place = segment[order], place[order]
+    starts = np.nonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))[0]
+    rows = [(int(segment[a]), number, *[packed_counts(n[place[a:b]]) for n in sums]) for a, b in zip(starts, np.append(starts[1:], len(segment)), strict=True)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["segment", "bucket", "first", "second", "all"])
 
 
 def losses(n: np.ndarray, h: np.ndarray, u: np.ndarray, total: np.ndarray, tokens: int) -> np.ndarray:
@@ -187,23 +198,19 @@ def scored(segment: pa.Table, answers: pa.Table, bits: int, totals: dict[int, in
     """id, n_tokens, target_loss, background_loss of a segment's texts, from the answers of the buckets."""
     folds = segment.column("fold").to_numpy()
     n, word, history, pair = grams(_raw(segment.column("text")), bits)
-    known = [(b.as_py() << SHORT) + unpacked(x.as_py()) for b, x in zip(answers.column("bucket"), answers.column("grams"), strict=True)]
-    keys = np.concatenate([np.empty(0, np.int64), *known])
-    sums = np.concatenate([np.empty((0, 3), np.int64), *[np.frombuffer(x.as_py(), np.int64).reshape(-1, 3) for x in answers.column("counts")]])
-    order = np.argsort(keys)
-    keys, sums = keys[order], sums[order]
     fold = np.repeat(folds, n)
-    alone = np.stack([fold == 1, fold == 2, np.ones(len(fold), bool)], axis=1).astype(np.int64)
+    keys, place = np.unique(np.concatenate([word, history, pair]), return_inverse=True)  # what the segment sent, in order
+    buckets, sizes = np.unique(keys >> SHORT, return_counts=True)
+    blocks = {b.as_py(): k for k, b in enumerate(answers.column("bucket"))}
+    found = [np.concatenate([np.empty(0, np.int64), *[unpacked_counts(answers.column(name)[blocks[b]].as_py(), size) for b, size in zip(buckets.tolist(), sizes.tolist(), strict=True)]]) for name in ("first", "second", "all")]
 
-    def counts(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences in the text's own targets, and in all."""
-        found = alone
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-            found = np.where((keys[at] == of)[:, None], sums[at], alone)
-        return np.where(fold == 0, found[:, 0] + found[:, 1], np.where(fold == 1, found[:, 1], found[:, 0])), found[:, 2]
+        one, two, every = (x[at] for x in found)
+        return np.where(fold == 0, one + two, np.where(fold == 1, two, one)), every
 
-    (nt, nb), (ht, hb), (ut, ub) = counts(pair), counts(history), counts(word)
+    at = place.reshape(3, -1)
+    (ut, ub), (ht, hb), (nt, nb) = map(counts, at)
     tokens = max(1, sum(totals.values()))
     own = np.array([totals[1] + totals[2], totals[2], totals[1]])[fold]
     both = losses(nt, ht, ut, own, tokens), losses(nb - 1, hb - 1, ub - 1, np.full(len(fold), tokens - 1), tokens)
@@ -238,7 +245,7 @@ def score_documents(docs: DataFrame, good: DataFrame, broadcast_targets: int = B
     dealt = marked.select("id", "text", "fold", F.pmod("row", F.lit(segments)).alias("segment"))
 
     asked = dealt.groupBy("segment").applyInArrow(lambda t: sent(t, bits), "bucket bigint, segment bigint, fold int, grams binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answered, "segment bigint, bucket bigint, grams binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answered, "segment bigint, bucket bigint, first binary, second binary, all binary")
     kind = docs.schema[id_col].dataType.simpleString()
     both = dealt.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(lambda a, b: scored(a, b, bits, totals), f"id {kind}, n_tokens bigint, target_loss double, background_loss double")
     return both.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

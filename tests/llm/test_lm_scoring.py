@@ -69,8 +69,13 @@ def test_documents_that_occur_twice_stand_apart(spark, prose):
 
 
 def test_blocks_go_round():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << (m.SHORT + 3), 999))
-    assert (m.unpacked(m.packed(keys)) == keys % (1 << m.SHORT)).all() and len(m.unpacked(b"")) == 0
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 999):
+        keys = np.unique(rng.integers(0, 1 << m.SHORT, n)) + (5 << m.SHORT)
+        assert (m.unpacked(m.packed(keys)) == keys % (1 << m.SHORT)).all()
+        counts = rng.choice([1, 2, 254, 255, 256, 10**12], n)
+        assert (m.unpacked_counts(m.packed_counts(counts), n) == counts).all()
+    assert m.unpacked(m.packed(np.zeros(1, np.int64))).tolist() == [0]
 
 
 def test_odd_and_empty_tables(spark, odd_docs, no_docs):
