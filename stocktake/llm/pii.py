@@ -1,20 +1,23 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Base spans are emails, IPv4 addresses, payment cards and phone numbers. They are
-the seeds: the words around them induce lexical patterns, two words to the left,
-or one on either side. Spark scores the graph of patterns and of the
+seeds, together with credentials of well-known forms, which become spans of kind
+``secret``. The words around seeds induce lexical patterns, two words to the
+left, or one on either side. Spark scores the graph of patterns and of the
 identifier-shaped words they stand around: a pattern's confidence is the share
-of its distinct fillers that are believed, and a filler is believed as its patterns are,
-which is repeated ROUNDS times. Fillers of confident patterns become further
-spans of kind ``context``; base spans always stay.
+of its distinct fillers that are believed, and a filler is believed as its
+patterns are, which is repeated until no score moves by more than SETTLED, at
+most ROUNDS times. Fillers of confident patterns become further spans of kind
+``context``; base spans always stay.
 
 A pattern must have a fixed number of distinct seeds, whatever the size of the
 corpus, so that the patterns grow with it. Only a bit filter over them, of
 bounded size, travels to the texts; what it lets through is joined exactly.
 
 Offsets count code points, ends are exclusive. Defined results: null and empty
-texts have no spans; equal texts get equal spans; repeated rows each get a row;
-an empty table gives no rows. Only the named columns are read.
+texts have no spans; very long texts and words are read whole; equal texts get
+equal spans; repeated rows each get a row; an empty table gives no rows. Only the
+named columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,19 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import free_name, materialise, row_key, table
+from stocktake.llm.common import bit_filter, free_name, in_arrow, in_filter, materialise, row_key, row_mark, table
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = "context"
+SECRET, CONTEXT = "secret", "context"
 #: Distinct seeds that a pattern needs; what it must be worth; the score a filler needs.
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.5
 #: Added to a pattern's fillers, so that few of them prove little.
 SMOOTHING = 1.0
-ROUNDS = 3
+ROUNDS, SETTLED = 8, 0.02
 FILTER_BITS = 1 << 26
-MEMO_WORDS, HELD = 300_000, 1_000_000
-#: Text on either side in which context words are looked for.
-REACH = 200
+MEMO_WORDS, HELD = 200_000, 500_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -51,9 +52,14 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
-#: An identifier-shaped word: 6 to 64 characters, three digits or more.
+#: Credentials of well-known forms: hex digests and keys, prefixed access keys, signed tokens.
+CREDENTIAL = re.compile(
+    r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})"
+    r"|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![0-9A-Za-z])"
+)
+#: An identifier-shaped word: five characters or more without its edges, of them two digits.
 EDGES = re.compile(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$")
-SHAPE = re.compile(r"(?=.{6,64}$)(?:[^0-9]*[0-9]){3}")
+SHAPE = re.compile(r"(?=.{5})(?:[^0-9]*[0-9]){2}", re.DOTALL)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 Span = tuple[int, int, str]
 
@@ -133,32 +139,45 @@ def patterns(before2: np.ndarray, before: np.ndarray, after: np.ndarray) -> tupl
     return tuple((x ^ (x >> np.uint64(29))).view(np.int64) for x in (before2 * _P + before * _Q + np.uint64(1), before * _P + after * _Q + np.uint64(2)))
 
 
+def secret_spans(text: str | None, base: list[Span]) -> list[Span]:
+    """Credentials that touch no base span; a run of digits alone is none."""
+    found = [(m.start(), m.end(), SECRET) for m in CREDENTIAL.finditer(text or "") if not m[0].isdigit()]
+    return [s for s in found if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+
+
 def seed_patterns(text: str, spans: list[Span]) -> Iterator[tuple[int, int, str]]:
     """(pattern, instance, kind) of each span that has a word on the side it needs."""
+    if not spans:
+        return
+    found = [*WORD.finditer(text)]
+    starts = [m.start() for m in found]
     for start, end, kind in spans:
-        left = text[max(0, start - REACH) : start]
-        cut = max((m.start() for m in SPACE.finditer(left)), default=-1)
-        before = WORD.findall(left[: cut + 1])[-2:]
-        right = text[end : end + REACH]
-        gap = SPACE.search(right)
-        after = WORD.findall(right[gap.start() :])[:1] if gap else []
-        near = [np.array([h], np.uint64) for h in [0] * (2 - len(before)) + [_memo()[w] for w in before] + ([_memo()[w] for w in after] or [0])]
-        two, around = patterns(*near)
-        if len(before) == 2:
+        first, last = bisect_right(starts, start) - 1, bisect_left(starts, end) - 1
+        words = [found[k][0] if 0 <= k < len(found) else None for k in (first - 2, first - 1, last + 1)]
+        two, around = patterns(*[np.array([0 if w is None else _memo()[w]], np.uint64) for w in words])
+        if words[0] is not None:
             yield int(two[0]), instance_of(text[start:end]), kind
-        if before and after:
+        if words[1] is not None and words[2] is not None:
             yield int(around[0]), instance_of(text[start:end]), kind
 
 
+def _texts(batch: pa.RecordBatch, at: int) -> Iterator[str | None]:
+    """The texts of a batch, one at a time."""
+    return (x.as_py() for x in batch.column(at))
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(pattern, instance) of all base spans. ``docs``: text."""
+    """(pattern, instance) of all seeds. ``docs``: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {x[:2] for text in batch.column(0).to_pylist() if text for x in seed_patterns(text, base_spans(text))}
+            rows: set[tuple[int, int]] = set()
+            for text in _texts(batch, 0):
+                base = base_spans(text)
+                rows.update(x[:2] for x in seed_patterns(text or "", base + secret_spans(text, base)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["pattern", "instance"])
 
-    return docs.mapInArrow(run, "pattern bigint, instance bigint").distinct()
+    return in_arrow(docs, run, "pattern bigint, instance bigint").distinct()
 
 
 def distinct_rows(pairs: np.ndarray) -> np.ndarray:
@@ -167,12 +186,11 @@ def distinct_rows(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
 
 
-def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+def candidates(text: str, spans: list[Span], mask: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """Places of a text whose pattern is in the filter.
 
     Gives (pattern, instance, start, end) for identifier-shaped fillers that
-    touch no base span, and (pattern, hash) of all other words but those of base
-    spans.
+    touch no seed, and (pattern, hash) of all other words but those of seeds.
     """
     words = WORD.findall(text)
     h = _hashes(words)
@@ -189,15 +207,14 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tup
         for start, end, _ in spans:
             inside.update(range(bisect_right(starts, start) - 1, bisect_left(starts, end)))
     for pattern in patterns(before2, before, after):
-        slot = np.mod(pattern, bits)
-        at = np.nonzero(mask[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1))[0]
+        at = np.nonzero(in_filter(mask, pattern))[0]
         shaped = np.zeros(len(at), bool)
         for k, i in enumerate(at.tolist()):
             if i in inside:
                 shaped[k] = True
                 continue
             core = EDGES.sub("", words[i])
-            if len(core) >= 6 and SHAPE.match(core):
+            if SHAPE.match(core):
                 starts = starts or [m.start() for m in WORD.finditer(text)]
                 start = starts[i] + words[i].index(core)
                 end = start + len(core)
@@ -208,26 +225,15 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray, bits: int) -> tup
     return found, distinct_rows(np.concatenate(others))
 
 
-def bit_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A filter over the ``pattern`` column of ``keys``; its size is bounded whatever their number."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * max(1, keys.count())).bit_length()))
-    at = F.pmod("pattern", F.lit(bits))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(32)).cast("int"))
-    cells = keys.select(F.floor(at / 32).cast("int").alias("cell"), one.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    mask = np.zeros(bits // 32, np.uint32)
-    mask[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
-    return mask, bits
-
-
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 _CANDIDATE = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def span_rows(docs: DataFrame, mask: np.ndarray, bits: int) -> DataFrame:
-    """A row per document (id, key, base, candidates), and the distinct (pattern, other) of each task; other is a word's hash."""
+def span_rows(docs: DataFrame, mask: np.ndarray) -> DataFrame:
+    """A row per document (id, key, base, secrets, candidates), and the distinct (pattern, other) of each task; other is a word's hash."""
     kind = docs.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(mask)
-    names = ["id", "key", "base", "candidates", "pattern", "other"]
+    names = ["id", "key", "base", "secrets", "candidates", "pattern", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -238,20 +244,22 @@ def span_rows(docs: DataFrame, mask: np.ndarray, bits: int) -> DataFrame:
             rows = distinct_rows(np.concatenate(held))
             held.clear()
             none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_CANDIDATE)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
+            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_CANDIDATE)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
 
         for batch in batches:
             id_type = batch.column(0).type
-            base, found = [], []
-            for text in batch.column(2).to_pylist():
+            base, secrets, found = [], [], []
+            for text in _texts(batch, 2):
                 spans = base_spans(text)
-                base.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                places, others = candidates(text, spans, shared.value, bits) if text and shared.value.any() else ([], np.empty((0, 2), np.int64))
+                more = secret_spans(text, spans)
+                for column, some in ((base, spans), (secrets, more)):
+                    column.append([{"start": s, "end": e, "kind": k} for s, e, k in some])
+                places, others = candidates(text, spans + more, shared.value) if text and shared.value.any() else ([], np.empty((0, 2), np.int64))
                 found.append([dict(zip(("pattern", "instance", "start", "end"), x, strict=True)) for x in places])
                 held.append(others)
                 size += len(others)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_CANDIDATE)), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(secrets, pa.list_(_SPAN)), pa.array(found, pa.list_(_CANDIDATE)), none, none], names=names)
             if size > HELD:
                 yield pairs()
                 size = 0
@@ -259,7 +267,7 @@ def span_rows(docs: DataFrame, mask: np.ndarray, bits: int) -> DataFrame:
             yield pairs()
 
     span, place = "array<struct<start:int,end:int,kind:string>>", "array<struct<pattern:bigint,instance:bigint,start:int,end:int>>"
-    return docs.mapInArrow(run, f"id {kind}, key bigint, base {span}, candidates {place}, pattern bigint, other bigint")
+    return in_arrow(docs, run, f"id {kind}, key bigint, base {span}, secrets {span}, candidates {place}, pattern bigint, other bigint")
 
 
 def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -276,16 +284,20 @@ def scored(edges: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> tuple[D
         confident = materialise(confident.join(weight, "pattern").select("pattern", (F.col("s") / F.col("weight")).alias("confidence")), f"confidence-{k}")
         missed = F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9))))
         heard = edges.join(confident, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(missed)).alias("score"))
-        believed = materialise(heard.select("instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("score")).alias("score")), f"scores-{k}")
+        heard = heard.join(believed.select("instance", F.col("score").alias("was")), "instance")
+        score = F.when(F.col("seed") == 1, 1.0).otherwise(F.col("score"))
+        believed = materialise(heard.select("instance", "seed", score.alias("score"), F.abs(score - F.col("was")).alias("moved")), f"scores-{k}")
+        if believed.where(F.col("moved") > SETTLED).isEmpty():
+            break
     return confident, believed.select("instance", "score")
 
 
 def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind)."""
+    """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind; added are secrets, then contexts)."""
     read = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     seeded = materialise(seeds(read.select("text")), "seeds")
     enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds).select("pattern"), "patterns")
-    rows = materialise(span_rows(read, *bit_filter(enough)), "spans")
+    rows = materialise(span_rows(read, bit_filter(enough, "pattern", FILTER_BITS)), "spans")
 
     found = rows.where("pattern is null")
     places = found.select("key", F.explode("candidates").alias("c")).select("key", "c.*").join(enough, "pattern", "left_semi")
@@ -298,7 +310,7 @@ def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float
     taken = places.join(confident.where(F.col("confidence") >= min_confidence).select("pattern"), "pattern", "left_semi").join(believed.where(F.col("score") >= min_score).select("instance"), "instance", "left_semi")
     added = taken.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.lit(CONTEXT).alias("kind")))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return found.select("id", "key", "base").join(added, "key", "left").select(F.col("id").alias(id_col), "key", "base", F.coalesce("added", none).alias("added"))
+    return found.select("id", "key", "base", "secrets").join(added, "key", "left").select(F.col("id").alias(id_col), "key", "base", F.concat("secrets", F.coalesce("added", none)).alias("added"))
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -313,28 +325,29 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """``docs`` with all personal data replaced in the text, and its length in ``size_col`` if there is one."""
-    mark, held = free_name(docs, "_key"), free_name(docs, "_spans")
-    spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.col("key").alias(mark), F.concat("base", "added").alias(held))
+    mark, held = free_name(docs, "_mark"), free_name(docs, "_spans")
+    spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.struct(F.col(id_col).alias("id"), "key").alias(mark), F.concat("base", "added").alias(held))
     spans = materialise(spans.where(F.size(held) > 0).dropDuplicates([mark]), "redactions")
-    joined = docs.withColumn(mark, row_key(docs, id_col, text_col)).join(spans, mark, "left").select(*docs.columns, held)
+    joined = docs.withColumn(mark, row_mark(docs, id_col, text_col)).join(spans, mark, "left").select(*docs.columns, held)
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *cols, spans = batch.columns
-            pairs = zip(cols[at].to_pylist(), spans.to_pylist(), strict=True)
+            pairs = zip(_texts(batch, at), spans.to_pylist(), strict=True)
             cols[at] = pa.array([redacted(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in pairs], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = joined.mapInArrow(run, docs.schema)
+    done = in_arrow(joined, run, docs.schema)
     return done.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in docs.columns else done
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter(F.concat("base", "added"), lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    rank = lambda s: F.array_position(F.array(*map(F.lit, (*KINDS, CONTEXT))), s["kind"])
+    rank = lambda s: F.array_position(F.array(*map(F.lit, (*KINDS, SECRET, CONTEXT))), s["kind"])
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select("doc_id", *map(count, KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(ordered).alias("spans"))
+    every = F.size(F.concat("base", "added")).cast("bigint").alias("n_spans")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(ordered).alias("spans"), count(SECRET), count(CONTEXT), every)
