@@ -11,7 +11,8 @@ The table of known digests is part of the code and thus of bounded size; it is
 the only side that is broadcast.
 
 Defined results: null and empty texts match nothing; rows that agree in id and
-text get equal rows; an empty table gives no rows. Only the named columns are read.
+text get equal rows; very long texts are read whole; an empty table gives no rows.
+Only the named columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(known_texts(), "license string, text string")
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known_texts()])
+    rows = spark.range(1).select(F.explode(known).alias("known")).select("known.*")
     return rows.select("license", F.md5(canonical(F.lower("text"))).alias("digest")).dropDuplicates(["digest"])
 
 

@@ -14,8 +14,9 @@ size that very many documents share.
 
 Defined results: null text has size 0 and nothing taken; null is a source of its
 own, last in order; a null id is ordered by its text; rows that agree in id and
-text are interchangeable; an empty table gives no rows; reruns agree, whatever
-the partitioning.
+text are interchangeable; very long texts are read whole; an empty table gives no
+rows; reruns agree, whatever the partitioning. Only the named columns are read,
+so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import free_name, materialise, row_key, table, without_repeats, words_of
+from stocktake.llm.common import free_name, materialise, row_mark, table, without_repeats, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -64,7 +65,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, key (of id, source and text)."""
-    sized = docs.select("doc_id", "source", row_key(docs, "doc_id", "source", "text").alias("key"), F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"))
+    sized = docs.select("doc_id", "source", row_mark(docs, "doc_id", "source", "text")["key"].alias("key"), F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("_text"))
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("_text").cast("string")))))
     sized = materialise(sized, "sizes")
     classes = materialise(sized.groupBy("source", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")), "classes")
@@ -100,9 +101,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with ``copy`` counting from 1."""
-    mark, times = free_name(docs, "_key"), free_name(docs, "_copies")
-    taken = mix(docs, **how).groupBy(F.col("key").alias(mark)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
-    keyed = without_repeats(docs.withColumn(mark, row_key(docs, "doc_id", "source", "text")), mark)
+    mark, times = free_name(docs, "_mark"), free_name(docs, "_copies")
+    taken = mix(docs, **how).groupBy(F.struct(F.col("doc_id").alias("id"), "key").alias(mark)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    keyed = without_repeats(docs.withColumn(mark, row_mark(docs, "doc_id", "source", "text")), mark)
     return keyed.join(taken, mark).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias(free_name(docs, "copy")))
 
 

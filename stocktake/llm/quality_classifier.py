@@ -13,7 +13,8 @@ Defined results: null and empty texts have the statistics of an empty text and
 are scored like any other; rows of ``labels`` with a null id or label, or whose
 id is unknown, teach nothing; several labels of one id each count; with labels
 of a single class the score is that class's prior; with none it is 0.5. Equal
-texts get equal scores. Only the named columns are read.
+texts get equal scores; very long texts are read whole; an empty table gives no
+rows. Only the named columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import materialise, table
+from stocktake.llm.common import in_arrow, materialise, table
 
 FOLDS = 5
+#: Labelled ids are broadcast up to this many, and shuffled beyond.
+BROADCAST_IDS = 1_000_000
 THRESHOLD = 0.3
 #: Shrinkage towards the pooled covariance, then towards the identity.
 TO_POOLED, TO_IDENTITY = 0.3, 0.05
@@ -136,10 +139,10 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in batch.column(1).to_pylist()]
+            rows = [statistics(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=[id_col, "x"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, x array<double>")
+    return in_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, x array<double>")
 
 
 def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -164,7 +167,7 @@ def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndar
             [pa.array([c for c, _, _ in ks], pa.int32()), pa.array([k for _, k, _ in ks], pa.int32()), pa.array([v for _, _, v in ks], pa.float64())], names=["label", "k", "v"]
         )
 
-    cells = rows.select("label", "x").mapInArrow(run, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
+    cells = in_arrow(rows.select("label", "x"), run, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in cells:
         out.setdefault(r["label"], np.zeros(1 + d + d * d))[r["k"]] = r["v"]
@@ -176,11 +179,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def teaching(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of the labelled rows that are not held out."""
+    known = labels.select(F.col(id_col), F.col("quality").cast("int").alias("label"))
+    return known.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+
+
 def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Discriminant:
     """The discriminant learnt from the labelled rows of ``stats`` that are not held out."""
-    known = labels.select(F.col(id_col), F.col("quality").cast("int").alias("label"))
-    known = known.where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    return fit(class_moments(stats.join(known, id_col).select("label", "x")))
+    return fit(class_moments(stats.join(teaching(labels, id_col), id_col).select("label", "x")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -199,24 +206,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", th
             x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.scores(x), pa.float64())], names=[id_col, "score"])
 
-    scored = stats.select(id_col, "x").mapInArrow(run, f"{id_col} {kind}, score double")
+    scored = in_arrow(stats.select(id_col, "x"), run, f"{id_col} {kind}, score double")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns.
 
-    Rows are scored where they are, so that no text is shuffled.
+    Rows are scored where they are. Statistics to learn from are taken of the
+    labelled texts alone; ids are broadcast while they are few.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(statistics_table(docs, id_col, text_col), labels, id_col))
+    ids = teaching(labels, id_col).select(id_col).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    taught = docs.select(id_col, text_col).join(ids, id_col, "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(fitted(statistics_table(taught, id_col, text_col), labels, id_col))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=float).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.scores(x) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

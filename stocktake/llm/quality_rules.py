@@ -4,12 +4,14 @@ Base rules look at one text: words, symbols, repeated lines, words inside
 repeated 3-word windows. The method looks across texts: every line is
 normalised and hashed, distinct documents are counted per host and line, lines
 above the limit are taken away, and a document with too little left is
-rejected. Exact copies are one document here; they are for deduplication.
+rejected. A document is an id, so exact copies under other ids count; rows
+without an id are told apart by their texts.
 
 Defined results: null and empty texts have no words and fail the base rules; a
 null source is a host of its own; rows that agree in id, source and text share
 one verdict and count once; rows with the same id but other texts are judged
-apart; an empty table gives no rows. Only the named columns are read.
+apart; very long texts and lines are read whole; an empty table gives no rows.
+Only the named columns are read, so that further columns may have any name.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def line_keys(text: Column) -> Column:
 def judge_quality(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: id, the base figures, base_failed, n_removed_words, kept."""
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("_host"))
-    rows = read.select("_id", "_host", F.xxhash64("_id", "_host", "_text").alias("_key"), F.xxhash64("_text").alias("_same"), base_figures(F.col("_text")).alias("_base"), line_keys(F.col("_text")).alias("_lines"))
+    rows = read.select("_id", "_host", F.xxhash64("_id", "_host", "_text").alias("_key"), F.xxhash64(F.col("_id").isNull(), F.coalesce(F.col("_id").cast("string"), F.col("_text"))).alias("_same"), base_figures(F.col("_text")).alias("_base"), line_keys(F.col("_text")).alias("_lines"))
     rows = materialise(rows, "rule-rows")
 
     seen = rows.select("_host", "_same", F.explode(F.array_distinct(F.transform("_lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))).alias("_line"))
@@ -126,7 +128,7 @@ WITH
  lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY doc_id),
  norm AS (SELECT doc_id, source, text, trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g'), ' ') AS line FROM lines),
- common AS (SELECT source, line FROM norm WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 20),
+ common AS (SELECT source, line FROM norm WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > 20),
  gone AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM norm JOIN common USING (source, line) GROUP BY doc_id),
  f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

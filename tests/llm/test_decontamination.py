@@ -44,3 +44,23 @@ def test_empty_tables(spark, no_docs, odd_docs):
 def test_no_python_in_the_plan(spark, odd_docs):
     plan = d.find_leaks(odd_docs, _items(spark, ITEM))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_and_slot_heavy_items_go_by_their_words(spark, prose):
+    items = _items(spark, "Define osmosis", "What is 3 + 5 ?", "Compute 12 + 30 - 7 * 4", "word")
+    docs = _docs(spark, prose(1, 9) + " Define osmosis. " + prose(2, 9), "What is 4 + 9 ?", "Now what is 3 + 5 ? Nobody knows", "Compute 12 + 30 - 7 * 4", "Compute 13 + 30 - 7 * 4", "a word")
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs, items).collect()} == {(0, 0), (2, 1), (3, 2)}
+
+
+def test_names_open_sentences_and_stay_apart(spark):
+    item = "Ben lent 4 books to Ada. Ada read 3 of them before the long winter holiday ended"
+    other = item.replace("Ben", "Tom").replace("Ada", "Eva").replace("4", "9")
+    docs = _docs(spark, "so it goes. " + other, other.replace("Eva", "Tom"))
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs, _items(spark, item)).collect()} == {(0, 0)}
+
+
+def test_leaking_rows_go_and_others_keep_their_columns(spark, odd_docs, prose):
+    kept = d.drop_leaks(odd_docs, _items(spark, prose(1, 80)))
+    assert kept.columns == odd_docs.columns
+    want = [r for r in odd_docs.collect() if r.text != prose(1, 80)]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want)) and len(want) == odd_docs.count() - 3

@@ -51,3 +51,11 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert mixed.columns == [*odd_docs.columns, "copy"]
     assert mixed.count() == sum(r.copies for r in got)
     assert m.mixed_documents(no_docs).collect() == []
+
+
+def test_nulls_by_place_are_told_apart(spark):
+    rows = [(1, None, "a"), (1, "a", None), (2, "b", "one two"), (2, "b", "one two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    from stocktake.llm.common import row_mark
+
+    assert docs.select(row_mark(docs, "doc_id", "source", "text").alias("m")).distinct().count() == 3

@@ -29,10 +29,11 @@ def test_lines_above_the_limit_deplete_a_document(spark, prose):
     rows = [(k, shared + "\n" + prose(k, 10), "host") for k in range(25)]  # mostly shared lines
     rows += [(100 + k, shared + "\n" + prose(500 + k, 200), "host") for k in range(3)]  # much of its own
     rows += [(200 + k, shared + "\n" + prose(k, 10), "elsewhere") for k in range(3)]
-    rows += [(300 + k, prose(77, 80), "copies") for k in range(40)]  # copies are one document
+    rows += [(300 + k, prose(77, 80), "copies") for k in range(40)]  # copies under other ids are documents of their own
+    rows += [(None, prose(78, 80), "nameless") for k in range(40)]  # without ids, equal texts are one
     got = {r.doc_id: r for r in q.judge_quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert not any(got[k].kept for k in range(25)) and got[3].n_removed_words == 60
-    assert all(got[k].kept for k in [100, 101, 102, 200, 201, 202, *range(300, 340)])
+    assert all(got[k].kept for k in [100, 101, 102, 200, 201, 202, None]) and not any(got[k].kept for k in range(300, 340))
 
 
 def test_no_python_in_the_plan(odd_docs):
