@@ -304,7 +304,9 @@ def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float
     places = materialise(places.distinct(), "places")
     edges = places.select("pattern", "instance").withColumn("seed", F.lit(0)).unionByName(seeded.join(enough, "pattern", "left_semi").withColumn("seed", F.lit(1)))
     edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    others = materialise(rows.where("pattern is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others")).join(enough, "pattern", "left_semi"), "others")
+    # Counted before the join, which would else be pushed below the count and see each pair.
+    others = materialise(rows.where("pattern is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others")), "others-of-all")
+    others = materialise(others.join(enough, "pattern", "left_semi"), "others")
     confident, believed = scored(edges, others, rounds)
 
     taken = places.join(confident.where(F.col("confidence") >= min_confidence).select("pattern"), "pattern", "left_semi").join(believed.where(F.col("score") >= min_score).select("instance"), "instance", "left_semi")
