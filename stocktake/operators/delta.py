@@ -19,10 +19,13 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def inserted(old: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
     """``new`` with fresh ids after the largest of ``old``, numbered in ``order``.
 
-    Numbers come from counts per range partition, so no task sees all rows.
+    Numbers come from counts per range partition, so no task sees all rows. The
+    partitions are written down before they are counted, as range borders may
+    fall otherwise when they are made again.
     """
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top"))
     ranged = new.drop("id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = settle(ranged, "ranged")
     ranked = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -30,9 +33,9 @@ def inserted(old: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def updated(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``old`` with the values of ``new`` (by id) where they are given."""
-    given = new.select("id", *[F.col(c).alias(f"_{c}") for c in columns])
-    return old.join(given, "id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
+    """``old`` with the values of ``new``, nulls too, in the rows whose id it has."""
+    given = new.select("id", F.lit(True).alias("_given"), *[F.col(c).alias(f"_{c}") for c in columns])
+    return old.join(given, "id", "left").select(*[F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def deleted(old: DataFrame, gone: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -55,16 +58,14 @@ def delete_systems(state: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
     return out
 
 
-def delete_games(state: dict[str, DataFrame], gone: DataFrame, depth: int = 8) -> dict[str, DataFrame]:
-    """Entries with their clones, level by level up to ``depth``, and their items and patches."""
-    every, level = gone.select("id"), gone.select("id")
+def delete_games(state: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Entries with their clones of all levels, and their items and patches."""
+    every = level = settle(gone.select("id").distinct(), "level")
     tree = state["games"].where("parent_id is not null").select("id", "parent_id")
-    for _ in range(depth):
-        level = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-        if level.isEmpty():
-            break
+    while not level.isEmpty():
+        level = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = settle(level.join(every, "id", "left_anti"), "level")
         every = every.unionByName(level)
-    every = every.distinct()
     roms = state["roms"].join(every.select(F.col("id").alias("game_id")), "game_id", "left_semi").select("id")
     return state | {
         "games": deleted(state["games"], every), "roms": deleted(state["roms"], roms), "patches": deleted(state["patches"], roms.select(F.col("id").alias("rom_id")), ["rom_id"]),
@@ -102,7 +103,7 @@ def resolved_parents(catalogue: DataFrame) -> DataFrame:
             break
         done = done.unionByName(level)
     kinds = rows.select(F.col("name").alias("_n"), "bios")
-    out = rows.drop("bios").join(rows.select("name", "bios"), "name").join(done, "name")
+    out = rows.join(done, "name")
     parent = kinds.where("not bios").select(F.col("_n").alias("_p"))
     bios = kinds.where("bios").select(F.col("_n").alias("_b"))
     out = out.join(parent, F.col("parent") == F.col("_p"), "left").join(bios, F.col("romof") == F.col("_b"), "left")

@@ -6,60 +6,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+_DECODED = ("chd", "cso", "nsz", "rvz", "zso")
+_PACKED = ("7z", "zip")
 #: For each target, the classes it takes in order of precedence, and the action on each.
 CONVERT = {
-    "ORIGINAL": {"archive": "extract", "chd": "decode", "cso": "decode", "nsz": "decode", "rvz": "decode", "zso": "decode"},
-    "7Z": {"archive": "rearchive", "chd": "archive decoded", "cso": "archive decoded", "nsz": "archive decoded", "rvz": "archive decoded", "zso": "archive decoded", "other": "archive"},
-    "ZIP": {"archive": "rearchive", "chd": "archive decoded", "cso": "archive decoded", "nsz": "archive decoded", "rvz": "archive decoded", "zso": "archive decoded", "other": "archive"},
-    "CHD": {"archive": "encode extracted", "chd": "recompress", "cso": "encode decoded", "zso": "encode decoded", "cue": "encode", "iso": "encode", "rdsk": "encode", "riff": "encode"},
-    "CSO": {"archive": "encode extracted", "chd": "encode decoded", "cso": "recompress", "zso": "encode decoded", "iso": "encode"},
-    "NSZ": {"archive": "encode extracted", "nsz": "recompress", "nsp": "encode"},
-    "RVZ": {"archive": "encode extracted", "rvz": "recompress", "iso": "encode"},
-    "ZSO": {"archive": "encode extracted", "chd": "encode decoded", "cso": "encode decoded", "zso": "recompress", "iso": "encode"},
+    "ORIGINAL": dict.fromkeys(_PACKED, "extract") | dict.fromkeys(_DECODED, "decode"),
+    "7Z": dict.fromkeys(_DECODED, "archive decoded") | {"zip": "rearchive", "7z": "recompress", "other": "archive"},
+    "ZIP": dict.fromkeys(_DECODED, "archive decoded") | {"7z": "rearchive", "zip": "recompress", "other": "archive"},
+    "CHD": dict.fromkeys(_PACKED, "encode extracted") | {"cue": "encode", "iso": "encode", "cso": "encode decoded", "zso": "encode decoded", "chd": "recompress", "rdsk": "encode", "riff": "encode"},
+    "CSO": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "chd": "encode decoded", "cso": "recompress", "zso": "encode decoded"},
+    "NSZ": dict.fromkeys(_PACKED, "encode extracted") | {"nsp": "encode", "nsz": "recompress"},
+    "RVZ": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "rvz": "recompress"},
+    "ZSO": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "chd": "encode decoded", "cso": "encode decoded", "zso": "recompress"},
 }
 EXPORT = {
-    "ORIGINAL": {"archive": "extract", "chd": "decode", "cso": "decode", "nsz": "decode", "rvz": "decode", "zso": "decode", "other": "copy"},
-    "7Z": {"archive": "rearchive", "chd": "archive decoded", "cso": "archive decoded", "nsz": "archive decoded", "rvz": "archive decoded", "zso": "archive decoded", "other": "archive"},
-    "ZIP": {"archive": "rearchive", "chd": "archive decoded", "cso": "archive decoded", "nsz": "archive decoded", "rvz": "archive decoded", "zso": "archive decoded", "other": "archive"},
-    "CHD": {"archive": "encode extracted", "chd": "copy", "cso": "encode decoded", "zso": "encode decoded", "cue": "encode", "iso": "encode"},
-    "CSO": {"archive": "encode extracted", "chd": "encode decoded", "cso": "copy", "zso": "encode decoded", "iso": "encode"},
-    "ZSO": {"archive": "encode extracted", "chd": "encode decoded", "zso": "copy", "iso": "encode"},
-    "NSZ": {"archive": "encode extracted", "nsp": "encode"},
-    "RVZ": {"archive": "encode extracted", "rvz": "copy", "iso": "encode"},
-    "WBFS": {"archive": "encode extracted", "rvz": "encode decoded", "iso": "encode"},
-    "ISO": {"archive": "extract", "chd": "decode", "cso": "decode", "zso": "decode", "cue": "encode", "iso": "copy"},
-    "GDI": {"archive": "encode extracted", "chd": "encode decoded", "cue": "encode", "gdi": "copy"},
+    "ORIGINAL": dict.fromkeys(_PACKED, "extract") | dict.fromkeys(_DECODED, "decode") | {"other": "copy"},
+    "7Z": dict.fromkeys(_DECODED, "archive decoded") | {"zip": "rearchive", "7z": "copy", "other": "archive"},
+    "ZIP": dict.fromkeys(_DECODED, "archive decoded") | {"7z": "rearchive", "zip": "copy", "other": "archive"},
+    "CHD": dict.fromkeys(_PACKED, "encode extracted") | {"cue": "encode", "iso": "encode", "cso": "encode decoded", "zso": "encode decoded", "chd": "copy"},
+    "CSO": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "chd": "encode decoded", "cso": "copy", "zso": "encode decoded"},
+    "ZSO": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "chd": "encode decoded", "zso": "copy"},
+    "NSZ": dict.fromkeys(_PACKED, "encode extracted") | {"nsp": "encode"},
+    "RVZ": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "rvz": "copy"},
+    "WBFS": dict.fromkeys(_PACKED, "encode extracted") | {"iso": "encode", "rvz": "encode decoded"},
+    "ISO": dict.fromkeys(_PACKED, "extract") | {"cue": "encode", "iso": "copy", "chd": "decode", "cso": "decode", "zso": "decode"},
+    "GDI": dict.fromkeys(_PACKED, "encode extracted") | {"cue": "encode", "chd": "encode decoded", "gdi": "copy"},
 }
-ARCADE_TARGETS = ("ORIGINAL", "7Z", "ZIP")
-CLASSES = ("archive", "chd", "cso", "nsz", "rvz", "zso", "cue", "iso", "nsp", "rdsk", "riff", "gdi")
+ARCADE_TARGETS = ("ORIGINAL", "ZIP")
+#: (target, class) -> the extension of which the entry must have exactly one item, and no other where the flag is set.
+CONVERT_SINGLE = {(t, c): ("iso", True) for t in ("CSO", "ZSO") for c in (*_PACKED, "chd")} | {("NSZ", c): ("nsp", True) for c in _PACKED} | {("RVZ", c): ("iso", True) for c in _PACKED}
+EXPORT_SINGLE = {("ISO", "cue"): ("bin", False), ("GDI", "gdi"): ("gdi", False)}
+CLASSES = (*_PACKED, *_DECODED, "cue", "iso", "nsp", "rdsk", "riff", "gdi")
 
 
 def file_class(extension: Column) -> Column:
     e = F.lower(extension)
-    return F.when(e.isin("7z", "zip"), "archive").when(e.isin(*CLASSES[1:]), e).otherwise("other")
+    return F.when(e.isin(*CLASSES), e).otherwise("other")
 
 
 def game_classes(games: DataFrame, roms: DataFrame, romfiles: DataFrame) -> DataFrame:
-    """(id, class, paths, children): the class of each entry with files, by precedence over all its files."""
+    """(id, classes, files, items, has_children, single): what each entry with files is made of.
+
+    ``classes`` are the classes of its files, ``single`` the extensions that
+    exactly one of its items has.
+    """
     from stocktake.functions.paths import extension
 
     files = romfiles.select(F.col("id").alias("romfile_id"), "path", file_class(extension(F.col("path"))).alias("c"))
     parents = romfiles.where("parent_id is not null").select(F.col("parent_id").alias("romfile_id"), F.lit(True).alias("has_children")).distinct()
     rows = roms.where("romfile_id is not null").join(games.select(F.col("id").alias("game_id")), "game_id", "left_semi").join(files, "romfile_id").join(parents, "romfile_id", "left")
-    rank = F.array_position(F.array(*map(F.lit, (*CLASSES, "other"))), F.col("c"))
-    return rows.groupBy(F.col("game_id").alias("id")).agg(F.min_by("c", rank).alias("class"), F.count_distinct("path").alias("files"), F.coalesce(F.bool_or("has_children"), F.lit(False)).alias("has_children"))
+    own = F.lower(extension(F.col("name")))
+    counts = [F.when(F.count(F.when(own == e, 1)) == 1, F.lit(e)) for e in ("bin", "gdi", "iso", "nsp")]
+    return rows.groupBy(F.col("game_id").alias("id")).agg(
+        F.sort_array(F.collect_set("c")).alias("classes"), F.count_distinct("path").alias("files"), F.count("*").alias("items"), F.coalesce(F.bool_or("has_children"), F.lit(False)).alias("has_children"), F.array_compact(F.array(*counts)).alias("single")
+    )
+
+
+def class_for(target: str, matrix: dict[str, dict[str, str]]) -> Column:
+    """The class by which a target takes an entry: the first of its own order that a file has, else other."""
+    return F.coalesce(*[F.when(F.array_contains("classes", c), F.lit(c)) for c in matrix[target] if c != "other"], F.lit("other"))
 
 
 def planned(classes: DataFrame, target: str, matrix: dict[str, dict[str, str]], recompress: bool = False, arcade: Column | None = None) -> DataFrame:
     """(id, class, action) of the entries that the target takes.
 
     The matrix is a constant table, so joining it needs no shuffle. A disc image
-    that others build on is left alone; recompression is done on demand only.
+    that others build on is left alone; recompression is done on demand only;
+    arcade entries go to ARCADE_TARGETS alone.
     """
     allowed = matrix[target]
     cells = F.create_map(*[F.lit(x) for pair in allowed.items() for x in pair])
-    row = classes.withColumn("action", F.coalesce(F.try_element_at(cells, F.col("class")), F.lit(allowed.get("other") if "other" in allowed else None)))
+    row = classes.withColumn("class", class_for(target, matrix)).withColumn("action", F.try_element_at(cells, F.col("class")))
     row = row.where(F.col("action").isNotNull() & ~((F.col("class") == "chd") & F.col("has_children")))
+    for (of, c), (wanted, alone) in (CONVERT_SINGLE if matrix is CONVERT else EXPORT_SINGLE).items():
+        if of == target:
+            fits = F.array_contains("single", wanted) & ((F.col("items") == 1) | F.lit(not alone))
+            row = row.where((F.col("class") != c) | fits)
     if not recompress:
         row = row.where("action <> 'recompress'")
     if arcade is not None and target not in ARCADE_TARGETS:

@@ -12,10 +12,10 @@ from stocktake.plans.registry import query
 
 
 def _listing(m):
-    return m.romfiles.where("id % 5 <> 0").select("path").unionByName(m.files.where("doc_id % 50 = 0").select("path"))
+    return m.romfiles.where("size >= 10").select("path").unionByName(m.files.select("path"))
 
 
-_LISTING = "listing AS (SELECT path FROM romfiles WHERE id % 5 <> 0 UNION ALL SELECT path FROM files WHERE doc_id % 50 = 0)"
+_LISTING = "listing AS (SELECT path FROM romfiles WHERE size >= 10 UNION ALL SELECT path FROM files)"
 query("j16_foreign_files", f"+ {_LISTING} SELECT path FROM listing WHERE path NOT IN (SELECT path FROM romfiles)")(lambda m: a.foreign_files(_listing(m), m.romfiles))
 query("j17_missing_files", f"+ {_LISTING} SELECT id, path FROM romfiles WHERE path NOT IN (SELECT path FROM listing)")(lambda m: a.missing_files(m.romfiles, _listing(m)).select("id", "path"))
 query(
@@ -63,7 +63,7 @@ query(
 )(lambda m: a.conversion_diff(m.romfiles.select(F.col("id").alias("key"), F.col("size").alias("original"), (F.col("size") + 2).alias("size")), m.romfiles.select(F.col("id").alias("key"), (F.col("size") + F.col("id") % 3).alias("size"))))
 
 _NEW = "SELECT id, path || '.new' AS path, size, parent_id, romfile_type FROM romfiles WHERE id % 4 = 0"
-query("k1_insert", "SELECT (SELECT max(id) FROM romfiles) + row_number() OVER (ORDER BY path) AS id, path FROM files WHERE doc_id % 10 = 0")(lambda m: d.inserted(m.romfiles, m.files.where("doc_id % 10 = 0").select("path"), ["path"]).select("id", "path"))
+query("k1_insert", "SELECT (SELECT max(id) FROM romfiles) + row_number() OVER (ORDER BY path) AS id, path FROM files")(lambda m: d.inserted(m.romfiles, m.files.select("path"), ["path"]).select("id", "path"))
 query("k2_update", "SELECT id, CASE WHEN id % 4 = 0 THEN path || '.new' ELSE path END AS path, size FROM romfiles")(
     lambda m: d.updated(m.romfiles, m.romfiles.where("id % 4 = 0").select("id", F.concat("path", F.lit(".new")).alias("path")), ["path"]).select("id", "path", "size")
 )
@@ -126,17 +126,61 @@ query(
         m.roms.where("id % 5 <> 0").select("game_id", F.concat("name", F.lit("#"), "id").alias("name"), (F.col("size") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("size"), F.when(F.col("id") % 11 == 0, F.reverse(F.concat("crc", F.lit("z")))).otherwise(F.upper("crc")).alias("crc")),
     )
 )
-_CLASS = """cls AS (SELECT r.game_id AS id, min(CASE regexp_extract(f.path, '\\.([^./]*)$', 1) WHEN 'zip' THEN 1 WHEN 'chd' THEN 2 WHEN 'cue' THEN 3 WHEN 'iso' THEN 4 ELSE 5 END) AS rk, count(DISTINCT f.path) AS files,
-  bool_or(f.id IN (SELECT parent_id FROM romfiles WHERE parent_id IS NOT NULL)) AS kids FROM roms r JOIN romfiles f ON f.id = r.romfile_id GROUP BY r.game_id),
- cl AS (SELECT id, ['archive', 'chd', 'cue', 'iso', 'other'][rk] AS class, files, kids FROM cls)"""
-query("u4_game_classes", f"+ {_CLASS} SELECT id, class, files, kids AS has_children FROM cl")(lambda m: p.game_classes(m.games, m.roms, m.romfiles))
-for _name, _matrix in (("p9_convert", p.CONVERT), ("p10_export", p.EXPORT)):
-    for _target in _matrix:
-        _cells = " ".join(f"WHEN '{c}' THEN '{x}'" for c, x in _matrix[_target].items() if c != "other" and x != "recompress")
-        _drop = ",".join(f"'{c}'" for c, x in _matrix[_target].items() if x == "recompress")
-        _else = f"'{_matrix[_target]['other']}'" if "other" in _matrix[_target] else "NULL"
-        _sql = f"+ {_CLASS}, ac AS (SELECT id, class, CASE class {_cells} ELSE {_else} END AS action FROM cl WHERE NOT (class = 'chd' AND kids) {f'AND class NOT IN ({_drop})' if _drop else ''}) SELECT * FROM ac WHERE action IS NOT NULL"
-        query(f"{_name}_{_target.lower()}", _sql)(lambda m, t=_target, x=_matrix: p.planned(p.game_classes(m.games, m.roms, m.romfiles), t, x))
+#: Every class of file occurs: the extension follows from the size.
+_ENDS = ("zip", "7z", "chd", "cso", "nsz", "rvz", "zso", "cue", "iso", "nsp", "rdsk", "riff", "gdi", "bin", "dat")
+_HAS = ", ".join(f"bool_or(e = '{e}') AS h_{e}" for e in _ENDS)
+_CLASS = f"""fl AS (SELECT r.game_id AS id, list_extract({list(_ENDS)}, (f.size % {len(_ENDS)})::INT + 1) AS e, regexp_extract(r.name, '\\.([^./]*)$', 1) AS own, f.path, f.id IN (SELECT parent_id FROM romfiles WHERE parent_id IS NOT NULL) AS kid FROM roms r JOIN romfiles f ON f.id = r.romfile_id),
+ ag AS (SELECT id, count(*) AS items, count(DISTINCT path) AS files, bool_or(kid) AS kids, count(*) FILTER (own = 'iso') AS isos, count(*) FILTER (own = 'nsp') AS nsps, count(*) FILTER (own = 'bin') AS bins, count(*) FILTER (own = 'gdi') AS gdis, {_HAS} FROM fl GROUP BY id)"""
+
+
+def _classes(m):
+    path = F.concat("path", F.lit("."), F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("size") % len(_ENDS)).cast("int") + 1))
+    return p.game_classes(m.games, m.roms, m.romfiles.withColumn("path", path))
+
+
+query("u4_game_classes", f"+ {_CLASS} SELECT id, files, items, kids AS has_children, h_zip AS zipped, isos = 1 AS one_iso FROM ag")(
+    lambda m: _classes(m).select("id", "files", "items", "has_children", F.array_contains("classes", "zip").alias("zipped"), F.array_contains("single", "iso").alias("one_iso"))
+)
+#: The expected cells, written out: class, action and what must hold besides, in order of precedence.
+_EXPECTED = {
+    "p9_convert_original": "7z extract; zip extract; chd decode; cso decode; nsz decode; rvz decode; zso decode",
+    "p9_convert_7z": "chd archive decoded; cso archive decoded; nsz archive decoded; rvz archive decoded; zso archive decoded; zip rearchive; 7z -; * archive",
+    "p9_convert_zip": "chd archive decoded; cso archive decoded; nsz archive decoded; rvz archive decoded; zso archive decoded; 7z rearchive; zip -; * archive",
+    "p9_convert_chd": "7z encode extracted; zip encode extracted; cue encode; iso encode; cso encode decoded; zso encode decoded; chd -; rdsk encode; riff encode",
+    "p9_convert_cso": "7z encode extracted if items = 1 AND isos = 1; zip encode extracted if items = 1 AND isos = 1; iso encode; chd encode decoded if items = 1 AND isos = 1; cso -; zso encode decoded",
+    "p9_convert_nsz": "7z encode extracted if items = 1 AND nsps = 1; zip encode extracted if items = 1 AND nsps = 1; nsp encode; nsz -",
+    "p9_convert_rvz": "7z encode extracted if items = 1 AND isos = 1; zip encode extracted if items = 1 AND isos = 1; iso encode; rvz -",
+    "p9_convert_zso": "7z encode extracted if items = 1 AND isos = 1; zip encode extracted if items = 1 AND isos = 1; iso encode; chd encode decoded if items = 1 AND isos = 1; cso encode decoded; zso -",
+    "p10_export_original": "7z extract; zip extract; chd decode; cso decode; nsz decode; rvz decode; zso decode; * copy",
+    "p10_export_7z": "chd archive decoded; cso archive decoded; nsz archive decoded; rvz archive decoded; zso archive decoded; zip rearchive; 7z copy; * archive",
+    "p10_export_zip": "chd archive decoded; cso archive decoded; nsz archive decoded; rvz archive decoded; zso archive decoded; 7z rearchive; zip copy; * archive",
+    "p10_export_chd": "7z encode extracted; zip encode extracted; cue encode; iso encode; cso encode decoded; zso encode decoded; chd copy",
+    "p10_export_cso": "7z encode extracted; zip encode extracted; iso encode; chd encode decoded; cso copy; zso encode decoded",
+    "p10_export_zso": "7z encode extracted; zip encode extracted; iso encode; chd encode decoded; zso copy",
+    "p10_export_nsz": "7z encode extracted; zip encode extracted; nsp encode",
+    "p10_export_rvz": "7z encode extracted; zip encode extracted; iso encode; rvz copy",
+    "p10_export_wbfs": "7z encode extracted; zip encode extracted; iso encode; rvz encode decoded",
+    "p10_export_iso": "7z extract; zip extract; cue encode if bins = 1; iso copy; chd decode; cso decode; zso decode",
+    "p10_export_gdi": "7z encode extracted; zip encode extracted; cue encode; chd encode decoded; gdi copy if gdis = 1",
+}
+
+
+def _plan_sql(cells: str) -> str:
+    classes, actions = [], []
+    for cell in cells.split("; "):
+        c, _, rest = cell.partition(" ")
+        action, _, guard = rest.partition(" if ")
+        guard = " AND ".join(x for x in (guard, "NOT kids" if c == "chd" else "") if x) or "true"
+        classes.append("ELSE 'other'" if c == "*" else f"WHEN h_{c} THEN '{c}'")
+        if action != "-":
+            actions.append(f"WHEN class = '{'other' if c == '*' else c}' AND {guard} THEN '{action}'")
+    tail = "" if classes[-1].startswith("ELSE") else " ELSE 'other'"
+    return f"+ {_CLASS}, cl AS (SELECT *, CASE {' '.join(classes)}{tail} END AS class FROM ag), ac AS (SELECT id, class, CASE {' '.join(actions)} END AS action FROM cl) SELECT id, class, action FROM ac WHERE action IS NOT NULL"
+
+
+for _name, _cells in _EXPECTED.items():
+    _matrix, _target = (p.CONVERT if _name.startswith("p9") else p.EXPORT), _name.rsplit("_", 1)[1].upper()
+    query(_name, _plan_sql(_cells))(lambda m, t=_target, x=_matrix: p.planned(_classes(m), t, x))
 query(
     "p11_playlists",
     r"""+ di AS (SELECT id, system_id, regexp_replace(name, ' \(Disc \d+\).*', '') AS playlist, completion FROM games WHERE regexp_matches(name, ' \(Disc \d+\)')),

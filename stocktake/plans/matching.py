@@ -39,14 +39,14 @@ query("j9_present_by_md5", "SELECT r.id, g.system_id, r.size, r.md5 AS digest FR
 
 def _tiers(m):
     stored = m.roms.where("romfile_id is not null and md5 is not null").join(m.games.select(F.col("id").alias("game_id"), F.col("name").alias("game")), "game_id")
-    files = stored.where("id % 7 = 0").select(F.col("id").alias("file"), "size", F.lit("md5").alias("algorithm"), F.col("md5").alias("digest"), F.col("name").alias("rom_name"), F.array("game").alias("game_names"))
+    files = stored.select(F.col("id").alias("file"), "size", F.lit("md5").alias("algorithm"), F.col("md5").alias("digest"), F.col("name").alias("rom_name"), F.array("game").alias("game_names"))
     items = x.hash_rows(m.roms, "md5").join(m.games.select(F.col("id").alias("game_id"), F.col("name").alias("game")), "game_id")
     return x.candidates(files, items).select("file", "rom", "tier")
 
 
 query(
     "m1_tiers",
-    """+ fl AS (SELECT r.id AS file, r.size, r.md5, r.name, g.name AS game FROM roms r JOIN games g ON g.id = r.game_id WHERE r.romfile_id IS NOT NULL AND r.md5 IS NOT NULL AND r.id % 7 = 0),
+    """+ fl AS (SELECT r.id AS file, r.size, r.md5, r.name, g.name AS game FROM roms r JOIN games g ON g.id = r.game_id WHERE r.romfile_id IS NOT NULL AND r.md5 IS NOT NULL),
     op AS (SELECT r.id AS rom, r.size, r.md5, r.name, g.name AS game FROM roms r JOIN games g ON g.id = r.game_id WHERE r.romfile_id IS NULL AND r.parent_id IS NULL AND r.md5 IS NOT NULL),
     mt AS (SELECT file, rom, CASE WHEN f.game = o.game AND f.name = o.name THEN 1 WHEN f.game = o.game THEN 2 ELSE 3 END AS tier FROM fl f JOIN op o ON f.size = o.size AND f.md5 = o.md5)
     SELECT file, rom, tier FROM mt WHERE (file, tier) IN (SELECT file, min(tier) FROM mt GROUP BY file)""",
@@ -55,13 +55,13 @@ query(
 
 def _closest(m):
     found = m.table("part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("wanted"), F.col("p_brand"))
-    items = m.table("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("rom"), F.col("p_name").alias("name"), "p_brand")
-    return x.closest(found.join(items, "p_brand")).select("file", "rom", F.round("likeness", 6).alias("likeness"))
+    items = m.table("part").select(F.col("p_partkey").alias("rom"), F.col("p_name").alias("name"), "p_brand")
+    return x.closest(found.join(items, "p_brand").where("file <> rom")).select("file", "rom", F.round("likeness", 6).alias("likeness"))
 
 
 query(
     "j21_closest_name",
-    """+ c AS (SELECT a.p_partkey AS file, b.p_partkey AS rom, jaro_winkler_similarity(a.p_name, b.p_name) AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey % 50 = 0)
+    """+ c AS (SELECT a.p_partkey AS file, b.p_partkey AS rom, jaro_winkler_similarity(a.p_name, b.p_name) AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
     SELECT file, rom, round(s, 6) AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(s, 12) DESC, rom) AS k FROM c) WHERE k = 1""",
 )(_closest)
 query("j21_fuzzy_rank", "SELECT p_partkey AS id, round(jaro_winkler_similarity(p_name, p_type), 9) AS likeness FROM part")(lambda m: m.table("part").select(F.col("p_partkey").alias("id"), F.round(jaro_winkler_udf("p_name", "p_type"), 9).alias("likeness")))
@@ -76,13 +76,13 @@ query("a3_present_children", "SELECT parent_id, count(*) AS n FROM roms WHERE pa
 
 def _cover(m):
     items = m.roms.where("parent_id is null and md5 is not null").select("id", "game_id", "size", F.col("md5").alias("digest"))
-    members = m.roms.where("parent_id is null and md5 is not null and game_id % 2 = 0 and not (game_id % 4 = 0 and id % 100 = 1)").select(F.col("game_id").alias("archive"), F.col("id").alias("member"), "size", F.col("md5").alias("digest"))
+    members = m.roms.where("parent_id is null and md5 is not null and coalesce(rom_status, '') <> 'nodump'").select(F.col("game_id").alias("archive"), F.col("id").alias("member"), "size", F.col("md5").alias("digest"))
     return x.set_cover(members, items)
 
 
 query(
     "a20_set_cover",
-    """+ it AS (SELECT id, game_id, size, md5 FROM roms WHERE parent_id IS NULL AND md5 IS NOT NULL), mb AS (SELECT game_id AS archive, id AS member, size, md5 FROM it WHERE game_id % 2 = 0 AND NOT (game_id % 4 = 0 AND id % 100 = 1)),
+    """+ it AS (SELECT id, game_id, size, md5, rom_status FROM roms WHERE parent_id IS NULL AND md5 IS NOT NULL), mb AS (SELECT game_id AS archive, id AS member, size, md5 FROM it WHERE coalesce(rom_status, '') <> 'nodump'),
     mt AS (SELECT m.archive, i.game_id, count(DISTINCT i.id) AS items, count(DISTINCT m.member) AS matched FROM mb m JOIN it i ON i.size = m.size AND i.md5 = m.md5 GROUP BY 1, 2)
     SELECT archive, game_id, (SELECT count(*) FROM mb WHERE mb.archive = mt.archive) AS members FROM mt WHERE items = (SELECT count(*) FROM it WHERE it.game_id = mt.game_id)
      AND matched = (SELECT count(*) FROM mb WHERE mb.archive = mt.archive) AND (SELECT count(*) FROM mt t WHERE t.archive = mt.archive) = 1""",

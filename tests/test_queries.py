@@ -7,6 +7,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "a4_a5_original_sizes", "a6_actual_sizes", "a8_game_completion", "a10_game_completion_non_merged", "a11_game_completion_jbfolder", "a13_system_completion_dispatch", "a20_set_cover", "f4_systems_like", "f25_trashed_romfiles_global",
     "j3_romfiles_of_system", "j6_orphan_romfiles", "j21_closest_name", "k1_insert", "k4_delete_games", "m1_assignment", "m1_tiers", "p2_resolved_parents", "p3_changed_roms", "p5_sorting", "p8_check", "p8_check_archives", "p9_convert_chd",
+    "p9_convert_7z", "p9_convert_cso", "p9_convert_zip", "p10_export_iso", "p10_export_zip", "p10_export_gdi", "u4_game_classes", "j16_foreign_files", "p13_purge_plan", "k2_update",
+    "f27_settings", "p19_add", "p19_remove", "p19_unset", "p19_invalid", "t7_children_first", "p16_parent_images", "t12_hash_order", "j20_zipped_tracks", "a19_extents", "m9_new_patches", "a17_unique_paths", "j18_not_imported", "x20_human_sizes", "x23_version_gate",
     "p11_playlists", "p14_purge_systems", "p20_ignored_roms", "t4_ranked_families", "t6_move_plan", "x7_sorted_paths", "x9_name_information", "f28_x2_headered_hash",
 ]
 
