@@ -11,8 +11,12 @@ most ROUNDS times. Fillers of confident patterns become further spans of kind
 ``context``; base spans always stay.
 
 A pattern must have a fixed number of distinct seeds, whatever the size of the
-corpus, so that the patterns grow with it. Only a bit filter over them, of
-bounded size, travels to the texts; what it lets through is joined exactly.
+corpus, so that the patterns grow with it, and more distinct seeds than distinct
+plain words: one that stands around as many words that are no identifiers is no
+evidence and is left out of the graph. Whether it does is known once as many
+words as it has seeds are found, so that a task sends no more of them. Only a
+table of bounded size with these limits travels to the texts; what it lets
+through is joined exactly, and its errors raise limits only.
 
 Offsets count code points, ends are exclusive. Defined results: null and empty
 texts have no spans; very long texts and words are read whole; equal texts get
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import bit_filter, free_name, in_arrow, in_filter, materialise, row_key, row_mark, table
+from stocktake.llm.common import free_name, in_arrow, materialise, row_key, row_mark, table
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET, CONTEXT = "secret", "context"
@@ -41,7 +45,8 @@ MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.5
 #: Added to a pattern's fillers, so that few of them prove little.
 SMOOTHING = 1.0
 ROUNDS, SETTLED = 8, 0.02
-FILTER_BITS = 1 << 26
+#: Cells of the table of limits.
+LIMIT_CELLS = 1 << 22
 MEMO_WORDS, HELD = 200_000, 500_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -186,8 +191,32 @@ def distinct_rows(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
 
 
-def candidates(text: str, spans: list[Span], mask: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """Places of a text whose pattern is in the filter.
+def limits_of(patterns: DataFrame) -> np.ndarray:
+    """For each cell of patterns, 0 if it has none, else the bits of the largest support. ``patterns``: pattern, support."""
+    bits = F.length(F.bin("support"))
+    cells = patterns.groupBy(F.pmod("pattern", F.lit(LIMIT_CELLS)).cast("int").alias("cell")).agg(F.max(bits).cast("int").alias("bits")).toArrow()
+    table = np.zeros(LIMIT_CELLS, np.uint8)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint8)
+    return table
+
+
+def cell_of(pattern: np.ndarray) -> np.ndarray:
+    return np.mod(pattern, LIMIT_CELLS)
+
+
+def within_limits(pairs: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The distinct rows (pattern, other), of each pattern no more than its limit, which is above its support."""
+    pairs = distinct_rows(pairs)
+    if not len(pairs):
+        return pairs
+    fresh = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
+    starts = np.nonzero(fresh)[0]
+    rank = np.arange(len(pairs)) - starts[np.cumsum(fresh) - 1]
+    return pairs[rank < np.int64(1) << limits[cell_of(pairs[:, 0])].astype(np.int64)]
+
+
+def candidates(text: str, spans: list[Span], limits: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Places of a text whose pattern has a limit.
 
     Gives (pattern, instance, start, end) for identifier-shaped fillers that
     touch no seed, and (pattern, hash) of all other words but those of seeds.
@@ -207,7 +236,7 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray) -> tuple[list[tup
         for start, end, _ in spans:
             inside.update(range(bisect_right(starts, start) - 1, bisect_left(starts, end)))
     for pattern in patterns(before2, before, after):
-        at = np.nonzero(in_filter(mask, pattern))[0]
+        at = np.nonzero(limits[cell_of(pattern)])[0]
         shaped = np.zeros(len(at), bool)
         for k, i in enumerate(at.tolist()):
             if i in inside:
@@ -222,17 +251,17 @@ def candidates(text: str, spans: list[Span], mask: np.ndarray) -> tuple[list[tup
                 found.append((int(pattern[i]), instance_of(core), start, end))
         plain = at[~shaped]
         others.append(np.stack([pattern[plain], h[plain].view(np.int64)], axis=1))
-    return found, distinct_rows(np.concatenate(others))
+    return found, within_limits(np.concatenate(others), limits)
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 _CANDIDATE = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def span_rows(docs: DataFrame, mask: np.ndarray) -> DataFrame:
-    """A row per document (id, key, base, secrets, candidates), and the distinct (pattern, other) of each task; other is a word's hash."""
+def span_rows(docs: DataFrame, limits: np.ndarray) -> DataFrame:
+    """A row per document (id, key, base, secrets, candidates), and the distinct (pattern, other) of each task within the limits; other is a word's hash."""
     kind = docs.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    shared = docs.sparkSession.sparkContext.broadcast(limits)
     names = ["id", "key", "base", "secrets", "candidates", "pattern", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +269,7 @@ def span_rows(docs: DataFrame, mask: np.ndarray) -> DataFrame:
         size = 0
         id_type = None
 
-        def pairs() -> pa.RecordBatch:
-            rows = distinct_rows(np.concatenate(held))
-            held.clear()
+        def pairs(rows: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(rows))
             return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_SPAN)), none.cast(pa.list_(_CANDIDATE)), pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
 
@@ -261,10 +288,13 @@ def span_rows(docs: DataFrame, mask: np.ndarray) -> DataFrame:
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(secrets, pa.list_(_SPAN)), pa.array(found, pa.list_(_CANDIDATE)), none, none], names=names)
             if size > HELD:
-                yield pairs()
-                size = 0
+                held = [within_limits(np.concatenate(held), shared.value)]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield pairs(held.pop())
+                    size = 0
         if held:
-            yield pairs()
+            yield pairs(within_limits(np.concatenate(held), shared.value))
 
     span, place = "array<struct<start:int,end:int,kind:string>>", "array<struct<pattern:bigint,instance:bigint,start:int,end:int>>"
     return in_arrow(docs, run, f"id {kind}, key bigint, base {span}, secrets {span}, candidates {place}, pattern bigint, other bigint")
@@ -296,17 +326,19 @@ def find_pii(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float
     """One row per row of ``docs``: id, key, base and added (arrays of start, end, kind; added are secrets, then contexts)."""
     read = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     seeded = materialise(seeds(read.select("text")), "seeds")
-    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds).select("pattern"), "patterns")
-    rows = materialise(span_rows(read, bit_filter(enough, "pattern", FILTER_BITS)), "spans")
+    enough = materialise(seeded.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_seeds), "patterns")
+    rows = materialise(span_rows(read, limits_of(enough)), "spans")
 
+    # Counted before the join, which would else be pushed below the count and see each pair.
+    others = materialise(rows.where("pattern is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others")), "others-of-all")
+    alive = enough.join(others, "pattern", "left").where(F.coalesce("others", F.lit(0)) < F.col("support"))
+    alive = materialise(alive.select("pattern", "others"), "alive")
+    others, enough = alive.where("others is not null"), alive.select("pattern")
     found = rows.where("pattern is null")
     places = found.select("key", F.explode("candidates").alias("c")).select("key", "c.*").join(enough, "pattern", "left_semi")
     places = materialise(places.distinct(), "places")
     edges = places.select("pattern", "instance").withColumn("seed", F.lit(0)).unionByName(seeded.join(enough, "pattern", "left_semi").withColumn("seed", F.lit(1)))
     edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    # Counted before the join, which would else be pushed below the count and see each pair.
-    others = materialise(rows.where("pattern is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others")), "others-of-all")
-    others = materialise(others.join(enough, "pattern", "left_semi"), "others")
     confident, believed = scored(edges, others, rounds)
 
     taken = places.join(confident.where(F.col("confidence") >= min_confidence).select("pattern"), "pattern", "left_semi").join(believed.where(F.col("score") >= min_score).select("instance"), "instance", "left_semi")

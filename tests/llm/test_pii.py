@@ -120,3 +120,32 @@ def test_graph_scores_against_loops(spark):
     want = graph_by_hand(edges, others)
     near = lambda a, b: a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     assert near({r.pattern: r.confidence for r in sure.collect()}, want[0]) and near({r.instance: r.score for r in score.collect()}, want[1])
+
+
+def test_limits_keep_what_decides(spark):
+    """Counts below the support are whole, and others reach it, however the pairs are dealt."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    support = {rnd.getrandbits(62): rnd.randrange(3, 40) for _ in range(60)}
+    truth = {q: {rnd.getrandbits(40) for _ in range(rnd.randrange(0, 80))} for q in support}
+    limits = p.limits_of(spark.createDataFrame([*support.items()], "pattern bigint, support bigint"))
+    pairs = [(q, o) for q, some in truth.items() for o in some for _ in range(2)]
+    rnd.shuffle(pairs)
+    sent = [tuple(r) for k in range(5) for r in p.within_limits(np.array(pairs[k::5], np.int64), limits).tolist()]
+    for q, n in support.items():
+        got = len({o for r, o in sent if r == q})
+        assert got == len(truth[q]) if len(truth[q]) < n else got >= n
+    assert len(p.within_limits(np.array([(q, o) for q in support for o in range(500)], np.int64), limits)) < sum(2 * n + 1 for n in support.values())
+
+
+def test_a_pattern_among_plain_words_is_no_evidence(spark, prose):
+    known = [f"reach account holder user{k}@mail.example.com now" for k in range(4)]
+    plain = [f"reach account holder {w} now" for w in ("somebody", "nobody", "anybody", "everybody")]
+    for some, want in ((plain[:3], [(21, 30, p.CONTEXT)]), (plain, [])):
+        rows = [*enumerate(known + some), (99, "reach account holder AB-123456 now")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: r for r in p.find_pii(docs, min_confidence=0.4, min_score=0.4).collect()}
+        assert [tuple(s) for s in got[99].added] == want
