@@ -112,6 +112,27 @@ def in_filter(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
+def met_and_rest(docs: DataFrame, mark: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may have one of ``marks``, and those that have none.
+
+    ``mark`` is a column of row_marks in both. A bit filter of bounded size over
+    the keys parts the rows where they are read, so that the rest is not shuffled;
+    what it lets through by chance is among the first and has to be joined.
+    """
+    mask = docs.sparkSession.sparkContext.broadcast(bit_filter(marks.select(F.col(mark)["key"].alias("key")).distinct(), "key"))
+    at = docs.columns.index(mark)
+
+    def rows_where(met: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(at).field("key").to_numpy()
+                yield batch.filter(pa.array(in_filter(mask.value, keys) == met))
+
+        return in_arrow(docs, run, docs.schema)
+
+    return rows_where(True), rows_where(False)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

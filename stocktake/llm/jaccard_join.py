@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import bit_filter, free_name, in_arrow, in_filter, materialise, row_key, row_mark, table, without_repeats
+from stocktake.llm.common import bit_filter, free_name, in_arrow, in_filter, materialise, met_and_rest, row_key, row_mark, table
 from stocktake.llm.components import connected_components
 
 SHINGLE = 5
@@ -589,14 +589,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of least id and key; documents without words all stay."""
-    mark = free_name(docs, "_mark")
+    mark, stays = free_name(docs, "_mark"), free_name(docs, "_stays")
     found = jaccard_components(docs, id_col, text_col).where("n_shingles > 0").select("component", F.struct(F.col(id_col).alias("id"), "key").alias(mark))
     found = materialise(found, "components-of-rows")
     best = found.groupBy("component").agg(F.min(F.struct(F.col(mark)["id"].isNull().alias("unknown"), F.col(mark).alias("mark")))["mark"].alias("best"))
-    gone = materialise(found.join(best, "component").where(F.col(mark) != F.col("best")).select(mark).distinct(), "gone")
-    keyed = docs.withColumn(mark, row_mark(docs, id_col, text_col)).join(gone, mark, "left_anti")
-    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t-\r]")
-    return without_repeats(keyed.where(words), mark).unionByName(keyed.where(~words)).select(*docs.columns)
+    judged = found.join(best, "component").groupBy(mark).agg(F.min(F.col(mark) == F.col("best")).alias(stays), F.count("*").alias("rows"))
+    judged = materialise(judged.where(~F.col(stays) | (F.col("rows") > 1)).select(mark, stays), "judged")
+    met, rest = met_and_rest(docs.withColumn(mark, row_mark(docs, id_col, text_col)), mark, judged)
+    met = met.join(judged.hint("merge"), mark, "left")
+    kept = rest.unionByName(met.where(F.col(stays).isNull()).drop(stays))
+    if not judged.where(stays).isEmpty():  # repeated rows, of which one stays
+        kept = kept.unionByName(met.where(stays).drop(stays).dropDuplicates([mark]))
+    return kept.select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

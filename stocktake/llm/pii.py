@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocktake.llm.common import free_name, in_arrow, materialise, row_key, row_mark, table
+from stocktake.llm.common import free_name, in_arrow, materialise, met_and_rest, row_key, row_mark, table
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET, CONTEXT = "secret", "context"
@@ -362,7 +362,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     mark, held = free_name(docs, "_mark"), free_name(docs, "_spans")
     spans = find_pii(docs, id_col=id_col, text_col=text_col).select(F.struct(F.col(id_col).alias("id"), "key").alias(mark), F.concat("base", "added").alias(held))
     spans = materialise(spans.where(F.size(held) > 0).dropDuplicates([mark]), "redactions")
-    joined = docs.withColumn(mark, row_mark(docs, id_col, text_col)).join(spans, mark, "left").select(*docs.columns, held)
+    met, rest = met_and_rest(docs.withColumn(mark, row_mark(docs, id_col, text_col)), mark, spans)
+    joined = met.join(spans.hint("merge"), mark, "left").select(*docs.columns, held)
     names = docs.columns
     at = names.index(text_col)
 
@@ -373,7 +374,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             cols[at] = pa.array([redacted(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in pairs], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = in_arrow(joined, run, docs.schema)
+    done = rest.select(*docs.columns).unionByName(in_arrow(joined, run, docs.schema))
     return done.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in docs.columns else done
 
 
