@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stocktake.plans.bindings import SQL, Model
 
-MODULES = ("catalogue", "completion", "matching", "arranging", "auditing", "scalars", "discs")
+MODULES = ("catalogue", "completion", "matching", "arranging", "auditing", "scalars", "discs", "importing")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
