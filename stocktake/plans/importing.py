@@ -9,12 +9,11 @@ from stocktake.plans.registry import query
 
 # Catalogues of half of the nations are offered, those of a part in a newer version. Entries of low priority
 # vanish, items without a dump vanish, large ones change their size, and one entry of each collection is new.
-_NAME = F.concat("name", F.lit("#"), "id")
 
 
 def _imported(m):
     systems = m.systems.where("version < '20200015'").select("name", "id", F.when(F.col("version") < "20200008", F.concat("version", F.lit(".1"))).otherwise(F.col("version")).alias("version"))
-    roms = m.roms.withColumn("name", _NAME)
+    roms = m.roms.withColumn("name", F.concat("name", F.lit("#"), "id"))
     games = m.games.withColumn("parent_id", F.lit(None).cast("bigint"))
     state = {n: getattr(m, n) for n in ("systems", "romfiles", "patches", "headers", "rules")} | {"games": games, "roms": roms}
     listed = games.where("description <> '5-LOW'").join(systems.select(F.col("id").alias("system_id"), F.col("name").alias("system")), "system_id")

@@ -37,6 +37,13 @@ def test_every_query_has_a_name_of_its_own():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], check=True)
+
+
 def test_entry_works(spark):
     import __spark_entry__
 
