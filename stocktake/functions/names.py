@@ -23,6 +23,8 @@ RELEASES = ("Alpha", "Beta", "Demo", "Kiosk", "Possible Proto", "Preview", "Prog
 _RELEASE = rf"^({'|'.join(sorted(RELEASES, key=len, reverse=True))})( [0-9]+)?$"
 _LANGUAGES = r"^[A-Z][a-z](-[A-Z]{2})?([,+][A-Z][a-z](-[A-Z]{2})?)*$"
 _VERSION = r"^(?:Rev ([0-9A-Z.]+)|[vV]([0-9][0-9A-Za-z.]*)|Version ([0-9][0-9A-Za-z.]*))$"
+#: Title, optional demo mark, date with unknown digits as x, publisher; what follows is captured.
+_DATED = r"^[^()]+(?:\(demo[^()]*\) ?)?\((?:19|20)[0-9x]{2}(?:-[0-9x]{2}){0,2}\)\([^()]*\)(.*)$"
 _MEDIA = r"^(Disc|Disk|Side|Tape|Cart|Part|Track) [0-9A-Z]+"
 
 
@@ -48,6 +50,20 @@ def region_codes(name: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(F.split(first, ", "), lambda p: F.element_at(_region_map(), p)), "-"), F.lit(""))
 
 
+def catalogue_regions(name: Column) -> Column:
+    """Codes of a name of the other convention, ``Title (Date)(Publisher)(System)(Video)(Country)...``, where countries are codes; null for other names."""
+    tail = F.regexp_extract(name, _DATED, 1)
+    codes = F.array_distinct(F.array(*map(F.lit, sorted({c for v in REGIONS.values() for c in v.split("-")}))))
+    country = F.get(F.filter(groups(tail), lambda g: g.rlike(r"^[A-Z]{2}(-[A-Z]{2})*$") & F.forall(F.split(g, "-"), lambda c: F.array_contains(codes, c))), 0)
+    return F.when(name.rlike(_DATED), F.coalesce(country, F.lit("")))
+
+
+def regions_of(name: Column) -> Column:
+    """Region codes by either convention; empty without a region."""
+    own = region_codes(name)
+    return F.when(own != "", own).otherwise(F.coalesce(catalogue_regions(name), F.lit("")))
+
+
 def languages(name: Column) -> Column:
     """Languages of all language groups, without variants; only well-formed ones."""
     found = F.flatten(F.transform(F.filter(groups(name), lambda g: g.rlike(_LANGUAGES)), lambda g: F.split(g, "[,+]")))

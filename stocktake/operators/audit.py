@@ -22,12 +22,19 @@ def checked(expected: DataFrame, actual: DataFrame, header: DataFrame | None = N
     """(file, status) of each stored file against its item.
 
     ``expected``: file, size, crc, md5, sha1; ``actual``: file, content. The first
-    checksum known counts; size 0 is not compared.
+    checksum known counts; size 0 is not compared. The bytes are digested before
+    the join.
     """
-    rows = expected.join(actual, "file", "left")
     content = F.col("content")
-    digest = F.when(F.col("crc").isNotNull(), crc32(content) == F.lower("crc")).when(F.col("md5").isNotNull(), F.md5(content) == F.lower("md5")).when(F.col("sha1").isNotNull(), F.sha1(content) == F.lower("sha1"))
-    status = F.when(content.isNull(), "missing").when((F.col("size") > 0) & (F.octet_length(content) != F.col("size")), "size mismatch").when(digest.isNull(), "no checksum").when(~digest, "checksum mismatch").otherwise("ok")
+    read = actual.where("content is not null").select("file", F.octet_length(content).alias("_size"), crc32(content).alias("_crc"), F.md5(content).alias("_md5"), F.sha1(content).alias("_sha1"))
+    return compared(expected, read)
+
+
+def compared(expected: DataFrame, read: DataFrame) -> DataFrame:
+    """``checked`` of files digested where they were read, so that no content is shuffled. ``read``: file, _size, _crc, _md5, _sha1."""
+    rows = expected.join(read, "file", "left")
+    digest = F.coalesce(*[F.col(f"_{a}") == F.lower(a) for a in ("crc", "md5", "sha1")])
+    status = F.when(F.col("_size").isNull(), "missing").when((F.col("size") > 0) & (F.col("_size") != F.col("size")), "size mismatch").when(digest.isNull(), "no checksum").when(~digest, "checksum mismatch").otherwise("ok")
     return rows.select("file", status.alias("status"))
 
 

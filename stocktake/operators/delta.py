@@ -102,10 +102,9 @@ def resolved_parents(catalogue: DataFrame) -> DataFrame:
         if level.isEmpty():
             break
         done = done.unionByName(level)
-    kinds = rows.select(F.col("name").alias("_n"), "bios")
-    out = rows.join(done, "name")
-    parent = kinds.where("not bios").select(F.col("_n").alias("_p"))
-    bios = kinds.where("bios").select(F.col("_n").alias("_b"))
+    out = rows.join(done.groupBy("name").agg(F.min("wave").alias("wave")), "name").distinct()
+    parent = rows.where("not bios").select(F.col("name").alias("_p")).distinct()
+    bios = rows.where("bios").select(F.col("name").alias("_b")).distinct()
     out = out.join(parent, F.col("parent") == F.col("_p"), "left").join(bios, F.col("romof") == F.col("_b"), "left")
     return out.select("name", F.col("_p").alias("parent_name"), F.col("_b").alias("bios_name"), "wave")
 

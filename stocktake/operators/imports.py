@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stocktake.functions.paths import basename
+from stocktake.functions.paths import basename, extension
 from stocktake.operators.delta import delete_games, delete_romfiles, deleted, inserted, updated
-from stocktake.operators.match import DUPLICATE, INVALID, VALID, hash_rows
+from stocktake.operators.discs import extents
+from stocktake.operators.layout import system_directory
+from stocktake.operators.match import DUPLICATE, INVALID, VALID, hash_rows, numbered
+from stocktake.schema import ARCHIVE_EXTENSIONS, PS3_EXTENSIONS
 from stocktake.state import settle
 
 ALGORITHMS = ("crc", "md5", "sha1")
+#: Kinds of files that are looked into when they are imported.
+OPENED = (*ARCHIVE_EXTENSIONS, "chd", "cia", "cso", "nsz", "rvz", "zso")
+#: The file by which a folder of a disc is known.
+ANCHOR = "PS3_DISC.SFB"
 
 
 def import_catalogues(state: dict[str, DataFrame], offered: DataFrame, entries: DataFrame, items: DataFrame, force: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -82,9 +89,8 @@ def import_files(files: DataFrame, roms: DataFrame, tried: Sequence[str] = ALGOR
     known = items.groupBy("size", "algorithm", "digest").agg(F.lit(True).alias("known"))
     best = rows.join(known, ["size", "algorithm", "digest"]).groupBy("file").agg(F.min(F.struct("rank", "algorithm", "size", "digest")).alias("b")).select("file", "b.algorithm", "b.size", "b.digest")
     key = ["size", "algorithm", "digest"]
-    numbered = best.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy("file")))
-    free = items.where("open").select(*key, F.col("id").alias("rom"), F.row_number().over(W.partitionBy(*key).orderBy("id")).alias("k"))
-    met = numbered.join(free, [*key, "k"], "left")
+    free = numbered(items.where("open").select(*key, F.col("id").alias("rom")), key, ["rom"])
+    met = numbered(best, key, ["file"]).join(free, [*key, "_k"], "left")
     # An item has several checksums: of the files that reach it by different ones, the first takes it.
     first = F.row_number().over(W.partitionBy("rom").orderBy("file"))
     met = met.withColumn("rom", F.when(first == 1, F.col("rom"))) if len(tried) > 1 else met
@@ -109,3 +115,214 @@ def reimport_orphans(state: dict[str, DataFrame], orphans: DataFrame, digests: D
     path = F.when(F.col("state") == VALID, F.col("path")).otherwise(F.concat(F.lit("Trash/"), basename(F.col("path"))))
     again = states.withColumn("path", path).select(*state["romfiles"].columns)
     return left | {"roms": updated(roms, linked, ["romfile_id"]), "romfiles": left["romfiles"].unionByName(again)}
+
+
+def route(files: DataFrame, romfiles: DataFrame, force: bool = False, as_is: bool = False) -> DataFrame:
+    """(path, action, kind): what an import does with each file, and by which way.
+
+    ``files``: path, size, extension (by content, else by name). Empty files are
+    deleted, known ones skipped unless ``force``; with ``as_is`` nothing is opened.
+    """
+    known = romfiles.select("path", F.lit(True).alias("_known")).distinct()
+    kind = F.lower("extension")
+    kind = F.lit("plain") if as_is else F.when(kind.isin(*ARCHIVE_EXTENSIONS), "archive").when(kind.isin(*OPENED), kind).otherwise("plain")
+    skipped = F.lit(False) if force else F.col("_known").isNotNull()
+    action = F.when(F.col("size") == 0, "delete").when(skipped, "skip").otherwise("import")
+    return files.join(known, "path", "left").select("path", action.alias("action"), kind.alias("kind"))
+
+
+def _digests(rows: DataFrame, tried: Sequence[str], *keep: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.lower(F.col(a)).alias("digest")) for k, a in enumerate(tried)])
+    return rows.select(*keep, "size", F.explode(pairs).alias("h")).select(*keep, "size", "h.*").where("digest is not null")
+
+
+def _fingerprints(rows: DataFrame, owner: str, tried: Sequence[str]) -> DataFrame:
+    """(owner, rank, n, f1, f2): a set of contents as their number and two sums of hashes, for each checksum that all of them have."""
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    sums = _digests(rows, tried, owner).groupBy(owner, "rank").agg(F.count("*").alias("n"), wide("size", "digest").alias("f1"), wide("digest", "size").alias("f2"))
+    return sums.join(rows.groupBy(owner).agg(F.count("*").alias("n")), [owner, "n"])
+
+
+def whole_sets(members: DataFrame, items: DataFrame, tried: Sequence[str] = ALGORITHMS) -> DataFrame:
+    """(archive, game_id, rank): archives that hold exactly the items of an entry, by the first checksum that says so.
+
+    ``members``: archive, size and a column per algorithm; ``items``: game_id and the
+    same. Sets meet as fingerprints, so contents that many archives or entries
+    share make no pairs. The k-th archive of a fingerprint takes its k-th entry.
+    """
+    key = ["rank", "n", "f1", "f2"]
+    have, want = _fingerprints(members, "archive", tried), settle(_fingerprints(items, "game_id", tried), "wanted")
+    first = have.join(want.select(*key).distinct(), key, "left_semi").groupBy("archive").agg(F.min(F.struct(*key)).alias("b")).select("archive", "b.*")
+    met = numbered(first, key, ["archive"]).join(numbered(want, key, ["game_id"]), [*key, "_k"])
+    # An entry may be reached through several checksums; the first archive takes it.
+    place = F.row_number().over(W.partitionBy("game_id").orderBy("archive"))
+    return met.withColumn("_k", place).where("_k = 1").select("archive", "game_id", "rank")
+
+
+def import_archives(members: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame, tried: Sequence[str] = ALGORITHMS, covers: str = "entry", suffix: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What becomes of archives: (archive, action) and (archive, member, rom, state, path).
+
+    ``members``: archive (its path), member, size and a column per algorithm.
+    An archive whose members are all own items of one entry is kept as it is
+    (``keep``) if they are all of them; with ``covers="part"``, as for packages and
+    tracks, also if they are some. Of others, members that back an open item are
+    taken out (``split``); an archive with a member that is there already, or of
+    one member that nothing knows, is trashed besides (``trash``). Entries with
+    all items open go first, to archives that hold just these. Null columns match
+    nothing; a repeated member of an archive counts as often as it occurs.
+    """
+    members = settle(members, "members")
+    own = roms.where("parent_id is null")
+    state = own.groupBy("game_id").agg(F.bool_and(F.col("romfile_id").isNull()).alias("free"))
+    free = own.join(state.where("free").select("game_id"), "game_id", "left_semi")
+    sets = settle(whole_sets(members, free, tried), "whole")
+    inside = members.join(sets, "archive").withColumn("_d", F.element_at(F.array(*[F.lower(F.col(a)) for a in tried]), F.col("rank") + 1))
+    offered = free.join(sets.select("game_id", "rank"), "game_id").withColumn("_d", F.element_at(F.array(*[F.lower(F.col(a)) for a in tried]), F.col("rank") + 1))
+    at = ["game_id", "size", "_d"]
+    a = inside.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("member")))
+    b = offered.select(*at, F.col("id").alias("rom"), F.row_number().over(W.partitionBy(*at).orderBy("id")).alias("_k"))
+    whole = a.join(b, [*at, "_k"]).select("archive", "member", "rom", F.lit(VALID).alias("state"))
+
+    rest = members.join(sets.select("archive"), "archive", "left_anti").withColumn("file", F.struct("archive", "member"))
+    left = roms.join(whole.select(F.col("rom").alias("id")), "id", "left_anti").unionByName(
+        roms.join(whole.select(F.col("rom").alias("id")), "id", "left_semi").withColumn("romfile_id", F.lit(-1).cast("bigint"))
+    )
+    found = import_files(rest, left, tried).select("file.archive", "file.member", "rom", "state")
+    every = settle(whole.unionByName(found), "found").join(roms.select(F.col("id").alias("rom"), F.col("name").alias("rom_name"), "game_id"), "rom", "left")
+
+    tally = every.groupBy("archive").agg(
+        F.count("*").alias("n"), F.count("rom").alias("valid"), F.min("game_id").alias("game"), F.max("game_id").alias("other"),
+        F.bool_or(F.col("state") == DUPLICATE).alias("again"), F.bool_or(F.col("state") == INVALID).alias("unknown"),
+    )
+    needed = own.groupBy(F.col("game_id").alias("game")).agg(F.count("*").alias("needed"))
+    one = (F.col("valid") == F.col("n")) & (F.col("game") == F.col("other"))
+    one &= (F.col("valid") == F.col("needed")) if covers == "entry" else F.lit(True)
+    trashed = F.col("again") | (F.col("unknown") & ((F.col("n") == 1) if covers == "entry" else F.lit(True)))
+    outcome = settle(tally.join(needed, "game", "left").select("archive", F.when(F.coalesce(one, F.lit(False)), "keep").when(trashed, "trash").otherwise("split").alias("action"), "n"), "outcome")
+
+    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "jbfolder", "system_id").join(systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir"), "arcade"), "system_id")
+    rows = every.join(outcome, "archive").join(named, "game_id", "left")
+    ext = F.lit(suffix) if suffix else extension(F.col("archive"))
+    by_game = (F.col("n") > 1) | F.col("arcade") | F.lower(extension(F.col("rom_name"))).isin(*PS3_EXTENSIONS) | F.lit(covers != "entry")
+    bare = F.regexp_replace("rom_name", r"(?<=[^/])\.[^./]*$", "")
+    kept = F.concat(F.when(by_game, F.col("game")).otherwise(bare), F.lit("."), ext)
+    out = F.when(F.col("arcade") | F.col("jbfolder"), F.concat("game", F.lit("/"), "rom_name")).otherwise(F.col("rom_name"))
+    path = F.concat("dir", F.lit("/"), F.when(F.col("action") == "keep", kept).otherwise(out))
+    return outcome.select("archive", "action"), rows.select("archive", "member", "rom", "state", path.alias("path"))
+
+
+def import_discs(images: DataFrame, tracks: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame) -> DataFrame:
+    """(image, rom, state, path) of disc images: one row per track of a CD, else one per image.
+
+    ``images``: image (its path), kind (cd, dvd, hd, ld), size, crc, md5, sha1 of the
+    decoded data, and disc_sha1 of the image itself; ``tracks``: image, track, size,
+    crc, md5, sha1. The tracks of a CD must all be items of one entry, or none is
+    taken. Other images go by the data's SHA-1, then by their own SHA-1 with an
+    item of size 0, then by the other checksums.
+    """
+    reverse = tuple(reversed(ALGORITHMS))
+    discs = images.where("kind = 'cd'").select("image")
+    members = tracks.join(discs, "image", "left_semi").select(F.col("image").alias("archive"), F.col("track").cast("string").alias("member"), "size", *ALGORITHMS)
+    bins = roms.where(F.lower(extension(F.col("name"))) != "cue")
+    action, rows = import_archives(members, bins, games, systems, reverse, covers="part", suffix="chd")
+    kept = rows.join(action.where("action = 'keep'"), "archive", "left").select(
+        F.col("archive").alias("image"), F.when(F.col("action").isNotNull(), F.col("rom")).alias("rom"), F.when(F.col("action").isNotNull() | (F.col("state") != VALID), F.col("state")).otherwise(INVALID).alias("state"), F.when(F.col("action").isNotNull(), F.col("path")).alias("path"),
+    )
+
+    taken = roms.join(kept.where("rom is not null").select(F.col("rom").alias("id")), "id", "left_anti")
+    rest = settle(images.where("kind <> 'cd'"), "images")
+    by_sha1 = settle(import_files(rest.select(F.col("image").alias("file"), "size", "sha1"), taken, ["sha1"]), "by-sha1")
+    unknown = lambda df: df.where(F.col("state") == INVALID).select(F.col("file").alias("image"))
+    own = rest.join(unknown(by_sha1), "image", "left_semi").select(F.col("image").alias("file"), F.lit(0).cast("bigint").alias("size"), F.col("disc_sha1").alias("sha1"))
+    free = taken.join(by_sha1.where("rom is not null").select(F.col("rom").alias("id")), "id", "left_anti")
+    by_disc = settle(import_files(own, free, ["sha1"]), "by-disc")
+    free = free.join(by_disc.where("rom is not null").select(F.col("rom").alias("id")), "id", "left_anti")
+    by_rest = import_files(rest.join(unknown(by_disc), "image", "left_semi").withColumnRenamed("image", "file"), free, ["md5", "crc"])
+    decided = by_sha1.where(F.col("state") != INVALID).unionByName(by_disc.where(F.col("state") != INVALID)).unionByName(by_rest)
+    where = games.select(F.col("id").alias("game_id"), "system_id").join(systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir")), "system_id")
+    named = roms.select(F.col("id").alias("rom"), "name", "game_id").join(where, "game_id")
+    path = F.concat("dir", F.lit("/"), F.regexp_replace("name", r"(?<=[^/])\.[^./]*$", ""), F.lit(".chd"))
+    others = decided.join(named, "rom", "left").select(F.col("file").alias("image"), "rom", "state", path.alias("path"))
+    return kept.unionByName(others)
+
+
+def import_folders(files: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame) -> DataFrame:
+    """(folder, path, rom, state, target) of the files of disc folders.
+
+    ``files``: folder, path (within the folder), size, md5. A folder is known by its
+    anchor file, an inherited item of that name, size and MD5; the k-th folder of
+    an anchor takes its k-th open entry by name. Its other files take the missing
+    items of the anchor's parent by size and MD5: those of the same path first,
+    the rest in order of path and name. Files of folders without an entry are invalid.
+    """
+    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "system_id")
+    open_roms = roms.where("romfile_id is null and parent_id is not null and md5 is not null").withColumn("digest", F.lower("md5"))
+    key = ["size", "digest"]
+    wanted = open_roms.where(F.col("name") == ANCHOR).join(named, "game_id").select(*key, "game", "game_id", "system_id", "parent_id")
+    files = settle(files.withColumn("digest", F.lower("md5")), "files")
+    have = files.where(F.col("path") == ANCHOR).where("digest is not null").select("folder", *key)
+    met = numbered(have, key, ["folder"]).join(numbered(wanted, key, ["game", "game_id"]), [*key, "_k"])
+    anchored = settle(met.select("folder", "game", "system_id", "parent_id"), "anchored")
+
+    key = ["parent_id", "size", "digest"]
+    inside = files.join(anchored, "folder")
+    items = open_roms.select(*key, F.col("id").alias("rom"), "name")
+    same = settle(inside.join(items.withColumnRenamed("name", "path"), [*key, "path"]).groupBy("folder", "path").agg(F.min("rom").alias("rom")), "same")
+    others = inside.join(same, ["folder", "path"], "left_anti")
+    free = items.join(same.select("rom"), "rom", "left_anti")
+    rest = numbered(others.select(*key, "folder", "path"), key, ["path", "folder"]).join(numbered(free, key, ["name", "rom"]), [*key, "_k"]).select("folder", "path", "rom")
+    present = roms.where("romfile_id is not null and parent_id is not null").select("parent_id", "size", F.lower("md5").alias("digest"), F.lit(True).alias("there")).distinct()
+    found = files.select("folder", "path", *key[1:]).join(anchored, "folder", "left").join(same.unionByName(rest), ["folder", "path"], "left").join(present, key, "left")
+    dirs = systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir"))
+    found = found.join(dirs, "system_id", "left").join(roms.select(F.col("id").alias("rom"), "name"), "rom", "left")
+    state = F.when(F.col("rom").isNotNull(), VALID).when(F.col("there"), DUPLICATE).otherwise(INVALID)
+    return found.select("folder", "path", "rom", state.alias("state"), F.concat_ws("/", "dir", "game", "name").alias("_t")).withColumn("target", F.when(F.col("rom").isNotNull(), F.col("_t"))).drop("_t")
+
+
+def import_listings(state: dict[str, DataFrame], listings: DataFrame, entries: DataFrame, hashes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The state with the files of disc images as items of their entries, and the files (romfile_id) that lost their item.
+
+    ``listings``: image, game_id, files (their number by the listing); ``entries``:
+    image, path, ordinal, size, location; ``hashes``: image, location, md5. Items
+    hang on the first own item of their entry. Images without one, or with
+    another number of files than listed, are left out.
+    """
+    whole = extents(entries)
+    counts = whole.groupBy("image").agg(F.count("*").alias("files"))
+    parents = state["roms"].where("parent_id is null").groupBy("game_id").agg(F.min("id").alias("parent_id"))
+    taken = settle(listings.join(counts, ["image", "files"]).join(parents, "game_id").select("image", "game_id", "parent_id"), "listings")
+    rows = whole.join(taken, "image").join(hashes, ["image", "location"]).select("game_id", "parent_id", F.col("path").alias("name"), "size", "md5")
+    was = state["roms"].select("id", "game_id", "name", F.col("size").alias("_size"), F.col("md5").alias("_md5"), "romfile_id")
+    met = settle(rows.join(was, ["game_id", "name"], "left"), "listed")
+    same = (F.col("size") == F.col("_size")) & F.coalesce(F.lower("md5") == F.lower("_md5"), F.lit(False))
+    kept = met.where("id is not null").withColumn("_lost", ~same)
+    orphans = kept.where("_lost and romfile_id is not null").select("romfile_id").distinct()
+    kept = kept.withColumn("romfile_id", F.when(~F.col("_lost"), F.col("romfile_id")))
+    new = inserted(state["roms"], met.where("id is null").select("id", "game_id", "parent_id", "name", "size", "md5"), ["game_id", "name"])
+    roms = updated(state["roms"], kept, ["size", "md5", "parent_id", "romfile_id"]).unionByName(new, allowMissingColumns=True)
+    marked = taken.select(F.col("game_id").alias("id"), F.lit(True).alias("jbfolder")).distinct()
+    return state | {"roms": settle(roms, "roms"), "games": updated(state["games"], marked, ["jbfolder"])}, settle(orphans, "orphans")
+
+
+def purge_listings(state: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The state without what ``import_listings`` added to entries (id): inherited items go, their files move to the Trash."""
+    own = state["roms"].where("parent_id is null").join(gone.select(F.col("id").alias("game_id")), "game_id", "left_semi")
+    below = settle(state["roms"].join(own.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", "romfile_id", "game_id"), "below")
+    folder = below.where("romfile_id is not null").join(state["games"].select(F.col("id").alias("game_id"), "system_id"), "game_id").join(state["systems"].select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir")), "system_id")
+    folder = folder.groupBy(F.col("romfile_id").alias("id")).agg(F.min("dir").alias("dir"))
+    moved = state["romfiles"].join(folder, "id").select("id", F.concat("dir", F.lit("/Trash/"), basename(F.col("path"))).alias("path"))
+    unmarked = gone.select("id", F.lit(False).alias("jbfolder")).distinct()
+    return state | {"roms": deleted(state["roms"], below), "romfiles": updated(state["romfiles"], moved, ["path"]), "games": updated(state["games"], unmarked, ["jbfolder"])}
+
+
+def import_patches(state: dict[str, DataFrame], added: DataFrame) -> dict[str, DataFrame]:
+    """The state with patch files. ``added``: rom_id, name, path, size; the n-th patch of an item has index n - 1, and a name it has already adds nothing."""
+    from stocktake.operators.discs import new_patches
+
+    fresh = settle(new_patches(state["patches"], added.select("rom_id", "name")), "patches")
+    about = added.groupBy("rom_id", "name").agg(F.min(F.struct("path", "size")).alias("f")).select("rom_id", "name", "f.*")
+    files = fresh.join(about, ["rom_id", "name"])
+    stored = settle(inserted(state["romfiles"], files.select(F.lit(None).cast("bigint").alias("id"), "path", "size", F.lit(1).alias("romfile_type")), ["path"]), "patch-files")
+    ids = stored.select("path", F.col("id").alias("romfile_id"))
+    rows = files.join(ids, "path").select(F.lit(None).cast("bigint").alias("id"), "name", "index", "rom_id", "romfile_id")
+    return state | {"romfiles": state["romfiles"].unionByName(stored, allowMissingColumns=True), "patches": state["patches"].unionByName(inserted(state["patches"], rows, ["rom_id", "index"]), allowMissingColumns=True)}

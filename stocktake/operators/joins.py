@@ -51,8 +51,23 @@ def navigate(roms: DataFrame, games: DataFrame, systems: DataFrame, romfiles: Da
 
 
 def files_by_romfile(roms: DataFrame) -> DataFrame:
-    """The items behind each file."""
-    return roms.where("romfile_id is not null").groupBy("romfile_id").agg(F.sort_array(F.collect_list("id")).alias("rom_ids"))
+    """(romfile_id, n, first_id, last_id): how many items are behind each file, and the least and greatest of them."""
+    return roms.where("romfile_id is not null").groupBy("romfile_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def clones_by_parent(games: DataFrame) -> DataFrame:
+    """(parent_id, n, first_name) of entries that have clones."""
+    return games.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+
+
+def vanished_games(games: DataFrame, listed: DataFrame) -> DataFrame:
+    """Entries that a newer catalogue (name) no longer lists."""
+    return games.join(listed.select("name"), "name", "left_anti")
+
+
+def vanished_roms(roms: DataFrame, listed: DataFrame) -> DataFrame:
+    """Items that a newer catalogue (game_id, name) no longer lists; inherited ones stay."""
+    return roms.where("parent_id is null").join(listed.select("game_id", "name"), ["game_id", "name"], "left_anti")
 
 
 def parent_rom(children: DataFrame, candidates: DataFrame, roms: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ k-th file of a key takes the k-th item, so that each item is used once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stocktake.functions.similarity import jaro_winkler_udf
+from stocktake.state import settle
 
 VALID, DUPLICATE, INVALID = "valid", "duplicate", "invalid"
+KEY = ["size", "digest"]
 
 
 def hash_rows(roms: DataFrame, *algorithms: str) -> DataFrame:
@@ -43,9 +47,38 @@ def candidates(files: DataFrame, roms: DataFrame, systems: DataFrame | None = No
 
 def closest(found: DataFrame, legacy_order: bool = False) -> DataFrame:
     """Of several items of one tier, the one named most like the file. ``found`` has ``wanted``; ``legacy_order`` takes the least like."""
+    if not legacy_order:
+        # An equal name is the closest there is; only files without one are compared.
+        equal = found.where("wanted = name").groupBy("file").agg(F.min("rom").alias("rom"))
+        exact = found.join(equal, ["file", "rom"]).where("wanted = name").withColumn("likeness", F.lit(1.0))
+        found = found.join(equal.select("file"), "file", "left_anti")
     scored = found.withColumn("likeness", jaro_winkler_udf("wanted", "name"))
     order = F.col("likeness").asc() if legacy_order else F.col("likeness").desc()
-    return scored.withColumn("_k", F.row_number().over(W.partitionBy("file").orderBy(order, "rom"))).where("_k = 1").drop("_k")
+    best = scored.withColumn("_k", F.row_number().over(W.partitionBy("file").orderBy(order, "rom"))).where("_k = 1").drop("_k")
+    return best if legacy_order else best.unionByName(exact.select(*best.columns))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``_k``, the place from 1 of each row among those of equal ``keys``, in ``order``.
+
+    Rows are parted by ranges of (keys, order), so that one key may fill many
+    tasks; the places of a part begin where the parts before it end. Given
+    ``known`` (distinct keys), ``_known`` says whether it holds the row's key.
+    Rows with a null key have places too, and are not known.
+    """
+    columns = df.columns
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id())
+    ranged = settle(ranged, "numbered").withColumn("_i", F.row_number().over(W.partitionBy("_p", *keys).orderBy(*order)))
+    part = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("_p", *keys).agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(part), F.lit(0))).drop("_n")
+    if known is not None:
+        starts = starts.join(known.select(*keys, F.lit(True).alias("_known")), list(keys), "left")
+    starts = starts.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in keys], "_b", *(["_known"] if known is not None else []))
+    same = F.col("_p") == F.col("_q")
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    place = (F.col("_i") + F.col("_b")).cast("bigint").alias("_k")
+    return ranged.join(starts, same).select(*columns, place, *([F.coalesce("_known", F.lit(False)).alias("_known")] if known is not None else []))
 
 
 def assigned(files: DataFrame, items: DataFrame) -> DataFrame:
@@ -54,13 +87,41 @@ def assigned(files: DataFrame, items: DataFrame) -> DataFrame:
     Keys are numbered on both sides and met once; files in excess are duplicates,
     files of a key without any item invalid.
     """
-    f = files.withColumn("_k", F.row_number().over(W.partitionBy("size", "digest").orderBy("file")))
-    i = items.withColumn("_k", F.row_number().over(W.partitionBy("size", "digest").orderBy("rom")))
-    known = items.select("size", "digest").distinct().withColumn("_known", F.lit(True))
-    met = f.join(i.select("size", "digest", "_k", "rom"), ["size", "digest", "_k"], "left").join(known, ["size", "digest"], "left")
+    f = numbered(files, KEY, ["file"], items.select(*KEY).distinct())
+    i = numbered(items, KEY, ["rom"])
+    met = f.join(i.select(*KEY, "_k", "rom"), [*KEY, "_k"], "left")
     return met.select("file", "rom", F.when(F.col("rom").isNotNull(), VALID).when(F.col("_known"), DUPLICATE).otherwise(INVALID).alias("state"))
 
 
+def missing_items(files: DataFrame, roms: DataFrame, algorithm: str, names: str | None = None, systems: DataFrame | None = None) -> DataFrame:
+    """(file, rom): open items of a file's size and checksum.
+
+    ``files``: file, size, a column named like the algorithm, rom_name, game_names;
+    ``roms`` has game and system_id. ``names``: None for the content alone,
+    ``game`` for items of entries named so, ``item`` for those whose own name
+    agrees too. ``systems``: system_id of the collections searched, else all.
+    """
+    items = roms.where("romfile_id is null and parent_id is null")
+    items = items if systems is None else items.join(systems.select("system_id"), "system_id", "left_semi")
+    items = items.select("size", F.lower(algorithm).alias("digest"), F.col("id").alias("rom"), "name", "game")
+    wanted = files.select("file", "size", F.lower(algorithm).alias("digest"), "rom_name", "game_names")
+    if names is None:
+        met = wanted.join(items, KEY)
+    else:
+        # Names are part of the key, so that a content many entries share is not paired with all of them.
+        wanted = wanted.withColumn("game", F.explode(F.array_distinct("game_names")))
+        met = wanted.join(items, [*KEY, "game"]) if names == "game" else wanted.withColumnRenamed("rom_name", "name").join(items, [*KEY, "game", "name"])
+    return met.select("file", "rom")
+
+
+def present_items(files: DataFrame, roms: DataFrame, algorithm: str, systems: DataFrame | None = None) -> DataFrame:
+    """(file, n): how many items of a file's size and checksum have a file already."""
+    items = roms.where("romfile_id is not null")
+    items = items if systems is None else items.join(systems.select("system_id"), "system_id", "left_semi")
+    counts = items.groupBy("size", F.lower(algorithm).alias("digest")).agg(F.count("*").alias("n"))
+    return files.select("file", "size", F.lower(algorithm).alias("digest")).join(counts, KEY).select("file", "n")
+
+
 def present_counts(roms: DataFrame, algorithm: str) -> DataFrame:
     """Present items by (size, checksum)."""
     return hash_rows(roms, algorithm).where("present").groupBy("size", "digest").agg(F.count("*").alias("n"))

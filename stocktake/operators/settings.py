@@ -8,6 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "|"
+# Keys by type, with their choices and ranges.
+BOOLEANS = ("CHD_PARENTS", "GROUP_SUBSYSTEMS", "PREFER_PARENTS", "REGIONS_ONE_STRICT", "RVZ_SCRUB", "SEVENZIP_SOLID_COMPRESSION")
+CHOICES = {
+    "PREFER_REGIONS": ("none", "broad", "narrow"),
+    "PREFER_VERSIONS": ("none", "new", "old"),
+    "REGIONS_ALL_SUBFOLDERS": ("none", "alpha"),
+    "REGIONS_ONE_SUBFOLDERS": ("none", "alpha"),
+    "RVZ_COMPRESSION_ALGORITHM": ("none", "zstd", "bzip", "lzma", "lzma2"),
+}
+CHOICE_LISTS = {
+    "CHD_CD_COMPRESSION_ALGORITHMS": ("none", "cdfl", "cdlz", "cdzl", "cdzs"),
+    "CHD_DVD_COMPRESSION_ALGORITHMS": ("none", "flac", "huff", "lzma", "zlib", "zstd"),
+    "CHD_HD_COMPRESSION_ALGORITHMS": ("none", "flac", "huff", "lzma", "zlib", "zstd"),
+    "CHD_LD_COMPRESSION_ALGORITHMS": ("none", "avhu"),
+    "REGIONS_ALL_ARCADE": ("bios", "clone", "parent"),
+    "REGIONS_ONE_ARCADE": ("bios", "clone", "parent"),
+}
+RANGES = {
+    "CHD_CD_HUNK_SIZE": (16, 1048576), "CHD_DVD_HUNK_SIZE": (16, 1048576), "CHD_HD_HUNK_SIZE": (16, 1048576), "CHD_LD_HUNK_SIZE": (16, 1048576),
+    "RVZ_BLOCK_SIZE": (32, 2048), "RVZ_COMPRESSION_LEVEL": (1, 22), "SEVENZIP_COMPRESSION_LEVEL": (1, 9), "ZIP_COMPRESSION_LEVEL": (1, 9),
+}
 
 
 def setting(settings: DataFrame, key: str) -> DataFrame:
@@ -52,3 +73,13 @@ def invalid(settings: DataFrame, choices: dict[str, Sequence[str]], ranges: dict
         number = F.expr("try_cast(value as bigint)")
         bad |= (F.col("key") == key) & ~F.coalesce(number.between(low, high), F.lit(False))
     return settings.where(F.col("value").isNotNull() & bad).select("key", "value")
+
+
+def rejected(settings: DataFrame) -> DataFrame:
+    """(key, value) of settings that break the rules of their key: choices, lists of choices, ranges, and true or false."""
+    single = F.lit(False)
+    for key, allowed in CHOICES.items():
+        single |= (F.col("key") == key) & ~F.col("value").isin(*allowed)
+    single |= F.col("key").isin(*BOOLEANS) & ~F.col("value").isin("true", "false")
+    listed = invalid(settings, CHOICE_LISTS, RANGES)
+    return listed.unionByName(settings.where(F.col("value").isNotNull() & single).select("key", "value"))

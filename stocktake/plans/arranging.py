@@ -19,6 +19,9 @@ query(
         "id", names.title(F.col("name")).alias("title"), F.array_join(names.languages(F.col("name")), ",").alias("languages"), names.version(F.col("name")).alias("version"), F.get(names.releases(F.col("name")), 0).alias("release")
     )
 )
+query("x10_regions_of_codes", "SELECT id, regions FROM games")(
+    lambda m: m.games.select("id", names.regions_of(F.concat(F.lit("Title "), "id", F.lit(" (demo) (19"), F.when(F.col("bios"), "xx").otherwise("85-01"), F.lit(")(Maker)(Machine)("), "regions", F.lit(")(en)[a2]"))).alias("regions"))
+)
 query("x10_region_codes", "SELECT id, regions FROM games")(lambda m: m.games.select("id", names.region_codes(F.col("name")).alias("regions")))
 query(
     "x11_ignored_games",

@@ -70,9 +70,12 @@ query("j13_navigation", "SELECT r.id, g.name AS game, s.name AS system, f.path F
     lambda m: j.navigate(m.roms, m.games, m.systems, m.romfiles)
 )
 query("j14_roms_by_romfile", "SELECT romfile_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM roms WHERE romfile_id IS NOT NULL GROUP BY romfile_id")(
-    lambda m: j.files_by_romfile(m.roms).select("romfile_id", F.size("rom_ids").cast("bigint").alias("n"), F.get("rom_ids", 0).alias("first_id"), F.element_at("rom_ids", -1).alias("last_id"))
+    lambda m: j.files_by_romfile(m.roms)
+)
+query("j15_vanished_games", "SELECT id FROM games WHERE name NOT IN (SELECT name FROM games WHERE id % 3 <> 0)")(lambda m: j.vanished_games(m.games, m.games.where("id % 3 <> 0")).select("id"))
+query("j15_vanished_roms", "SELECT id FROM roms r WHERE parent_id IS NULL AND NOT EXISTS (SELECT 1 FROM roms t WHERE t.game_id = r.game_id AND t.name = r.name AND t.rom_status IS DISTINCT FROM 'baddump')")(
+    lambda m: j.vanished_roms(m.roms, m.roms.where("coalesce(rom_status, '') <> 'baddump'")).select("id")
 )
-query("j15_vanished_games", "SELECT id FROM games WHERE name NOT IN (SELECT name FROM games WHERE id % 3 <> 0)")(lambda m: m.games.join(m.games.where("id % 3 <> 0").select("name"), "name", "left_anti").select("id"))
 query(
     "j19_parent_rom",
     """+ kid AS (SELECT id, size, crc, game_id FROM roms WHERE parent_id IS NOT NULL AND crc IS NOT NULL),

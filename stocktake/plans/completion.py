@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stocktake.operators import completion as c
+from stocktake.operators import joins as j
 from stocktake.plans.registry import query
 
 
@@ -45,7 +46,7 @@ query("a13_system_completion_dispatch", f"+ gc AS (SELECT g.* EXCLUDE (completio
     lambda m: c.of_systems(m.systems, c.dispatched(m.systems, m.games, m.roms)).select("id", "completion")
 )
 query("a14_clones_by_parent", "SELECT parent_id, count(*) AS n, min(name) AS first_name FROM games WHERE parent_id IS NOT NULL GROUP BY parent_id")(
-    lambda m: m.games.where("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list("name")).alias("names")).select("parent_id", F.size("names").cast("bigint").alias("n"), F.get("names", 0).alias("first_name"))
+    lambda m: j.clones_by_parent(m.games)
 )
 query("a15_any_all", "SELECT system_id, bool_and(completion = 2) AS all_full, bool_or(completion = 2) AS any_full FROM games GROUP BY system_id")(
     lambda m: m.games.groupBy("system_id").agg(F.bool_and(F.col("completion") == 2).alias("all_full"), F.bool_or(F.col("completion") == 2).alias("any_full"))

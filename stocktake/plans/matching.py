@@ -32,6 +32,34 @@ for _algorithm in ("crc", "md5", "sha1"):
     )(lambda m, a=_algorithm: x.hash_rows(m.roms, a).where("open").join(m.games.select(F.col("id").alias("game_id"), "system_id"), "game_id").select("id", "system_id", "size", "digest"))
     query(f"a2_present_counts_{_algorithm}", f"SELECT size, {_algorithm} AS digest, count(*) AS n FROM roms WHERE romfile_id IS NOT NULL AND {_algorithm} IS NOT NULL GROUP BY ALL")(lambda m, a=_algorithm: x.present_counts(m.roms, a))
 
+
+def _as_files(m):
+    roms = x.by_system(m.roms, m.games)
+    return roms.select(F.col("id").alias("file"), "size", "crc", "md5", "sha1", F.col("name").alias("rom_name"), F.array("game").alias("game_names")), roms
+
+
+def _finder(algorithm: str, names: str | None, one: bool):
+    def run(m):
+        files, roms = _as_files(m)
+        return x.missing_items(files, roms, algorithm, names, m.systems.where("arcade").select(F.col("id").alias("system_id")) if one else None)
+
+    return run
+
+
+# All missing-item lookups: by checksum, by names, over all collections or some.
+for _algorithm in ("crc", "md5", "sha1"):
+    for _names, _where in ((None, ""), ("game", " AND g.name = h.name"), ("item", " AND g.name = h.name AND r.name = f.name")):
+        for _one in (False, True):
+            query(
+                f"j8_find_{_algorithm}_{_names or 'content'}_{'arcade' if _one else 'all'}",
+                f"""SELECT f.id AS file, r.id AS rom FROM roms f JOIN games h ON h.id = f.game_id JOIN roms r ON r.size = f.size AND r.{_algorithm} = f.{_algorithm} JOIN games g ON g.id = r.game_id
+                WHERE r.romfile_id IS NULL AND r.parent_id IS NULL{_where}{" AND g.system_id IN (SELECT id FROM systems WHERE arcade)" if _one else ""}""",
+            )(_finder(_algorithm, _names, _one))
+    query(
+        f"j9_find_present_{_algorithm}",
+        f"SELECT f.id AS file, count(*) AS n FROM roms f JOIN roms r ON r.size = f.size AND r.{_algorithm} = f.{_algorithm} JOIN games g ON g.id = r.game_id WHERE r.romfile_id IS NOT NULL AND g.system_id IN (SELECT id FROM systems WHERE arcade) GROUP BY f.id",
+    )(lambda m, a=_algorithm: x.present_items(*_as_files(m), a, m.systems.where("arcade").select(F.col("id").alias("system_id"))))
+
 query("j9_present_by_md5", "SELECT r.id, g.system_id, r.size, r.md5 AS digest FROM roms r JOIN games g ON g.id = r.game_id WHERE r.romfile_id IS NOT NULL AND r.md5 IS NOT NULL")(
     lambda m: x.hash_rows(m.roms, "md5").where("present").join(m.games.select(F.col("id").alias("game_id"), "system_id"), "game_id").select("id", "system_id", "size", "digest")
 )

@@ -12,13 +12,22 @@ GAME = f"_name string, description string, comment string, _cloneof string, _rom
 DETECTOR = "name string, version string, rule struct<_start_offset:string,data:array<struct<_offset:string,_value:string>>>"
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
+#: Header detectors known without a file of their own, as (name, version, size, ((start byte, hex value), ...)).
+DETECTORS = {
+    "No-Intro_A7800.xml": ("No-Intro Atari 7800 Dat Header Skipper", "20130123", 128, ((1, "415441524937383030"), (96, "0000000041435455414c20434152542044415441205354415254532048455245"))),
+    "No-Intro_FDS.xml": ("No-Intro FDS Dat FWnes Header Skipper", "20070421", 16, ((0, "464453"),)),
+    "No-Intro_LNX.xml": ("No-Intro Lynx Dat LNX Header Skipper", "20070408", 64, ((0, "4c594e58"),)),
+    "No-Intro_NES.xml": ("No-Intro NES Dat iNES Header Skipper", "20070321", 16, ((0, "4e4553"),)),
+}
+
+
+def read_entries(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
     """Entries of catalogues (``game`` or ``machine`` elements): one row each, with their items.
 
     Sizes are read as strings, since an empty one means 0; ``arcade`` says which
     element it was.
     """
-    parts = [spark.read.format("xml").option("rowTag", tag).schema(GAME).load(path).withColumn("arcade", F.lit(tag == "machine")) for tag in ("game", "machine")]
+    parts = [_read(spark, path, tag, GAME).withColumn("arcade", F.lit(tag == "machine")) for tag in ("game", "machine")]
     rows = parts[0].unionByName(parts[1])
     empty = F.array().cast(_ROM)
 
@@ -31,7 +40,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     both = F.concat(items("rom", False), items("disk", True))
     return rows.select(
         F.col("_name").alias("name"), "description", "comment", F.col("_cloneof").alias("cloneof"), F.col("_romof").alias("romof"), flag(F.col("_isdevice")).alias("device"), flag(F.col("_isbios")).alias("bios"), "arcade",
-        F.filter(both, lambda r: F.coalesce(r["status"], F.lit("")) != "nodump").alias("roms"),
+        F.filter(both, lambda r: F.coalesce(r["status"], F.lit("")) != "nodump").alias("roms"), *(["file"] if with_file else []),
     )
 
 
@@ -40,11 +49,11 @@ def read_roms(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("name").alias("game"), F.explode("roms").alias("r")).select("game", "r.*")
 
 
-def read_header(spark: SparkSession, path: str) -> DataFrame:
+def read_header(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
     """name, description, version and the detector file of each catalogue."""
     schema = "name string, description string, version string, date string, author string, url string, clrmamepro array<struct<_header:string>>"
-    rows = spark.read.format("xml").option("rowTag", "header").schema(schema).load(path)
-    return rows.select("name", "description", "version", "url", F.get(F.filter(F.transform("clrmamepro", lambda c: c["_header"]), lambda h: h.isNotNull()), 0).alias("detector"))
+    rows = _read(spark, path, "header", schema)
+    return rows.select("name", "description", "version", "url", F.get(F.filter(F.transform("clrmamepro", lambda c: c["_header"]), lambda h: h.isNotNull()), 0).alias("detector"), *(["file"] if with_file else []))
 
 
 def read_detectors(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +64,47 @@ def read_detectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", "version", number(F.col("rule._start_offset")).alias("size"), rules.alias("rules"))
 
 
+def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true").schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
+
+
+def detectors_of(headers: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """(name, detector, size, rules) of catalogues that name a detector: from the file beside them, else a known one.
+
+    ``headers``: name, detector; ``beside``: detector (a file's name), size, rules.
+    Catalogues whose detector nobody knows are left out.
+    """
+    rules = "array<struct<start_byte:bigint,hex_value:string>>"
+    known = headers.sparkSession.createDataFrame([(file, size, list(found)) for file, (_, _, size, found) in DETECTORS.items()], f"detector string, size bigint, rules {rules}")
+    if beside is not None:
+        beside = beside.select("detector", "size", F.col("rules").cast(rules).alias("rules"))
+        known = beside.unionByName(known.join(beside.select("detector"), "detector", "left_anti"))
+    return headers.where("detector is not null").select("name", "detector").join(known, "detector").select("name", "detector", "size", "rules")
+
+
+def read_catalogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The offered catalogues, entries and items of all files of ``path``, as ``import_catalogues`` takes them.
+
+    An entry belongs to the catalogue whose header is in its file.
+    """
+    head = read_header(spark, path, with_file=True).withColumnRenamed("name", "system")
+    entries = read_entries(spark, path, with_file=True).join(head.select("file", "system"), "file")
+    listed = entries.select("system", "name", "description", "bios", "cloneof", "romof")
+    items = entries.select("system", F.col("name").alias("game"), F.explode("roms").alias("r")).select("system", "game", "r.name", "r.size", "r.crc", "r.md5", "r.sha1", F.col("r.status").alias("rom_status"))
+    return head.select(F.col("system").alias("name"), "version"), listed, items
+
+
+def unpacked(members: DataFrame, folder: str) -> str:
+    """Write catalogues that were delivered as archives of exactly one member each below ``folder``; its path.
+
+    ``members``: path, member, content. Archives with none or several members are left out.
+    """
+    single = members.groupBy("path").agg(F.count("*").alias("n")).where("n = 1").select("path")
+    rows = members.join(single, "path").select(F.decode("content", F.lit("UTF-8")).alias("value"), F.md5("path").alias("archive"))
+    rows.write.mode("overwrite").partitionBy("archive").text(folder)
+    return folder
+
+
 def catalogue_xml(name: str, version: str, entries: DataFrame) -> DataFrame:
     """Lines of a catalogue of (game, rom, size, crc, md5, sha1) rows, in order of ``n``; one file is one collection."""
     quote = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))

@@ -20,13 +20,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this driver wrote; results that are still to be read need them. Their number."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return done
+
+
 def commit(tables: dict[str, DataFrame], root: str) -> str:
     """Write all tables as one new version under ``root`` and point CURRENT at it.
 
