@@ -100,7 +100,7 @@ def unpacked(members: DataFrame, folder: str) -> str:
     ``members``: path, member, content. Archives with none or several members are left out.
     """
     single = members.groupBy("path").agg(F.count("*").alias("n")).where("n = 1").select("path")
-    rows = members.join(single, "path").select(F.decode("content", F.lit("UTF-8")).alias("value"), F.md5("path").alias("archive"))
+    rows = members.join(single, "path").select(F.decode("content", "UTF-8").alias("value"), F.md5("path").alias("archive"))
     rows.write.mode("overwrite").partitionBy("archive").text(folder)
     return folder
 

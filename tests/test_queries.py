@@ -9,7 +9,8 @@ SAMPLE = [
     "j3_romfiles_of_system", "j6_orphan_romfiles", "j21_closest_name", "k1_insert", "k4_delete_games", "m1_assignment", "m1_tiers", "p2_resolved_parents", "p3_changed_roms", "p5_sorting", "p8_check", "p8_check_archives", "p9_convert_chd",
     "p9_convert_7z", "p9_convert_cso", "p9_convert_zip", "p10_export_iso", "p10_export_zip", "p10_export_gdi", "u4_game_classes", "j16_foreign_files", "p13_purge_plan", "k2_update",
     "f27_settings", "p19_add", "p19_remove", "p19_unset", "p19_invalid", "t7_children_first", "p16_parent_images", "t12_hash_order", "j20_zipped_tracks", "a19_extents", "m9_new_patches", "a17_unique_paths", "j18_not_imported", "x20_human_sizes", "x23_version_gate",
-    "p1_import_catalogues", "p1_systems", "p1_games", "p3_orphans", "m3_import_files",
+    "p1_import_catalogues", "p1_systems", "p1_games", "p3_orphans", "m3_import_files", "m2_route", "m4_members", "m5_discs", "m6_packages", "m7_folders", "m8_import_listings", "m8_orphans", "m8_purge_listings", "m9_import_patches",
+    "m9_patch_files", "j8_find_md5_item_arcade", "j8_find_crc_game_all", "j9_find_present_sha1", "j14_roms_by_romfile", "j15_vanished_roms", "a14_clones_by_parent", "x10_regions_of_codes",
     "p11_playlists", "p14_purge_systems", "p20_ignored_roms", "t4_ranked_families", "t6_move_plan", "x7_sorted_paths", "x9_name_information", "f28_x2_headered_hash",
 ]
 
