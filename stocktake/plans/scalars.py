@@ -20,7 +20,7 @@ def _headered(m):
 query("f28_x2_headered_hash", "SELECT doc_id, text LIKE 'Th%' AS headed, md5(CASE WHEN text LIKE 'Th%' THEN decode(encode(text)[5:]) ELSE text END) AS md5 FROM documents")(_headered)
 query("s7_sniffed_extension", "SELECT doc_id, CASE WHEN text LIKE 'RIFF%' THEN 'riff' WHEN text LIKE 'PATCH%' THEN 'ips' ELSE 'txt' END AS extension FROM documents")(lambda m: m.files.select("doc_id", h.sniffed(F.col("content"), F.col("path")).alias("extension")))
 query("s8_extension_class", "SELECT id, CASE WHEN path LIKE '%.zip' THEN 'archive' WHEN path LIKE '%.chd' THEN 'chd' WHEN path LIKE '%.cue' THEN 'cue' WHEN path LIKE '%.iso' THEN 'iso' ELSE 'other' END AS class FROM romfiles")(
-    lambda m: m.romfiles.select("id", plan.file_class(p.extension(F.col("path"))).alias("class"))
+    lambda m: m.romfiles.select("id", plan.extension_class(p.extension(F.col("path"))).alias("class"))
 )
 query("x3_known_hash", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'abc' ELSE sha1(text) END AS sha1 FROM documents")(lambda m: m.files.select("doc_id", h.known_hash(F.when(F.col("doc_id") % 2 == 0, "ABC"), F.col("content"), "sha1").alias("sha1")))
 query(
