@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from stocktake.operators.discs import extents
 from stocktake.operators.layout import system_directory
 from stocktake.operators.match import DUPLICATE, INVALID, VALID, hash_rows, numbered
 from stocktake.schema import ARCHIVE_EXTENSIONS, PS3_EXTENSIONS
-from stocktake.state import settle
+from stocktake.state import release, settle
 
 ALGORITHMS = ("crc", "md5", "sha1")
 #: Kinds of files that are looked into when they are imported.
@@ -131,32 +131,151 @@ def route(files: DataFrame, romfiles: DataFrame, force: bool = False, as_is: boo
     return files.join(known, "path", "left").select("path", action.alias("action"), kind.alias("kind"))
 
 
-def _digests(rows: DataFrame, tried: Sequence[str], *keep: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.lower(F.col(a)).alias("digest")) for k, a in enumerate(tried)])
-    return rows.select(*keep, "size", F.explode(pairs).alias("h")).select(*keep, "size", "h.*").where("digest is not null")
+#: Contents meet in so many turns, so that the shuffle of one turn only is on disk at a time.
+TURNS = 4
+#: A content in a bucket of more rows than this, and than four mean ones, is numbered over many tasks.
+LOTS, BUCKETS = 20_000, 1 << 16
 
 
-def _fingerprints(rows: DataFrame, owner: str, tried: Sequence[str]) -> DataFrame:
-    """(owner, rank, n, f1, f2): a set of contents as their number and two sums of hashes, for each checksum that all of them have."""
-    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
-    sums = _digests(rows, tried, owner).groupBy(owner, "rank").agg(F.count("*").alias("n"), wide("size", "digest").alias("f1"), wide("digest", "size").alias("f2"))
-    return sums.join(rows.groupBy(owner).agg(F.count("*").alias("n")), [owner, "n"])
+def _keyed(rows: DataFrame, tried: Sequence[str], *keep: str) -> DataFrame:
+    """``keep``, and for each checksum two hashes (``_a0``, ``_b0``, ...) of it and the size; null without either."""
+    columns = []
+    for k, name in enumerate(tried):
+        digest = F.lower(F.col(name))
+        there = digest.isNotNull() & F.col("size").isNotNull()
+        columns += [F.when(there, F.xxhash64("size", digest)).alias(f"_a{k}"), F.when(there, F.xxhash64(digest, "size")).alias(f"_b{k}")]
+    return rows.select(*keep, *columns)
+
+
+def _fingerprints(keyed: DataFrame, owner: str, tried: Sequence[str], *more: Column) -> DataFrame:
+    """(owner, rank, n, f1, f2, f3, f4): a set of contents as their number and sums of hashes, for each checksum that all of them have."""
+    half = lambda c: (F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(c, 32)))
+    sums = keyed.groupBy(owner).agg(F.count("*").alias("n"), *more, *[x.alias(f"_{c}{k}{i}") for k in range(len(tried)) for c in ("a", "b") for i, x in enumerate(half(f"_{c}{k}"))], *[F.count(f"_a{k}").alias(f"_n{k}") for k in range(len(tried))])
+    each = F.array(*[F.when(F.col(f"_n{k}") == F.col("n"), F.struct(F.lit(k).alias("rank"), *[F.col(f"_{c}{k}{i}").alias(f"f{j}") for j, (c, i) in enumerate((("a", 0), ("a", 1), ("b", 0), ("b", 1)), 1)])) for k in range(len(tried))])
+    kept = [c for c in sums.columns if not c.startswith("_")]
+    return sums.select(*kept, F.explode(F.array_compact(each)).alias("h")).select(*kept, "h.*")
 
 
 def whole_sets(members: DataFrame, items: DataFrame, tried: Sequence[str] = ALGORITHMS) -> DataFrame:
     """(archive, game_id, rank): archives that hold exactly the items of an entry, by the first checksum that says so.
 
-    ``members``: archive, size and a column per algorithm; ``items``: game_id and the
-    same. Sets meet as fingerprints, so contents that many archives or entries
-    share make no pairs. The k-th archive of a fingerprint takes its k-th entry.
+    ``members``: archive and hashes by ``_keyed``; ``items``: game_id, open and the
+    same. Only entries with all items open count. Sets meet as fingerprints, so
+    contents that many archives or entries share make no pairs. The k-th archive
+    of a fingerprint takes its k-th entry.
     """
-    key = ["rank", "n", "f1", "f2"]
-    have, want = _fingerprints(members, "archive", tried), settle(_fingerprints(items, "game_id", tried), "wanted")
-    first = have.join(want.select(*key).distinct(), key, "left_semi").groupBy("archive").agg(F.min(F.struct(*key)).alias("b")).select("archive", "b.*")
-    met = numbered(first, key, ["archive"]).join(numbered(want, key, ["game_id"]), [*key, "_k"])
+    key = ["rank", "n", "f1", "f2", "f3", "f4"]
+    want = settle(_fingerprints(items, "game_id", tried, F.bool_and("open").alias("free")).where("free").drop("free"), "wanted")
+    known = _fingerprints(members, "archive", tried).join(want.select(*key), key, "left_semi")
+    known = known.groupBy("archive").agg(F.min(F.struct(*key)).alias("b")).select("archive", "b.*") if len(tried) > 1 else known
+    first = settle(known, "first")
+    open_sets = settle(want.join(first.select(*key), key, "left_semi"), "open-sets")
+    release(want)
+    met = numbered(first, key, ["archive"]).join(numbered(open_sets, key, ["game_id"]), [*key, "_k"])
     # An entry may be reached through several checksums; the first archive takes it.
     place = F.row_number().over(W.partitionBy("game_id").orderBy("archive"))
-    return met.withColumn("_k", place).where("_k = 1").select("archive", "game_id", "rank")
+    sets = settle(met.withColumn("_k", place).where("_k = 1").select("archive", "game_id", "rank"), "whole")
+    release(first, open_sets)
+    return sets
+
+
+def _exploded(rows: DataFrame, tried: Sequence[str], *keep: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(k).alias("rank"), F.col(f"_a{k}").alias("_ha"), F.col(f"_b{k}").alias("_hb")) for k in range(len(tried))])
+    return rows.select(*keep, F.explode(pairs).alias("h")).select(*keep, "h.*").where("_ha is not null")
+
+
+def _met(files: DataFrame, items: DataFrame) -> list[DataFrame]:
+    """Parts of (archive, member, rom, name, game_id, known): the k-th file of a content takes its k-th open item.
+
+    ``files``: archive, member, ``_g``, rank, ``_ha``, ``_hb``; ``items``: rom, name, game_id, open
+    and the same. ``known``: whether any item has the content.
+    """
+    # Keys without nulls, as those meet nothing in a join.
+    files, items = (df.withColumn("_w", F.col("_g").isNotNull()).withColumn("_g", F.coalesce("_g", F.lit(0))) for df in (files, items))
+    key = ["_w", "_g", "rank", "_ha", "_hb"]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    sizes = files.select(bucket.alias("_c")).unionByName(items.select(bucket.alias("_c"))).groupBy("_c").agg(F.count("*").alias("n"))
+    sizes = sizes.agg(F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") > LOTS, F.struct("n", "_c"))).alias("full")).first()
+    hot = [r["_c"] for r in sizes["full"] if r["n"] > 4 * sizes["rows"] // BUCKETS]
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = []
+    for turn in range(TURNS):
+        mine = (F.pmod(F.col("_hb"), F.lit(TURNS)) == turn) & ~(bucket.isin(hot) if hot else F.lit(False))
+        left = files.where(mine).select(*key, F.lit(0).alias("_s"), F.lit(True).alias("open"), "archive", "member", none("bigint").alias("rom"), none("string").alias("name"), none("bigint").alias("game_id"))
+        right = items.where(mine).select(*key, F.lit(1).alias("_s"), "open", none("string").alias("archive"), none("string").alias("member"), "rom", "name", "game_id")
+        both = left.unionByName(right).repartition("_ha")
+        both = both.withColumn("_k", F.row_number().over(W.partitionBy(*key, "_s", "open").orderBy("archive", "member", "rom"))).withColumn("known", F.max("_s").over(W.partitionBy(*key)) == 1)
+        place = W.partitionBy(*key, "open", "_k")
+        both = both.select("_s", "archive", "member", *[F.max(c).over(place).alias(c) for c in ("rom", "name", "game_id")], "known")
+        parts.append(settle(both.where("_s = 0").drop("_s"), "met"))
+    if hot:
+        some = files.where(bucket.isin(hot)).select(*key, "archive", "member")
+        free = numbered(items.where(bucket.isin(hot) & F.col("open")).select(*key, "rom", "name", "game_id"), key, ["rom"])
+        known = items.where(bucket.isin(hot)).select(*key).distinct()
+        some = numbered(some, key, ["archive", "member"], settle(known, "known"))
+        free = free.select(*[F.col(c).alias(f"_{c}") for c in (*key, "_k")], "rom", "name", "game_id")
+        on = [some[c].eqNullSafe(free[f"_{c}"]) for c in (*key, "_k")]
+        parts.append(settle(some.join(free, on, "left").select("archive", "member", "rom", "name", "game_id", F.col("_known").alias("known")), "met"))
+    return parts
+
+
+def _imported(members: DataFrame, roms: DataFrame, tried: Sequence[str], covers: str) -> DataFrame:
+    """(archive, member, rom, name, game_id, state, n, one, trashed, first): each member with its item, and what its archive amounts to.
+
+    ``members``: archive, member and hashes by ``_keyed``. ``one``: all members are own
+    items of one entry; ``first`` marks one row of each archive.
+    """
+    columns = [f"_{c}{k}" for k in range(len(tried)) for c in "ab"]
+    items = _keyed(roms.withColumn("own", F.col("parent_id").isNull()).withColumn("open", F.expr("romfile_id is null and parent_id is null")).withColumn("present", F.col("romfile_id").isNotNull()), tried, F.col("id").alias("rom"), "name", "game_id", "own", "open", "present")
+    sets = whole_sets(members.select("archive", *columns), items.where("own").select("game_id", "open", *columns), tried)
+    rows = settle(members.join(sets.withColumnRenamed("game_id", "_g").withColumnRenamed("rank", "_r"), "archive", "left"), "members")
+
+    # Items of an entry that goes to an archive as a whole are kept for it, and there already for any other.
+    inside = _exploded(rows.where("_g is not null"), tried, "archive", "member", "_g", "_r").where("rank = _r").drop("_r")
+    counts = sum(F.col(f"_a{k}").isNotNull().cast("int") for k in range(len(tried)))
+    rest = rows.where("_g is null").withColumn("_several", counts)
+    every = _exploded(items, tried, "rom", "name", "game_id", "own", "open", "present").join(sets.select("game_id", F.lit(True).alias("_set"), F.col("rank").alias("_r")), "game_id", "left")
+    taken = F.col("_set").isNotNull() & F.col("own")
+    both = F.array_compact(F.array(F.when(taken & (F.col("rank") == F.col("_r")), F.struct(F.col("game_id").alias("_g"), F.lit(True).alias("open"))), F.when(F.col("open") | F.col("present"), F.struct(F.lit(None).cast("bigint").alias("_g"), (F.col("open") & ~taken).alias("open")))))
+    wanted = every.select(F.explode(both).alias("e"), "rom", "name", "game_id", "rank", "_ha", "_hb").select("e.*", "rom", "name", "game_id", "rank", "_ha", "_hb")
+
+    files = _exploded(rest, tried, "archive", "member", "_g", "_several")
+    many = len(tried) > 1 and not rest.where("_several > 1").isEmpty()
+    if many:
+        # The first checksum that any item has stands for a member that has several.
+        have = _exploded(items.where("open or present"), tried).select("rank", "_ha", "_hb")
+        best = files.where("_several > 1").join(have, ["rank", "_ha", "_hb"], "left_semi").groupBy("archive", "member").agg(F.min("rank").alias("_best"))
+        files = files.join(best, ["archive", "member"], "left").where("_several = 1 or rank = coalesce(_best, -1)").drop("_best")
+        lost = rest.where("_several > 1").join(best, ["archive", "member"], "left_anti").unionByName(rest.where("_several = 0"))
+    else:
+        lost = rest.where("_several = 0")
+    files = files.drop("_several")
+    several = len(tried) > 1 and not items.where(counts > 1).isEmpty()
+    met = _met(inside.unionByName(files), wanted)
+    nothing = lost.select("archive", "member", F.lit(None).cast("bigint").alias("rom"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("game_id"), F.lit(False).alias("known"))
+    met.append(settle(nothing, "met"))
+    release(rows, sets)
+    found = met[0]
+    for part in met[1:]:
+        found = found.unionByName(part)
+    if several:
+        # An item has several checksums: of the members that reach it by different ones, the first takes it.
+        place = F.row_number().over(W.partitionBy("rom").orderBy("archive", "member"))
+        one = found.where("rom is not null").withColumn("_k", place).select("archive", "member", "known", *[F.when(F.col("_k") == 1, F.col(c)).alias(c) for c in ("rom", "name", "game_id")])
+        found = settle(one.unionByName(found.where("rom is null")), "once")
+
+    w = W.partitionBy("archive")
+    state = F.when(F.col("rom").isNotNull(), VALID).when(F.col("known"), DUPLICATE).otherwise(INVALID)
+    n, again, unknown = F.count("*").over(w), F.max((F.col("state") == DUPLICATE).cast("int")).over(w) == 1, F.max((F.col("state") == INVALID).cast("int")).over(w) == 1
+    one = (F.count("rom").over(w) == n) & (F.min("game_id").over(w) == F.max("game_id").over(w))
+    first = F.row_number().over(w.orderBy("member")) == 1
+    told = found.withColumn("state", state).drop("known").select("*", n.alias("n"), F.coalesce(one, F.lit(False)).alias("one"), (again | (unknown & ((n == 1) if covers == "entry" else F.lit(True)))).alias("trashed"), first.alias("first"))
+    parts = [settle(told.where(F.pmod(F.xxhash64("archive"), F.lit(TURNS)) == turn), "told") for turn in range(TURNS)]
+    release(*met)
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part)
+    return told
 
 
 def import_archives(members: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame, tried: Sequence[str] = ALGORITHMS, covers: str = "entry", suffix: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -170,45 +289,31 @@ def import_archives(members: DataFrame, roms: DataFrame, games: DataFrame, syste
     one member that nothing knows, is trashed besides (``trash``). Entries with
     all items open go first, to archives that hold just these. Null columns match
     nothing; a repeated member of an archive counts as often as it occurs.
+    Contents are compared by 128 bits. ``members`` and ``roms`` are read several
+    times: they should be stored tables, or cheap to make.
     """
-    members = settle(members, "members")
-    own = roms.where("parent_id is null")
-    state = own.groupBy("game_id").agg(F.bool_and(F.col("romfile_id").isNull()).alias("free"))
-    free = own.join(state.where("free").select("game_id"), "game_id", "left_semi")
-    sets = settle(whole_sets(members, free, tried), "whole")
-    inside = members.join(sets, "archive").withColumn("_d", F.element_at(F.array(*[F.lower(F.col(a)) for a in tried]), F.col("rank") + 1))
-    offered = free.join(sets.select("game_id", "rank"), "game_id").withColumn("_d", F.element_at(F.array(*[F.lower(F.col(a)) for a in tried]), F.col("rank") + 1))
-    at = ["game_id", "size", "_d"]
-    a = inside.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("member")))
-    b = offered.select(*at, F.col("id").alias("rom"), F.row_number().over(W.partitionBy(*at).orderBy("id")).alias("_k"))
-    whole = a.join(b, [*at, "_k"]).select("archive", "member", "rom", F.lit(VALID).alias("state"))
-
-    rest = members.join(sets.select("archive"), "archive", "left_anti").withColumn("file", F.struct("archive", "member"))
-    left = roms.join(whole.select(F.col("rom").alias("id")), "id", "left_anti").unionByName(
-        roms.join(whole.select(F.col("rom").alias("id")), "id", "left_semi").withColumn("romfile_id", F.lit(-1).cast("bigint"))
-    )
-    found = import_files(rest, left, tried).select("file.archive", "file.member", "rom", "state")
-    every = settle(whole.unionByName(found), "found").join(roms.select(F.col("id").alias("rom"), F.col("name").alias("rom_name"), "game_id"), "rom", "left")
-
-    tally = every.groupBy("archive").agg(
-        F.count("*").alias("n"), F.count("rom").alias("valid"), F.min("game_id").alias("game"), F.max("game_id").alias("other"),
-        F.bool_or(F.col("state") == DUPLICATE).alias("again"), F.bool_or(F.col("state") == INVALID).alias("unknown"),
-    )
-    needed = own.groupBy(F.col("game_id").alias("game")).agg(F.count("*").alias("needed"))
-    one = (F.col("valid") == F.col("n")) & (F.col("game") == F.col("other"))
-    one &= (F.col("valid") == F.col("needed")) if covers == "entry" else F.lit(True)
-    trashed = F.col("again") | (F.col("unknown") & ((F.col("n") == 1) if covers == "entry" else F.lit(True)))
-    outcome = settle(tally.join(needed, "game", "left").select("archive", F.when(F.coalesce(one, F.lit(False)), "keep").when(trashed, "trash").otherwise("split").alias("action"), "n"), "outcome")
-
-    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "jbfolder", "system_id").join(systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir"), "arcade"), "system_id")
-    rows = every.join(outcome, "archive").join(named, "game_id", "left")
+    told = _imported(_keyed(members, tried, "archive", F.col("member").cast("string").alias("member")), roms, tried, covers)
+    return _placed(told, roms, games, systems, covers, suffix)
+
+
+def _placed(told: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame, covers: str, suffix: str | None) -> tuple[DataFrame, DataFrame]:
+    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "jbfolder", "system_id").join(systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir"), "arcade"), "system_id").drop("system_id")
+    needed = roms.where("parent_id is null").groupBy("game_id").agg(F.count("*").alias("needed"))
+    keep = F.col("one") & ((F.col("n") == F.coalesce("needed", F.lit(0))) if covers == "entry" else F.lit(True))
+    action = F.when(keep, "keep").when(F.col("trashed"), "trash").otherwise("split")
+    firsts = told.where("first")
+    outcome = (firsts.join(needed, "game_id", "left") if covers == "entry" else firsts).select("archive", action.alias("action"))
+
+    named = named.join(needed, "game_id", "left") if covers == "entry" else named
+    rows = told.where("rom is not null").join(named, "game_id", "left")
     ext = F.lit(suffix) if suffix else extension(F.col("archive"))
-    by_game = (F.col("n") > 1) | F.col("arcade") | F.lower(extension(F.col("rom_name"))).isin(*PS3_EXTENSIONS) | F.lit(covers != "entry")
-    bare = F.regexp_replace("rom_name", r"(?<=[^/])\.[^./]*$", "")
+    by_game = (F.col("n") > 1) | F.col("arcade") | F.lower(extension(F.col("name"))).isin(*PS3_EXTENSIONS) | F.lit(covers != "entry")
+    bare = F.regexp_replace("name", r"(?<=[^/])\.[^./]*$", "")
     kept = F.concat(F.when(by_game, F.col("game")).otherwise(bare), F.lit("."), ext)
-    out = F.when(F.col("arcade") | F.col("jbfolder"), F.concat("game", F.lit("/"), "rom_name")).otherwise(F.col("rom_name"))
-    path = F.concat("dir", F.lit("/"), F.when(F.col("action") == "keep", kept).otherwise(out))
-    return outcome.select("archive", "action"), rows.select("archive", "member", "rom", "state", path.alias("path"))
+    out = F.when(F.col("arcade") | F.col("jbfolder"), F.concat("game", F.lit("/"), "name")).otherwise(F.col("name"))
+    path = F.concat("dir", F.lit("/"), F.when(keep, kept).otherwise(out))
+    placed = rows.select("archive", "member", "rom", "state", path.alias("path"))
+    return outcome, placed.unionByName(told.where("rom is null").select("archive", "member", "rom", "state", F.lit(None).cast("string").alias("path")))
 
 
 def import_discs(images: DataFrame, tracks: DataFrame, roms: DataFrame, games: DataFrame, systems: DataFrame) -> DataFrame:
@@ -222,15 +327,18 @@ def import_discs(images: DataFrame, tracks: DataFrame, roms: DataFrame, games: D
     """
     reverse = tuple(reversed(ALGORITHMS))
     discs = images.where("kind = 'cd'").select("image")
-    members = tracks.join(discs, "image", "left_semi").select(F.col("image").alias("archive"), F.col("track").cast("string").alias("member"), "size", *ALGORITHMS)
+    keyed = _keyed(tracks, reverse, F.col("image").alias("archive"), F.col("track").cast("string").alias("member"))
+    members = keyed.join(discs.withColumnRenamed("image", "archive"), "archive", "left_semi")
     bins = roms.where(F.lower(extension(F.col("name"))) != "cue")
-    action, rows = import_archives(members, bins, games, systems, reverse, covers="part", suffix="chd")
-    kept = rows.join(action.where("action = 'keep'"), "archive", "left").select(
-        F.col("archive").alias("image"), F.when(F.col("action").isNotNull(), F.col("rom")).alias("rom"), F.when(F.col("action").isNotNull() | (F.col("state") != VALID), F.col("state")).otherwise(INVALID).alias("state"), F.when(F.col("action").isNotNull(), F.col("path")).alias("path"),
-    )
+    told = _imported(members, bins, reverse, "part")
+    # The tracks of an image that is not kept take nothing.
+    told = told.withColumn("state", F.when(F.col("one") | (F.col("state") != VALID), F.col("state")).otherwise(INVALID)).withColumn("rom", F.when(F.col("one"), F.col("rom")))
+    kept = _placed(told, bins, games, systems, "part", "chd")[1].select(F.col("archive").alias("image"), "rom", "state", "path")
 
-    taken = roms.join(kept.where("rom is not null").select(F.col("rom").alias("id")), "id", "left_anti")
     rest = settle(images.where("kind <> 'cd'"), "images")
+    if rest.isEmpty():
+        return kept
+    taken = roms.join(told.where("rom is not null").select(F.col("rom").alias("id")), "id", "left_anti")
     by_sha1 = settle(import_files(rest.select(F.col("image").alias("file"), "size", "sha1"), taken, ["sha1"]), "by-sha1")
     unknown = lambda df: df.where(F.col("state") == INVALID).select(F.col("file").alias("image"))
     own = rest.join(unknown(by_sha1), "image", "left_semi").select(F.col("image").alias("file"), F.lit(0).cast("bigint").alias("size"), F.col("disc_sha1").alias("sha1"))
