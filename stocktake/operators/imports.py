@@ -184,25 +184,32 @@ def _exploded(rows: DataFrame, tried: Sequence[str], *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(pairs).alias("h")).select(*keep, "h.*").where("_ha is not null")
 
 
+def _full(key: Sequence[str], *tables: DataFrame) -> tuple[Column, list[int]]:
+    """The bucket of a key, and the buckets with far more rows than others."""
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+    rows = tables[0].select(bucket.alias("_c"))
+    for t in tables[1:]:
+        rows = rows.unionByName(t.select(bucket.alias("_c")))
+    sizes = rows.groupBy("_c").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") > LOTS, F.struct("n", "_c"))).alias("full")).first()
+    return bucket, [r["_c"] for r in sizes["full"] if r["n"] > 4 * sizes["rows"] // BUCKETS]
+
+
 def _met(files: DataFrame, items: DataFrame) -> list[DataFrame]:
     """Parts of (archive, member, rom, name, game_id, known): the k-th file of a content takes its k-th open item.
 
     ``files``: archive, member, ``_g``, rank, ``_ha``, ``_hb``; ``items``: rom, name, game_id, open
-    and the same. ``known``: whether any item has the content.
+    and the same, and archive if they are ordered by it before rom. ``known``: whether any item has the content.
     """
     # Keys without nulls, as those meet nothing in a join.
     files, items = (df.withColumn("_w", F.col("_g").isNotNull()).withColumn("_g", F.coalesce("_g", F.lit(0))) for df in (files, items))
     key = ["_w", "_g", "rank", "_ha", "_hb"]
-    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
-    sizes = files.select(bucket.alias("_c")).unionByName(items.select(bucket.alias("_c"))).groupBy("_c").agg(F.count("*").alias("n"))
-    sizes = sizes.agg(F.sum("n").alias("rows"), F.collect_list(F.when(F.col("n") > LOTS, F.struct("n", "_c"))).alias("full")).first()
-    hot = [r["_c"] for r in sizes["full"] if r["n"] > 4 * sizes["rows"] // BUCKETS]
+    bucket, hot = _full(key, files, items)
     none = lambda kind: F.lit(None).cast(kind)
     parts = []
     for turn in range(TURNS):
         mine = (F.pmod(F.col("_hb"), F.lit(TURNS)) == turn) & ~(bucket.isin(hot) if hot else F.lit(False))
         left = files.where(mine).select(*key, F.lit(0).alias("_s"), F.lit(True).alias("open"), "archive", "member", none("bigint").alias("rom"), none("string").alias("name"), none("bigint").alias("game_id"))
-        right = items.where(mine).select(*key, F.lit(1).alias("_s"), "open", none("string").alias("archive"), none("string").alias("member"), "rom", "name", "game_id")
+        right = items.where(mine).select(*key, F.lit(1).alias("_s"), "open", (F.col("archive") if "archive" in items.columns else none("string")).alias("archive"), none("string").alias("member"), "rom", "name", "game_id")
         both = left.unionByName(right).repartition("_ha")
         both = both.withColumn("_k", F.row_number().over(W.partitionBy(*key, "_s", "open").orderBy("archive", "member", "rom"))).withColumn("known", F.max("_s").over(W.partitionBy(*key)) == 1)
         place = W.partitionBy(*key, "open", "_k")
@@ -210,7 +217,7 @@ def _met(files: DataFrame, items: DataFrame) -> list[DataFrame]:
         parts.append(settle(both.where("_s = 0").drop("_s"), "met"))
     if hot:
         some = files.where(bucket.isin(hot)).select(*key, "archive", "member")
-        free = numbered(items.where(bucket.isin(hot) & F.col("open")).select(*key, "rom", "name", "game_id"), key, ["rom"])
+        free = numbered(items.where(bucket.isin(hot) & F.col("open")).select(*key, *(["archive"] if "archive" in items.columns else []), "rom", "name", "game_id"), key, [*(["archive"] if "archive" in items.columns else []), "rom"])
         known = items.where(bucket.isin(hot)).select(*key).distinct()
         some = numbered(some, key, ["archive", "member"], settle(known, "known"))
         free = free.select(*[F.col(c).alias(f"_{c}") for c in (*key, "_k")], "rom", "name", "game_id")
@@ -363,28 +370,74 @@ def import_folders(files: DataFrame, roms: DataFrame, games: DataFrame, systems:
     items of the anchor's parent by size and MD5: those of the same path first,
     the rest in order of path and name. Files of folders without an entry are invalid.
     """
-    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "system_id")
-    open_roms = roms.where("romfile_id is null and parent_id is not null and md5 is not null").withColumn("digest", F.lower("md5"))
-    key = ["size", "digest"]
-    wanted = open_roms.where(F.col("name") == ANCHOR).join(named, "game_id").select(*key, "game", "game_id", "system_id", "parent_id")
-    files = settle(files.withColumn("digest", F.lower("md5")), "files")
-    have = files.where(F.col("path") == ANCHOR).where("digest is not null").select("folder", *key)
-    met = numbered(have, key, ["folder"]).join(numbered(wanted, key, ["game", "game_id"]), [*key, "_k"])
-    anchored = settle(met.select("folder", "game", "system_id", "parent_id"), "anchored")
-
-    key = ["parent_id", "size", "digest"]
-    inside = files.join(anchored, "folder")
-    items = open_roms.select(*key, F.col("id").alias("rom"), "name")
-    same = settle(inside.join(items.withColumnRenamed("name", "path"), [*key, "path"]).groupBy("folder", "path").agg(F.min("rom").alias("rom")), "same")
-    others = inside.join(same, ["folder", "path"], "left_anti")
-    free = items.join(same.select("rom"), "rom", "left_anti")
-    rest = numbered(others.select(*key, "folder", "path"), key, ["path", "folder"]).join(numbered(free, key, ["name", "rom"]), [*key, "_k"]).select("folder", "path", "rom")
-    present = roms.where("romfile_id is not null and parent_id is not null").select("parent_id", "size", F.lower("md5").alias("digest"), F.lit(True).alias("there")).distinct()
-    found = files.select("folder", "path", *key[1:]).join(anchored, "folder", "left").join(same.unionByName(rest), ["folder", "path"], "left").join(present, key, "left")
+    both = _keyed(files, ["md5"], "folder", "path").withColumnsRenamed({"_a0": "_ha", "_b0": "_hb"})
+    below = roms.where("parent_id is not null")
+    items = _keyed(below.withColumn("open", F.col("romfile_id").isNull()), ["md5"], F.col("id").alias("rom"), "name", "game_id", "parent_id", "open").withColumnsRenamed({"_a0": "_ha", "_b0": "_hb"}).where("_ha is not null")
+
+    alike = [F.lit(None).cast("bigint").alias("_g"), F.lit(0).alias("rank"), "_ha", "_hb"]
+    have = both.where((F.col("path") == ANCHOR) & F.col("_ha").isNotNull()).select(F.col("folder").alias("archive"), F.lit(None).cast("string").alias("member"), *alike)
+    named = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"))
+    wanted = items.where((F.col("name") == ANCHOR) & F.col("open")).join(named, "game_id").select(*alike, F.col("game").alias("archive"), F.col("game_id").alias("rom"), F.lit(None).cast("string").alias("name"), F.col("parent_id").alias("game_id"), "open")
+    anchors = _met(have, wanted)
+    anchored = anchors[0]
+    for part in anchors[1:]:
+        anchored = anchored.unionByName(part)
+    anchored = anchored.where("rom is not null").select(F.col("archive").alias("folder"), F.col("rom").alias("game_id"), F.col("game_id").alias("parent_id"))
+    rows = []
+    for turn in range(TURNS):
+        mine = F.pmod(F.xxhash64("folder"), F.lit(TURNS)) == turn
+        rows.append(settle(both.where(mine).join(anchored.where(mine), "folder", "left").select("folder", "path", "game_id", F.when(F.col("_ha").isNotNull(), F.col("parent_id")).alias("_g"), "_ha", "_hb"), "files"))
+    release(*anchors)
+
+    inside = rows[0]
+    for part in rows[1:]:
+        inside = inside.unionByName(part)
+    found = _met_by_path(inside.where("_g is not null"), items.select(F.col("parent_id").alias("_g"), "_ha", "_hb", "rom", "name", "open"))
+    found.append(settle(inside.where("_g is null").select("folder", "path", "game_id", F.lit(None).cast("bigint").alias("rom"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("known")), "met"))
+    release(*rows)
+    told = found[0]
+    for part in found[1:]:
+        told = told.unionByName(part)
+    told = told.withColumn("state", F.when(F.col("rom").isNotNull(), VALID).when(F.col("known"), DUPLICATE).otherwise(INVALID)).drop("known")
     dirs = systems.select(F.col("id").alias("system_id"), system_directory(F.col("name"), F.col("custom_name")).alias("dir"))
-    found = found.join(dirs, "system_id", "left").join(roms.select(F.col("id").alias("rom"), "name"), "rom", "left")
-    state = F.when(F.col("rom").isNotNull(), VALID).when(F.col("there"), DUPLICATE).otherwise(INVALID)
-    return found.select("folder", "path", "rom", state.alias("state"), F.concat_ws("/", "dir", "game", "name").alias("_t")).withColumn("target", F.when(F.col("rom").isNotNull(), F.col("_t"))).drop("_t")
+    where = games.select(F.col("id").alias("game_id"), F.col("name").alias("game"), "system_id").join(dirs, "system_id", "left").select("game_id", F.concat_ws("/", "dir", "game").alias("dir"))
+    # Names that are those of the files are not carried along.
+    placed = told.where("rom is not null").join(where, "game_id", "left").select("folder", "path", "rom", "state", F.concat_ws("/", "dir", F.coalesce("name", "path")).alias("target"))
+    return placed.unionByName(told.where("rom is null").select("folder", "path", "rom", "state", F.lit(None).cast("string").alias("target")))
+
+
+def _met_by_path(files: DataFrame, items: DataFrame) -> list[DataFrame]:
+    """Parts of (folder, path, game_id, rom, name, known): files of a content take its open items of the same path, the rest in order.
+
+    ``files``: folder, path, game_id, ``_g``, ``_ha``, ``_hb``; ``items``: rom, name, open and the
+    same key. ``name`` is null where it is the path.
+    """
+    key = ["_g", "_ha", "_hb"]
+    bucket, hot = _full(key, files, items)
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = []
+    for turn in range(TURNS):
+        mine = (F.pmod(F.col("_hb"), F.lit(TURNS)) == turn) & ~(bucket.isin(hot) if hot else F.lit(False))
+        left = files.where(mine).select(*key, F.lit(0).alias("_s"), F.lit(True).alias("open"), "folder", "path", "game_id", none("bigint").alias("rom"))
+        right = items.where(mine).select(*key, F.lit(1).alias("_s"), "open", none("string").alias("folder"), F.col("name").alias("path"), none("bigint").alias("game_id"), "rom")
+        both = left.unionByName(right).repartition("_ha")
+        alike = W.partitionBy(*key, "open", "path")
+        both = both.withColumn("_same", F.min("rom").over(alike)).withColumn("_met", F.min("_s").over(alike) == 0)
+        done = F.when(F.col("_s") == 0, F.col("_same").isNotNull()).otherwise(F.col("_met") & (F.col("rom") == F.col("_same")))
+        both = both.withColumn("_done", F.coalesce(done, F.lit(False)))
+        both = both.withColumn("_k", F.row_number().over(W.partitionBy(*key, "open", "_done", "_s").orderBy("path", "folder", "rom"))).withColumn("known", F.max(F.when(~F.col("open"), 1).otherwise(0)).over(W.partitionBy(*key)) == 1)
+        place = W.partitionBy(*key, "open", "_done", "_k")
+        both = both.withColumn("_rom", F.max("rom").over(place)).withColumn("_name", F.max(F.when(F.col("_s") == 1, F.col("path"))).over(place)).where("_s = 0")
+        parts.append(settle(both.select("folder", "path", "game_id", F.when(F.col("_done"), F.col("_same")).otherwise(F.col("_rom")).alias("rom"), F.when(~F.col("_done"), F.col("_name")).alias("name"), "known"), "met"))
+    if hot:
+        some, pool = files.where(bucket.isin(hot)), items.where(bucket.isin(hot))
+        free = pool.where("open").select(*key, "rom", "name")
+        same = settle(some.join(free.withColumnRenamed("name", "path"), [*key, "path"]).groupBy("folder", "path").agg(F.min("rom").alias("rom")), "same")
+        others = numbered(some.join(same, ["folder", "path"], "left_anti").select(*key, "folder", "path", "game_id"), key, ["path", "folder"], settle(pool.where("not open").select(*key).distinct(), "known"))
+        rest = numbered(free.join(same.select("rom"), "rom", "left_anti").select(*key, "rom", "name"), key, ["name", "rom"])
+        parts.append(settle(some.join(same, ["folder", "path"]).select("folder", "path", "game_id", "rom", none("string").alias("name"), F.lit(False).alias("known")), "met"))
+        parts.append(settle(others.join(rest, [*key, "_k"], "left").select("folder", "path", "game_id", "rom", "name", F.col("_known").alias("known")), "met"))
+    return parts
 
 
 def import_listings(state: dict[str, DataFrame], listings: DataFrame, entries: DataFrame, hashes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
